@@ -70,17 +70,17 @@ def permission_sides(t):
                  FROM asked JOIN perm_users USING ("user") JOIN perm_assets USING (permission, asset) JOIN perm USING (permission)
                  GROUP BY ALL)
         SELECT "user", asset, coalesce(permissions, 0) AS permissions, permissions IS NOT NULL AS granted,
-               CASE n WHEN 1 THEN 'connect' WHEN 2 THEN 'connect,upload' WHEN 3 THEN 'connect,download,upload'
-                      WHEN 4 THEN 'connect,copy,download,upload' WHEN 5 THEN 'connect,copy,download,paste,upload'
-                      WHEN 6 THEN 'connect,copy,download,paste,share,upload' ELSE '' END AS actions
+               CASE n WHEN 1 THEN 'connect' WHEN 2 THEN 'connect,upload' WHEN 3 THEN 'connect,upload,download'
+                      WHEN 4 THEN 'connect,upload,download,copy' WHEN 5 THEN 'connect,upload,download,copy,paste'
+                      WHEN 6 THEN 'connect,upload,download,copy,paste,share' ELSE '' END AS actions
         FROM asked LEFT JOIN hits USING ("user", asset)""",
 )
 def effective_permissions(t):
     """Every access that took place, with the permissions that cover it."""
     users, assets = permission_sides(t)
     asked = a.session(t.orders, t.lineitem).select(F.col("user_id").alias("user"), F.col("asset_id").alias("asset"))
-    resolved = r.resolve(asked, a.permissions(t.nation).select("permission", "actions"), users, assets)
-    return resolved.withColumn("actions", F.coalesce(F.array_join("actions", ","), F.lit("")))
+    resolved = r.resolve(asked, a.permissions(t.nation).select("permission", "actions"), users, assets, a.ACTIONS)
+    return resolved.withColumn("actions", F.array_join("actions", ","))
 
 
 @query(
@@ -94,14 +94,13 @@ def asset_permitted_users(t):
     return r.permitted_users(1, users, assets).withColumn("permission", F.col("permission").cast("bigint"))
 
 
+# On the fixtures the order's priority decides the account selector.
 def _selectors(key):
-    """On the fixtures the order's priority decides the account selector."""
     priority = F.col("o_orderpriority")
-    named = F.array(F.lit("@SPEC"), F.lit("u1"), F.lit("u2"), F.concat(F.lit("u"), key.cast("string")))
     return (
         F.when(priority == "1-URGENT", F.array(F.lit("@ALL")))
-        .when(priority == "2-HIGH", named)
-        .when(priority == "3-MEDIUM", F.array(F.lit("@NOT"), F.lit("u1"), F.lit("u2")))
+        .when(priority == "2-HIGH", F.array(F.lit("@SPEC"), F.lit("u1"), F.lit("u2"), key))
+        .when(priority == "3-MEDIUM", F.array(F.lit("@NOT"), F.lit("u1"), F.lit("u2"), key))
         .when(priority == "4-NOT SPECIFIED", F.array(F.lit("@NONE")))
         .otherwise(F.array(F.lit("@USER"), F.lit("@INPUT"), F.lit("@ANON")))
     )
@@ -110,30 +109,43 @@ def _selectors(key):
 @query(
     "account_spec",
     """WITH acc AS (SELECT DISTINCT l_partkey AS asset, 'u' || l_suppkey AS username FROM lineitem),
-            s AS (SELECT DISTINCT o_orderkey AS scope, 'u' || o_custkey AS "user", l_partkey AS asset, o_orderpriority AS p,
-                         'u' || l_suppkey AS named FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
-       SELECT scope, "user", asset, username FROM s JOIN acc USING (asset)
-       WHERE p = '1-URGENT' OR (p = '2-HIGH' AND username IN ('u1', 'u2', named)) OR (p = '3-MEDIUM' AND username NOT IN ('u1', 'u2'))
-          OR (p = '5-LOW' AND username = "user")
-       UNION ALL SELECT scope, "user", asset, m FROM s, (VALUES ('@INPUT'), ('@ANON')) v(m) WHERE p = '5-LOW'""",
+            total AS (SELECT asset, count(*) AS n FROM acc GROUP BY 1),
+            s AS (SELECT o_orderkey AS scope, 'u' || o_custkey AS "user", l_partkey AS asset, o_orderpriority AS p,
+                         'u' || min(l_suppkey) AS named, 'u' || max(l_suppkey) AS username
+                  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
+            look AS (SELECT scope, asset, count(*) AS k FROM (SELECT scope, asset, unnest(list_distinct(['u1', 'u2', named])) AS username FROM s)
+                     JOIN acc USING (asset, username) GROUP BY ALL),
+            own AS (SELECT scope, asset, 1 AS k FROM s JOIN acc USING (asset) WHERE acc.username = "user")
+       SELECT s.scope, s."user", s.asset, s.username,
+              CASE p WHEN '1-URGENT' THEN TRUE WHEN '2-HIGH' THEN s.username IN ('u1', 'u2', named)
+                     WHEN '3-MEDIUM' THEN s.username NOT IN ('u1', 'u2', named) WHEN '4-NOT SPECIFIED' THEN FALSE
+                     ELSE s.username = s."user" END AS allowed,
+              CASE p WHEN '1-URGENT' THEN total.n WHEN '2-HIGH' THEN coalesce(look.k, 0) WHEN '3-MEDIUM' THEN total.n - coalesce(look.k, 0)
+                     WHEN '4-NOT SPECIFIED' THEN 0 ELSE coalesce(own.k, 0) + 2 END AS usable
+       FROM s JOIN total USING (asset) LEFT JOIN look ON s.scope = look.scope AND s.asset = look.asset
+              LEFT JOIN own ON s.scope = own.scope AND s.asset = own.asset""",
 )
 def account_spec(t):
-    accounts = t.lineitem.select(
-        F.col("l_partkey").alias("asset"), F.concat(F.lit("u"), F.col("l_suppkey").cast("string")).alias("username")
-    ).distinct()
-    scopes = (
+    """Every access by scope, user and asset: was the account used allowed, and how many were usable?"""
+
+    def named(column):
+        return F.concat(F.lit("u"), column.cast("string"))
+
+    accounts = t.lineitem.select(F.col("l_partkey").alias("asset"), named(F.col("l_suppkey")).alias("username"))
+    accesses = (
         t.orders.join(t.lineitem, t.orders.o_orderkey == t.lineitem.l_orderkey)
+        .groupBy(F.col("o_orderkey").alias("scope"), "o_custkey", "o_orderpriority", F.col("l_partkey").alias("asset"))
+        .agg(F.min("l_suppkey").alias("_low"), F.max("l_suppkey").alias("_high"))
         .select(
-            F.col("o_orderkey").alias("scope"),
-            F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user"),
-            F.col("l_partkey").alias("asset"),
-            _selectors(F.col("l_suppkey")).alias("selectors"),
-            F.col("l_suppkey"),
+            "scope",
+            named(F.col("o_custkey")).alias("user"),
+            "asset",
+            _selectors(named(F.col("_low"))).alias("selectors"),
+            named(F.col("_high")).alias("username"),
         )
-        .distinct()
-        .drop("l_suppkey")
     )
-    return r.selected_accounts(scopes, accounts)
+    checked = r.account_allowed(accesses, accounts)
+    return r.usable_accounts(checked, accounts).select("scope", "user", "asset", "username", "allowed", "usable")
 
 
 @query(

@@ -254,7 +254,7 @@ def risk_history(t):
         F.get(names, (F.col("user_id") % 7).cast("int")), kind, action, F.when(action == "ignore", key), F.col("ts"), key
     )
     entries = t.events.select(F.col("user_id").alias("finding"), "event_id", "ts", entry.alias("entry"))
-    return ranking.number_within(entries, "finding", "ts", "event_id", "position", "HOUR").select("finding", "position", "entry")
+    return ranking.number_within(entries, "finding", "ts", "event_id", "position").select("finding", "position", "entry")
 
 
 MASKING_RULES = [

@@ -189,8 +189,11 @@ def match_rules(df: DataFrame, rule: dict, id_column: str) -> DataFrame:
 
 
 def match_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows named by an id table of any size; Spark broadcasts it only when its measured size allows."""
-    return df.join(ids.select(key).distinct(), key, "left_semi")
+    """Rows named by an id table of any size; Spark broadcasts it only when its measured size allows.
+
+    A semi join needs no distinct ids; without that aggregation a hot id's rows can be split by adaptive execution.
+    """
+    return df.join(ids.select(key), key, "left_semi")
 
 
 def parse_labels(selections: str | list[tuple[str, str]]) -> dict[str, list[str] | None]:

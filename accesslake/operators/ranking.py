@@ -26,26 +26,36 @@ def recent_per_group(df: DataFrame, group: str, ts: str, tie: str, n: int = 30)
     return df.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
-def number_within(df: DataFrame, group: str, ts: str, tie: str, name: str = "version", bucket: str = "MONTH") -> DataFrame:
+def number_within(
+    df: DataFrame, group: str, ts: str, tie: str, name: str = "version", bucket: str = "MINUTE", tie_width: int | None = None
+) -> DataFrame:
     """1-based position of every row in its group, by (ts, tie), for groups of any size.
 
     Rows are numbered inside (group, time bucket), and a bucket starts after the count of the group's earlier
     buckets. So a group with a large part of all rows is spread over its buckets; only one count per bucket is
-    brought together per group.
+    brought together per group. Logs that know only the day put many rows on the bucket's first instant: with
+    ``tie_width`` those are split again by ranges of the (integer) tie key, which keeps the order since among equal
+    timestamps it decides.
     """
-    bucketed = df.withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
-    earlier = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    slot = F.date_trunc(bucket, F.col(ts))
+    sub = F.lit(0).cast("bigint")
+    if tie_width:
+        at_start = F.col(ts).cast("timestamp") == slot.cast("timestamp")
+        sub = F.when(at_start, F.floor(F.col(tie) / tie_width)).otherwise(F.lit(2**62))
+    cells = [group, "_bucket", "_sub"]
+    bucketed = df.withColumn("_bucket", slot).withColumn("_sub", sub)
+    earlier = Window.partitionBy(group).orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy(group, "_bucket")
+        bucketed.groupBy(*cells)
         .agg(F.count("*").alias("_n"))
-        .select(group, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        .select(*cells, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(ts, tie))
+    inside = F.row_number().over(Window.partitionBy(*cells).orderBy(ts, tie))
     return (
         bucketed.withColumn("_inside", inside)
-        .join(offsets, [group, "_bucket"])
+        .join(offsets, cells)
         .withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint"))
-        .drop("_bucket", "_inside", "_before")
+        .drop("_bucket", "_sub", "_inside", "_before")
     )
 
 

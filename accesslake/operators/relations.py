@@ -15,15 +15,18 @@ def attach(df: DataFrame, dim: DataFrame, fk: str, dim_key: str, **names: str) -
     return df.join(picked, fk, "left")
 
 
-def attach_spread(df: DataFrame, per_key: DataFrame, key: str, row_id: Column, spread: int = 16) -> DataFrame:
+def attach_spread(df: DataFrame, per_key: DataFrame, keys: str | list[str], row_id: Column, spread: int = 16) -> DataFrame:
     """Left join of one-row-per-key results back to their rows when a key may hold a large part of all rows.
 
-    Rows of a key are spread over ``spread`` tasks by a hash of their id and the per-key side is repeated as often,
-    so a key with a third of the rows is no single task's work.
+    Rows of a key are spread over ``spread`` tasks by a hash of their id and the per-key side is repeated as often, so
+    a key with a third of the rows is no single task's work. The salt also keeps an exchange right below the join on
+    both sides (an aggregated side alone would bring none), which lets adaptive execution split a still larger
+    partition; with ``spread=1`` nothing is repeated and that splitting is relied on alone.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(spread)).cast("int"))
     repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
+    return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
 
 def relation_amounts(base: DataFrame, key: str, bridges: dict[str, DataFrame]) -> DataFrame:
@@ -47,22 +50,24 @@ def permission_assets(direct: DataFrame, nodes: DataFrame, closure: DataFrame, n
     return direct.select("permission", "asset").union(through).distinct()
 
 
-def resolve(requests: DataFrame, permissions: DataFrame, users: DataFrame, assets: DataFrame) -> DataFrame:
+def resolve(requests: DataFrame, permissions: DataFrame, users: DataFrame, assets: DataFrame, actions: list[str]) -> DataFrame:
     """For every asked (user, asset) pair: whether it is granted, by how many permissions, and with which actions.
 
     The user and asset sides stay factored by permission and only asked pairs are formed; the full product of users
-    and assets is never built. ``permissions`` has (permission, actions).
+    and assets is never built. ``permissions`` has (permission, actions); ``actions`` lists the possible actions, each
+    of which becomes one flag, so that a pair is reduced without collecting lists.
     """
     asked = requests.select("user", "asset").distinct()
     candidates = asked.join(users, "user").join(assets, ["permission", "asset"]).join(permissions, "permission")
-    granted = candidates.select("user", "asset", "permission", F.explode("actions").alias("action"))
-    per_pair = granted.groupBy("user", "asset").agg(
-        F.count_distinct("permission").alias("permissions"), F.array_sort(F.collect_set("action")).alias("actions")
+    per_pair = candidates.groupBy("user", "asset").agg(
+        F.count("*").alias("permissions"), *[F.bool_or(F.array_contains("actions", x)).alias(f"_{x}") for x in actions]
     )
     return (
         asked.join(per_pair, ["user", "asset"], "left")
         .withColumn("permissions", F.coalesce("permissions", F.lit(0).cast("bigint")))
         .withColumn("granted", F.col("permissions") > 0)
+        .withColumn("actions", F.array_compact(F.array(*[F.when(F.col(f"_{x}"), F.lit(x)) for x in actions])))
+        .select("user", "asset", "permissions", "granted", "actions")
     )
 
 
@@ -72,31 +77,84 @@ def permitted_users(asset_id, users: DataFrame, assets: DataFrame) -> DataFrame:
     return users.join(granting, "permission").select("user", "permission")
 
 
+def _has(mark: str) -> Column:
+    return F.array_contains("selectors", mark)
+
+
+def _chosen(exists: Column, username: Column) -> Column:
+    """Whether the selectors choose an account, given that it exists on the asset."""
+    named = F.array_contains("selectors", username)
+    real = _has(ALL) | (_has(SPEC) & named) | (_has(NOT) & ~named) | (_has(SAME_USER) & (username == F.col("user")))
+    return exists & real & ~_has(NONE)
+
+
 def selected_accounts(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Accounts each scope may use on its asset.
+    """The list of accounts each scope may use on its asset, as on one permission's page.
 
     ``scopes`` has (scope, user, asset, selectors); ``accounts`` has (asset, username). Selectors: ``@ALL`` every
     account; names after ``@SPEC`` those accounts; names after ``@NOT`` all but those; ``@NONE`` nothing; ``@USER``
-    the account named like the user; ``@INPUT`` and ``@ANON`` one virtual row each.
+    the account named like the user; ``@INPUT`` and ``@ANON`` one virtual row each. The list is as long as its answer;
+    to test accesses or count accounts over all scopes use ``account_allowed`` and ``usable_accounts``, which do not
+    pair scopes with accounts.
     """
-    s = F.col("selectors")
+    on_asset = scopes.join(accounts, "asset").where(_chosen(F.lit(True), F.col("username")))
+    virtual = scopes.where(~_has(NONE)).select(
+        "scope", "user", "asset", F.explode(F.array_intersect("selectors", F.array(F.lit(INPUT), F.lit(ANON)))).alias("username")
+    )
+    return on_asset.select("scope", "user", "asset", "username").unionByName(virtual)
 
-    def has(mark: str) -> Column:
-        return F.array_contains(s, mark)
 
-    named = F.array_contains(s, F.col("username"))
-    chosen = has(ALL) | (has(SPEC) & named) | (has(NOT) & ~named) | (has(SAME_USER) & (F.col("username") == F.col("user")))
-    real = scopes.where(~has(NONE)).join(accounts, "asset").where(chosen).select("scope", "user", "asset", "username")
-    virtual = scopes.where(~has(NONE)).select(
-        "scope", "user", "asset", F.explode(F.array_intersect(s, F.array(F.lit(INPUT), F.lit(ANON)))).alias("username")
+def account_allowed(requests: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Adds ``allowed`` to requests (scope, user, asset, selectors, username): one equality join, whatever the selector."""
+    known = accounts.select("asset", "username").distinct().withColumn("_known", F.lit(True))
+    joined = attach_spread(requests, known, ["asset", "username"], F.struct("scope", "user"), spread=1)
+    virtual = F.col("username").isin(INPUT, ANON) & F.array_contains("selectors", F.col("username")) & ~_has(NONE)
+    return joined.withColumn("allowed", virtual | _chosen(F.col("_known").isNotNull(), F.col("username"))).drop("_known")
+
+
+def usable_accounts(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Adds ``usable``, the number of accounts the scope may use on its asset, virtual ones included.
+
+    ``@ALL`` and ``@NOT`` start from the asset's account total, and only the names written in the selector are looked
+    up one by one. ``scopes`` is unique by (scope, user, asset).
+    """
+    ids = ["scope", "user", "asset"]
+    known = accounts.select("asset", "username").distinct()
+    totals = known.groupBy("asset").agg(F.count("*").alias("_total"))
+    names = F.filter("selectors", lambda x: ~x.startswith("@"))
+    looked_up = scopes.select(*ids, F.explode(F.array_distinct(F.array_append(names, F.col("user")))).alias("username"), "selectors")
+    found = attach_spread(
+        looked_up, known.withColumn("_known", F.lit(True)), ["asset", "username"], F.struct("scope", "user"), spread=1
+    ).where(F.col("_known"))
+    listed = F.array_contains("selectors", F.col("username"))
+    per_scope = found.groupBy(*ids).agg(
+        F.count_if(listed).alias("_named"),
+        F.count_if(F.col("username") == F.col("user")).alias("_own"),
+        F.count_if(listed & (F.col("username") == F.col("user"))).alias("_own_named"),
+    )
+    counted = attach_spread(scopes, totals, "asset", F.struct("scope", "user")).join(per_scope, ids, "left")
+
+    def n(c):
+        return F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+
+    own = F.when(_has(SAME_USER), n("_own") - F.when(_has(SPEC), n("_own_named")).otherwise(0)).otherwise(0)
+    own_excluded = F.when(_has(SAME_USER), n("_own_named")).otherwise(0)
+    real = (
+        F.when(_has(ALL), n("_total"))
+        .when(_has(NOT), n("_total") - n("_named") + own_excluded)
+        .when(_has(SPEC), n("_named") + own)
+        .otherwise(own)
     )
-    return real.unionByName(virtual)
+    virtual = F.size(F.array_intersect("selectors", F.array(F.lit(INPUT), F.lit(ANON))))
+    usable = F.when(_has(NONE), F.lit(0)).otherwise(real + virtual).cast("bigint")
+    return counted.withColumn("usable", usable).drop("_total", "_named", "_own", "_own_named")
 
 
 def account_exists(wanted: DataFrame, accounts: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``exists`` to every wanted account; the account list is reduced to its keys before the join."""
     known = accounts.select(*keys).distinct().withColumn("_known", F.lit(True))
-    return wanted.join(known, keys, "left").withColumn("exists", F.col("_known").isNotNull()).drop("_known")
+    joined = attach_spread(wanted, known, keys, F.struct(*wanted.columns), spread=1)
+    return joined.withColumn("exists", F.col("_known").isNotNull()).drop("_known")
 
 
 def all_exist(checked: DataFrame) -> DataFrame:
@@ -143,7 +201,7 @@ def session_children(sessions: DataFrame, key: str, children: dict[str, DataFram
 
 def leaked(accounts: DataFrame, leaks: DataFrame, secret: str = "secret", password: str = "password") -> DataFrame:
     """Accounts whose secret is in the leak list; both sides meet as hashes only."""
-    hashes = leaks.select(F.sha2(F.col(password), 256).alias("_hash")).distinct()
+    hashes = leaks.select(F.sha2(F.col(password), 256).alias("_hash"))
     return accounts.withColumn("_hash", F.sha2(F.col(secret), 256)).join(hashes, "_hash", "left_semi").drop("_hash")
 
 

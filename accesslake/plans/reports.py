@@ -19,12 +19,13 @@ from accesslake.operators.metrics import (
     crosstab,
     daily,
     distribution,
+    floor_share,
     metric_rows,
     ratio_pair,
     share_floor,
 )
 from accesslake.operators.ranking import top_k
-from accesslake.operators.risks import risk_totals
+from accesslake.operators.risks import RISKS, risk_totals
 
 Report = dict[str, DataFrame]
 
@@ -269,17 +270,17 @@ def console_board(users: DataFrame, assets: DataFrame, logins: DataFrame, sessio
 
 def pam_board(reconciled: DataFrame, found: DataFrame, jobs: DataFrame, kinds: list[str], days: int, as_of) -> Report:
     """Accounts at a glance: privilege and presence counts, risks, risk shares, automations, riskiest assets."""
-    counts = found.groupBy("risk").agg(F.count("*").alias("value"))
-    shares = counts.select(
-        F.col("risk"), "value", (F.floor(F.col("value") * 10000 / counts.select(F.sum("value")).scalar()) / 100.0).alias("share")
+    per_asset = found.groupBy("asset", "risk").agg(F.count("*").alias("n"))
+    shares = per_asset.groupBy("risk").agg(F.sum("n").alias("value")).withColumn(
+        "share", floor_share(F.col("value"), per_asset.select(F.sum("n")).scalar())
     )
     base = in_days(jobs, "date_start", as_of, days).groupBy("task").agg(F.count("*").alias("n"))
     return {
         "accounts": metric_rows(privilege_counts(reconciled)),
-        "risks": metric_rows(risk_totals(found)),
+        "risks": _sums(per_asset, {f"total_{r}_accounts": F.col("risk") == r for r in RISKS}),
         "risk_shares": shares,
         "automations": _sums(base, {k: F.col("task") == k for k in kinds}),
-        "top_assets": _ranked(top_k(found, "asset", F.count("*")), "asset"),
+        "top_assets": _ranked(top_k(per_asset, "asset", F.sum("n")), "asset"),
     }
 
 

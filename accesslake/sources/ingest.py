@@ -65,7 +65,10 @@ def append_new(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 
 
 def patch(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Partial update by key: columns the batch has replace the old value (null included), the others stay."""
+    """Partial update by key: columns the batch has replace the old value (null included), the others stay.
+
+    The batch has one row per key, as an upload keyed by id has.
+    """
     changed = [c for c in batch.columns if c != key]
     news = batch.select(key, F.struct(*changed).alias("_new"))
     joined = target.join(news, key, "left")
@@ -108,7 +111,7 @@ def export(df: DataFrame, path: str, predicate: Column | None = None, fmt: str =
 
 def selected(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows named by the id list, for an export of a selection."""
-    return df.join(ids.select(key).distinct(), key, "left_semi")
+    return df.join(ids.select(key), key, "left_semi")
 
 
 def retain(df: DataFrame, ts: str, keep_days: int, as_of) -> DataFrame:
