@@ -22,30 +22,34 @@ def nodes(t):
     return a.node_tree(t.region, t.nation, t.customer)
 
 
+def inner(t):
+    """Customers are leaves, so only the organisation's nodes are climbed through."""
+    return a.organisation_nodes(t.region, t.nation)
+
+
 @query(
     "tree_flatten",
     f"""WITH RECURSIVE {TREE_SQL}
         SELECT descendant AS id, max(distance)::BIGINT AS _level, string_agg(ancestor, '/' ORDER BY distance DESC) AS path FROM closure GROUP BY 1""",
 )
 def tree_flatten(t):
-    flat = tree.flatten(nodes(t), DEPTH)
+    flat = tree.flatten(nodes(t), DEPTH, inner(t))
     return flat.orderBy("path").select("id", "_level", F.array_join("path", "/").alias("path"))
 
 
 @query("tree_closure", f"WITH RECURSIVE {TREE_SQL} SELECT ancestor, descendant, distance::BIGINT AS distance FROM closure")
 def tree_closure(t):
-    return tree.closure(nodes(t), DEPTH)
+    return tree.closure(nodes(t), DEPTH, inner(t))
 
 
 @query(
     "tree_search",
-    f"""WITH RECURSIVE {TREE_SQL}, hit AS (SELECT id FROM nodes WHERE contains(lower(name), 'nation_1') OR contains(lower(name), '#000000012'))
+    f"""WITH RECURSIVE {TREE_SQL}, hit AS (SELECT id FROM nodes WHERE contains(lower(name), 'n_1'))
         SELECT descendant AS id FROM closure WHERE ancestor IN (SELECT id FROM hit)
         UNION SELECT ancestor FROM closure WHERE descendant IN (SELECT id FROM hit)""",
 )
 def tree_search(t):
-    found = tree.search(nodes(t), "Nation_1", DEPTH)
-    return found.union(tree.search(nodes(t), "#000000012", DEPTH)).distinct()
+    return tree.search(nodes(t), "N_1", DEPTH, inner(t))
 
 
 @query(
@@ -55,8 +59,8 @@ def tree_search(t):
                WHERE descendant = nodes.id AND distance > 0 AND a.name IN ('ASIA', 'NATION_3', 'NATION_5'))""",
 )
 def tree_visible(t):
-    marked = nodes(t).withColumn("expanded", ~F.col("name").isin("ASIA", "NATION_3", "NATION_5"))
-    return tree.visible(marked, "expanded", DEPTH)
+    expanded = ~F.col("name").isin("ASIA", "NATION_3", "NATION_5")
+    return tree.visible(nodes(t).withColumn("expanded", expanded), "expanded", DEPTH, inner(t).withColumn("expanded", expanded))
 
 
 @query(
@@ -75,7 +79,7 @@ def tree_leaf_selection(t):
 )
 def tree_subtree_count(t):
     assets = t.orders.select(F.col("o_orderkey").alias("asset"), F.concat(F.lit("c"), F.col("o_custkey")).alias("node"))
-    return tree.subtree_counts(nodes(t), assets, DEPTH)
+    return tree.subtree_counts(nodes(t), assets, DEPTH, inner(t))
 
 
 @query(

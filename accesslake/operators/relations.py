@@ -58,17 +58,16 @@ def resolve(requests: DataFrame, permissions: DataFrame, users: DataFrame, asset
     of which becomes one flag, so that a pair is reduced without collecting lists.
     """
     asked = requests.select("user", "asset").distinct()
-    candidates = asked.join(users, "user").join(assets, ["permission", "asset"]).join(permissions, "permission")
-    per_pair = candidates.groupBy("user", "asset").agg(
-        F.count("*").alias("permissions"), *[F.bool_or(F.array_contains("actions", x)).alias(f"_{x}") for x in actions]
+    covered = assets.withColumn("_covered", F.lit(True))
+    candidates = (
+        asked.join(users, "user", "left").join(covered, ["permission", "asset"], "left").join(permissions, "permission", "left")
     )
-    return (
-        asked.join(per_pair, ["user", "asset"], "left")
-        .withColumn("permissions", F.coalesce("permissions", F.lit(0).cast("bigint")))
-        .withColumn("granted", F.col("permissions") > 0)
-        .withColumn("actions", F.array_compact(F.array(*[F.when(F.col(f"_{x}"), F.lit(x)) for x in actions])))
-        .select("user", "asset", "permissions", "granted", "actions")
+    hit = F.coalesce("_covered", F.lit(False))
+    per_pair = candidates.groupBy("user", "asset").agg(
+        F.count_if(hit).alias("permissions"), *[F.bool_or(hit & F.array_contains("actions", x)).alias(f"_{x}") for x in actions]
     )
+    held = F.array_compact(F.array(*[F.when(F.col(f"_{x}"), F.lit(x)) for x in actions]))
+    return per_pair.select("user", "asset", "permissions", (F.col("permissions") > 0).alias("granted"), held.alias("actions"))
 
 
 def permitted_users(asset_id, users: DataFrame, assets: DataFrame) -> DataFrame:

@@ -14,16 +14,21 @@ from accesslake.session import cut_lineage
 
 
 def with_ancestors(
-    nodes: DataFrame, carry: tuple[str, ...] = (), max_depth: int | None = None, limit: int = 64
+    nodes: DataFrame,
+    carry: tuple[str, ...] = (),
+    max_depth: int | None = None,
+    inner: DataFrame | None = None,
+    limit: int = 64,
 ) -> DataFrame:
     """Adds ``ancestors``: an array of (id, carried columns), nearest ancestor first.
 
     With ``max_depth`` the climb is a lazy chain of that many joins. Without it the climb stops by itself: each level
     is checkpointed and the loop ends when no node has anything left to climb; ``limit`` guards the loop. A node that
-    meets itself or one of its ancestors again stops there, so cycles end.
+    meets itself or one of its ancestors again stops there, so cycles end. ``inner`` may name the nodes that can have
+    children, if they are known apart from the leaves; every level then reads only those.
     """
     fields = ("id", *carry)
-    parents = nodes.select(F.struct(*fields).alias("_up"), F.col("id").alias("_cursor"), F.col("parent_id").alias("_next"))
+    parents = (nodes if inner is None else inner).select(F.struct(*fields).alias("_up"), F.col("id").alias("_cursor"), F.col("parent_id").alias("_next"))
     empty = F.array().cast(f"array<{nodes.select(F.struct(*fields).alias('s')).schema['s'].dataType.simpleString()}>")
     climbing = nodes.withColumn("ancestors", empty).withColumn("_cursor", F.col("parent_id"))
     for level in range(max_depth if max_depth is not None else limit):
@@ -45,28 +50,28 @@ def with_ancestors(
     return climbing.drop("_cursor")
 
 
-def flatten(nodes: DataFrame, max_depth: int | None = None, sort_key: str = "id") -> DataFrame:
+def flatten(nodes: DataFrame, max_depth: int | None = None, inner: DataFrame | None = None, sort_key: str = "id") -> DataFrame:
     """Rows with ``_level`` (root 0) and ``path`` (root first); ordering by ``path`` walks the tree depth first."""
     carry = () if sort_key == "id" else (sort_key,)
-    up = with_ancestors(nodes, carry, max_depth)
+    up = with_ancestors(nodes, carry, max_depth, inner)
     keys = F.transform(F.reverse("ancestors"), lambda a: a[sort_key])
     return up.withColumn("_level", F.size("ancestors").cast("bigint")).withColumn(
         "path", F.array_append(keys, F.col(sort_key))
     ).drop("ancestors")
 
 
-def closure(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+def closure(nodes: DataFrame, max_depth: int | None = None, inner: DataFrame | None = None) -> DataFrame:
     """(ancestor, descendant, distance), every node being its own ancestor at distance 0."""
-    up = with_ancestors(nodes.select("id", "parent_id"), (), max_depth)
+    up = with_ancestors(nodes.select("id", "parent_id"), (), max_depth, inner)
     chain = F.concat(F.array(F.struct(F.col("id").alias("id"))), F.col("ancestors"))
     return up.select(F.posexplode(chain).alias("distance", "_a"), F.col("id").alias("descendant")).select(
         F.col("_a.id").alias("ancestor"), "descendant", F.col("distance").cast("bigint").alias("distance")
     )
 
 
-def search(nodes: DataFrame, keyword: str, max_depth: int | None = None) -> DataFrame:
+def search(nodes: DataFrame, keyword: str, max_depth: int | None = None, inner: DataFrame | None = None) -> DataFrame:
     """Ids of the nodes whose lower-cased name contains the keyword, with all their ancestors and descendants."""
-    up = with_ancestors(nodes.select("id", "parent_id", "name"), ("name",), max_depth)
+    up = with_ancestors(nodes.select("id", "parent_id", "name"), ("name",), max_depth, inner)
 
     def hit(name: Column) -> Column:
         return F.contains(F.lower(name), F.lit(keyword.lower()))
@@ -77,9 +82,9 @@ def search(nodes: DataFrame, keyword: str, max_depth: int | None = None) -> Data
     return up.select(F.explode(F.concat(own, above)).alias("id")).distinct()
 
 
-def visible(nodes: DataFrame, expanded: str = "expanded", max_depth: int | None = None) -> DataFrame:
+def visible(nodes: DataFrame, expanded: str = "expanded", max_depth: int | None = None, inner: DataFrame | None = None) -> DataFrame:
     """Nodes all of whose ancestors are expanded."""
-    up = with_ancestors(nodes.select("id", "parent_id", expanded), (expanded,), max_depth)
+    up = with_ancestors(nodes.select("id", "parent_id", expanded), (expanded,), max_depth, inner)
     return up.where(F.forall("ancestors", lambda a: a[expanded])).select("id")
 
 
@@ -89,9 +94,9 @@ def leaves(checked: DataFrame, nodes: DataFrame) -> DataFrame:
     return checked.join(parents, "id", "left_anti")
 
 
-def subtree_counts(nodes: DataFrame, assets: DataFrame, max_depth: int | None = None) -> DataFrame:
+def subtree_counts(nodes: DataFrame, assets: DataFrame, max_depth: int | None = None, inner: DataFrame | None = None) -> DataFrame:
     """Distinct assets at or below every node. Pairs are made unique in their own shuffle, so a root is no hot task."""
-    up = with_ancestors(nodes.select("id", "parent_id"), (), max_depth)
+    up = with_ancestors(nodes.select("id", "parent_id"), (), max_depth, inner)
     chain = F.transform(F.concat(F.array(F.struct(F.col("id").alias("id"))), F.col("ancestors")), lambda a: a["id"])
     held = assets.join(up.select(F.col("id").alias("node"), chain.alias("_chain")), "node")
     counts = held.select("asset", F.explode("_chain").alias("id")).groupBy("id").agg(F.count_distinct("asset").alias("assets"))

@@ -54,6 +54,21 @@ def select_tables(report: Report, visible) -> Report:
     return {k: v for k, v in report.items() if k in wanted} if wanted else report
 
 
+def _counted(df: DataFrame, ts: str, as_of, days: int, *keys: str | Column) -> DataFrame:
+    """Rows of the window reduced to counts ``n`` per date and keys: the frame all parts of a report start from.
+
+    The parts must ask for the very same reduction, or Spark would run it once per part. So the date's null test, which
+    the calendar join would add for some of them, is stated here, and parts that count distinct keys use ``_held``.
+    """
+    dated = in_days(df, ts, as_of, days).withColumn("date", F.to_date(ts)).where(F.col("date").isNotNull())
+    return dated.groupBy("date", *keys).agg(F.count("*").alias("n"))
+
+
+def _held(key: str) -> Column:
+    """A key of a counted frame; naming ``n`` keeps the count in the part's plan, see ``_counted``."""
+    return F.when(F.col("n") > 0, F.col(key))
+
+
 def _summed(base: DataFrame, spark_days: tuple, measures: dict[str, Column]) -> DataFrame:
     """Zero-filled daily sums over a frame that is already reduced to counts ``n`` per date and keys."""
     as_of, days = spark_days
@@ -76,16 +91,8 @@ def _ranked(top: DataFrame, key: str, total: str = "total") -> DataFrame:
 
 def user_login(users: DataFrame, logins: DataFrame, methods: list[str], days: int, as_of) -> Report:
     """Users: overview, sources, success and failure per day, visiting times and login methods."""
-    base = (
-        in_days(logins, "datetime", as_of, days)
-        .groupBy(
-            F.to_date("datetime").alias("date"),
-            F.floor(F.hour("datetime") / 6).alias("daypart"),
-            "method",
-            "status",
-        )
-        .agg(F.count("*").alias("n"))
-    )
+    daypart = F.floor(F.hour("datetime") / 6).alias("daypart")
+    base = _counted(logins, "datetime", as_of, days, daypart, "method", "status")
     return {
         "user_stats": user_stats(users),
         "user_by_source": distribution(users, "source"),
@@ -112,13 +119,11 @@ def user_stats(users: DataFrame) -> DataFrame:
 
 def password_change(changes: DataFrame, days: int, as_of) -> Report:
     """Password changes: totals, per day, and the ten most active targets and operators."""
-    base = (
-        in_days(changes, "datetime", as_of, days)
-        .groupBy(F.to_date("datetime").alias("date"), "user", "change_by")
-        .agg(F.count("*").alias("n"))
-    )
+    base = _counted(changes, "datetime", as_of, days, "user", "change_by")
     totals = base.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count_distinct("user").alias("targets"), F.count_distinct("change_by").alias("operators")
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.count_distinct(_held("user")).alias("targets"),
+        F.count_distinct(_held("change_by")).alias("operators"),
     )
     return {
         "totals": metric_rows(totals),
@@ -156,15 +161,10 @@ def asset_activity(sessions: DataFrame, days: int, as_of) -> Report:
 
     The filtered join is reduced once by every key the parts need.
     """
-    base = (
-        in_days(sessions, "date_start", as_of, days)
-        .groupBy(F.to_date("date_start").alias("date"), "user_id", "asset_id", "protocol", "login_from", "is_finished")
-        .agg(F.count("*").alias("n"))
-    )
-    totals = base.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("sessions"), F.count_distinct("asset_id").alias("assets"), F.count_distinct("user_id").alias("users")
-    )
-    active = base.groupBy("date").agg(F.count_distinct("user_id").alias("users"), F.count_distinct("asset_id").alias("assets"))
+    base = _counted(sessions, "date_start", as_of, days, "user_id", "asset_id", "protocol", "login_from", "is_finished")
+    distinct = [F.count_distinct(_held("asset_id")).alias("assets"), F.count_distinct(_held("user_id")).alias("users")]
+    totals = base.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sessions"), *distinct)
+    active = base.groupBy("date").agg(*distinct)
     return {
         "session_stats": metric_rows(totals),
         "session_trend": _summed(base, (as_of, days), {"total": F.lit(True)}),
@@ -204,11 +204,7 @@ def account_statistic(accounts: DataFrame, versions: DataFrame, days: int, as_of
 
 def account_automation(jobs: DataFrame, kinds: list[str], found: DataFrame, days: int, as_of) -> Report:
     """Automations: per kind, executions per day and kind, risk totals, success and failure per day."""
-    base = (
-        in_days(jobs, "date_start", as_of, days)
-        .groupBy(F.to_date("date_start").alias("date"), "task", "is_success")
-        .agg(F.count("*").alias("n"))
-    )
+    base = _counted(jobs, "date_start", as_of, days, "task", "is_success")
     return {
         "automations": _sums(base, {k: F.col("task") == k for k in kinds}),
         "executions": _summed(base, (as_of, days), {k: F.col("task") == k for k in kinds}),
@@ -219,11 +215,7 @@ def account_automation(jobs: DataFrame, kinds: list[str], found: DataFrame, days
 
 def audit_board(logs: DataFrame, sessions: DataFrame, days: int, as_of) -> Report:
     """Audit: totals of every log kind, login success ratio, logins per day. ``logs`` is the raw event log."""
-    base = (
-        in_days(logs, "ts", as_of, days)
-        .groupBy(F.to_date("ts").alias("date"), "event_type")
-        .agg(F.count("*").alias("n"))
-    )
+    base = _counted(logs, "ts", as_of, days, "event_type")
     kind = F.col("event_type")
     totals = base.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("logins"),
