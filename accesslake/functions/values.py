@@ -173,7 +173,7 @@ def list_amount(c: Column, dtype: T.DataType, remove: tuple[str, ...] = ("@SPEC"
     """Number of elements (of keys for a map) besides the marker values; duplicates count."""
     items = F.map_keys(c) if isinstance(dtype, T.MapType) else c
     kept = F.filter(items, lambda x: ~x.isin(*remove)) if remove else items
-    return F.coalesce(F.size(kept), F.lit(0))
+    return F.when(kept.isNull(), 0).otherwise(F.size(kept))
 
 
 def redact(df: DataFrame, fields: tuple[str, ...] = ("password", "secret", "private_key")) -> DataFrame:
