@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -29,9 +32,16 @@ def test_local_runs_use_a_fresh_folder():
     assert a != b and a.startswith("/tmp/run-")
 
 
-def test_a_real_session_passes_the_setting_on(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert shared_dir(spark, "t").startswith(str(tmp_path))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_a_real_session_passes_the_setting_on(tmp_path):
+    """In a process of its own, since the setting is fixed when a session starts."""
+    script = (
+        "from pyspark.sql import SparkSession\n"
+        "from accesslake.session import cut_lineage, shared_dir\n"
+        f"spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', '{tmp_path}').getOrCreate()\n"
+        "print('DIR', shared_dir(spark, 't'))\n"
+        "print('ROWS', cut_lineage(spark.range(3)).count())\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True, timeout=120, check=True).stdout
+    assert f"DIR {tmp_path}/accesslake-t-" in out and "ROWS 3" in out
+    assert any(tmp_path.iterdir())
