@@ -160,10 +160,10 @@ def count_probe(t):
 
 @query(
     "transfer_difference",
-    "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')",
+    "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)",
 )
 def transfer_difference(t):
-    chosen = t.lineitem.where(F.col("l_returnflag") == "R").select(F.col("l_partkey").alias("p_partkey"))
+    chosen = t.lineitem.where(F.col("l_quantity") >= 48).select(F.col("l_partkey").alias("p_partkey"))
     return sets.minus(t.part.select("p_partkey"), chosen, "p_partkey")
 
 
