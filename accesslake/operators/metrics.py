@@ -120,7 +120,7 @@ def tagged_union(kinds: dict[str, tuple[DataFrame, str, str]], keyword: str) ->
 
 def group_hits(hits: DataFrame, by: str, row_id: Column) -> DataFrame:
     """Search hits with the size of their group. Groups stay as rows, and a large one is spread over tasks."""
-    return attach_spread(hits, hits.groupBy(by).agg(F.count("*").alias("group_size")), by, row_id)
+    return attach_spread(hits, hits.groupBy(by).agg(F.count("*").alias("group_size")), by, row_id, "group_size")
 
 
 def import_summary(rows: DataFrame, status: str = "status") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accesslake.functions.values import all_of, any_of
+
 # Account selectors of a permission.
 ALL, SPEC, NOT, NONE, SAME_USER, INPUT, ANON = "@ALL", "@SPEC", "@NOT", "@NONE", "@USER", "@INPUT", "@ANON"
 
@@ -15,17 +17,37 @@ def attach(df: DataFrame, dim: DataFrame, fk: str, dim_key: str, **names: str) -
     return df.join(picked, fk, "left")
 
 
-def attach_spread(df: DataFrame, per_key: DataFrame, keys: str | list[str], row_id: Column, spread: int = 16) -> DataFrame:
+def attach_spread(
+    df: DataFrame,
+    per_key: DataFrame,
+    keys: str | list[str],
+    row_id: Column,
+    rows: str | None = None,
+    spread: int = 64,
+    hot_keys: int = 1000,
+) -> DataFrame:
     """Left join of one-row-per-key results back to their rows when a key may hold a large part of all rows.
 
-    Rows of a key are spread over ``spread`` tasks by a hash of their id and the per-key side is repeated as often, so
-    a key with a third of the rows is no single task's work. The salt also keeps an exchange right below the join on
-    both sides (an aggregated side alone would bring none), which lets adaptive execution split a still larger
-    partition; with ``spread=1`` nothing is repeated and that splitting is relied on alone.
+    ``rows`` names the result's count of the key's rows. Keys above a ``hot_keys``-th of the counted rows (so never
+    more than that many keys, which bounds what is broadcast) have their rows spread over ``spread`` tasks by a hash
+    of the row's id, and only their results are repeated as often. The salt also keeps an exchange right below the
+    join on both sides (an aggregated side alone would bring none), which lets adaptive execution split partitions
+    that are still too large; without ``rows`` that splitting is relied on alone. Rows without a key are spread too.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(spread)).cast("int"))
-    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    # The joins would add this test to some readers of the result and not to others; said here, all share one exchange.
+    per_key = per_key.where(all_of([F.col(k).isNotNull() for k in keys]))
+    if rows is None:
+        spread, marked, flagged = 1, per_key.withColumn("_hot", F.lit(False)), df.withColumn("_hot", F.lit(False))
+    else:
+        limit = per_key.select(F.sum(rows)).scalar() / hot_keys
+        marked = per_key.withColumn("_hot", F.col(rows) > limit)
+        flagged = df.join(F.broadcast(marked.where("_hot").select(*keys, "_hot")), keys, "left")
+    keyless = any_of([F.col(k).isNull() for k in keys])
+    ways = F.when(F.coalesce("_hot", F.lit(False)) | keyless, spread).otherwise(1)
+    salted = flagged.withColumn("_salt", F.pmod(F.xxhash64(row_id), ways).cast("int")).drop("_hot")
+    last = F.when(F.col("_hot"), spread - 1).otherwise(0)
+    repeated = marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
     return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
 
@@ -106,7 +128,7 @@ def selected_accounts(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
 def account_allowed(requests: DataFrame, accounts: DataFrame) -> DataFrame:
     """Adds ``allowed`` to requests (scope, user, asset, selectors, username): one equality join, whatever the selector."""
     known = accounts.select("asset", "username").distinct().withColumn("_known", F.lit(True))
-    joined = attach_spread(requests, known, ["asset", "username"], F.struct("scope", "user"), spread=1)
+    joined = attach_spread(requests, known, ["asset", "username"], F.struct("scope", "user"))
     virtual = F.col("username").isin(INPUT, ANON) & F.array_contains("selectors", F.col("username")) & ~_has(NONE)
     return joined.withColumn("allowed", virtual | _chosen(F.col("_known").isNotNull(), F.col("username"))).drop("_known")
 
@@ -123,7 +145,7 @@ def usable_accounts(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
     names = F.filter("selectors", lambda x: ~x.startswith("@"))
     looked_up = scopes.select(*ids, F.explode(F.array_distinct(F.array_append(names, F.col("user")))).alias("username"), "selectors")
     found = attach_spread(
-        looked_up, known.withColumn("_known", F.lit(True)), ["asset", "username"], F.struct("scope", "user"), spread=1
+        looked_up, known.withColumn("_known", F.lit(True)), ["asset", "username"], F.struct("scope", "user")
     ).where(F.col("_known"))
     listed = F.array_contains("selectors", F.col("username"))
     per_scope = found.groupBy(*ids).agg(
@@ -152,7 +174,7 @@ def usable_accounts(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
 def account_exists(wanted: DataFrame, accounts: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``exists`` to every wanted account; the account list is reduced to its keys before the join."""
     known = accounts.select(*keys).distinct().withColumn("_known", F.lit(True))
-    joined = attach_spread(wanted, known, keys, F.struct(*wanted.columns), spread=1)
+    joined = attach_spread(wanted, known, keys, F.struct(*wanted.columns))
     return joined.withColumn("exists", F.col("_known").isNotNull()).drop("_known")
 
 

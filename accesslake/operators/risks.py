@@ -80,13 +80,13 @@ def repeated(df: DataFrame, secret: str, row_id: str) -> DataFrame:
     """Rows whose secret occurs more than once, with the count; secrets meet as hashes, hot ones are spread."""
     hashed = df.withColumn("_hash", F.sha2(F.col(secret), 256))
     often = hashed.groupBy("_hash").agg(F.count("*").alias("same")).where(F.col("same") > 1)
-    return attach_spread(hashed, often, "_hash", F.col(row_id)).where(F.col("same").isNotNull()).drop("_hash")
+    return attach_spread(hashed, often, "_hash", F.col(row_id), "same").where(F.col("same").isNotNull()).drop("_hash")
 
 
 def flag_duplicates(df: DataFrame, name: str, row_id: str) -> DataFrame:
     """Adds ``is_same`` to rows whose name occurs more than once."""
     often = df.groupBy(name).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    return attach_spread(df, often, name, F.col(row_id)).withColumn("is_same", F.col("_n").isNotNull()).drop("_n")
+    return attach_spread(df, often, name, F.col(row_id), "_n").withColumn("is_same", F.col("_n").isNotNull()).drop("_n")
 
 
 def attr_changed(reconciled: DataFrame) -> dict[str, Column]:
@@ -117,7 +117,7 @@ def findings(reconciled: DataFrame, secrets: DataFrame, leaks: DataFrame, as_of)
             (F.col("_n") > 1) | F.col("_leak")
         )
     )
-    known = attach_spread(with_secret, often, "_hash", F.struct("asset", "username"))
+    known = attach_spread(with_secret, often, "_hash", F.struct("asset", "username"), "_n")
     last_login = F.greatest("managed_date_last_login", "remote_date_last_login")
     changed = F.greatest("managed_date_secret_changed", "remote_date_secret_changed")
     tests = {

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from accesslake.functions.calendar import calendar, in_days
 from accesslake.operators.metrics import (
@@ -263,8 +264,9 @@ def console_board(users: DataFrame, assets: DataFrame, logins: DataFrame, sessio
 def pam_board(reconciled: DataFrame, found: DataFrame, jobs: DataFrame, kinds: list[str], days: int, as_of) -> Report:
     """Accounts at a glance: privilege and presence counts, risks, risk shares, automations, riskiest assets."""
     per_asset = found.groupBy("asset", "risk").agg(F.count("*").alias("n"))
+    # At most one row per risk name is left here, so one window over all of them is small.
     shares = per_asset.groupBy("risk").agg(F.sum("n").alias("value")).withColumn(
-        "share", floor_share(F.col("value"), per_asset.select(F.sum("n")).scalar())
+        "share", floor_share(F.col("value"), F.sum("value").over(Window.partitionBy()))
     )
     base = in_days(jobs, "date_start", as_of, days).groupBy("task").agg(F.count("*").alias("n"))
     return {

@@ -66,7 +66,7 @@ def test_adaptive_execution_can_split_a_hot_key(spark):
             F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.xxhash64("id").alias("row")
         )
         per_key = df.groupBy("k").agg(F.count("*").alias("n"))
-        joined = r.attach_spread(df, per_key, "k", F.col("row"), spread=1)
+        joined = r.attach_spread(df, per_key, "k", F.col("row"))
         assert joined.where("k = -1").agg(F.min("n"), F.count("*")).first() == (100_000, 100_000)
         summed = joined.agg(F.sum("n"), F.max("row"))
         summed.collect()
