@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from accesslake.functions.values import all_of, any_of
 
-# The day counts a report may cover, and the list presets.
+# The day counts a report may cover.
 REPORT_DAYS = ["1", "7", "30"]
-LIST_PRESET_DAYS = [1, 7, 30, 90, 183, 365]
 
 # Fixed value: separator between the ranges of one weekday.
 RANGE_SEPARATOR = "、"

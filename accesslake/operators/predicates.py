@@ -184,6 +184,15 @@ def rule_test(rule: dict, id_column: str) -> Column:
     return attr_tests(rule["attrs"])
 
 
+def check_rule(rule: dict, types: dict[str, str]) -> dict:
+    """The rule, if each of its conditions uses an operator offered for the attribute's type; else an error."""
+    for condition in rule.get("attrs", []):
+        offered = TYPE_MATCHES[types[condition["name"]]]
+        if condition["match"] not in offered:
+            raise ValueError(f"{condition['name']}: {condition['match']} is not one of {', '.join(offered)}")
+    return rule
+
+
 def match_rules(df: DataFrame, rule: dict, id_column: str) -> DataFrame:
     return df.where(rule_test(rule, id_column))
 

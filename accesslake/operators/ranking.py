@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-# Page sizes, the default first.
+# Fixed value: rows of a page unless told otherwise.
 DEFAULT_PAGE_SIZE = 15
-PAGE_SIZES = [15, 30, 50, 100]
 
 
 def top_k(df: DataFrame, key: str, measure: Column, k: int = 10, name: str = "total") -> DataFrame:

@@ -142,8 +142,11 @@ def usable_accounts(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
     ids = ["scope", "user", "asset"]
     known = accounts.select("asset", "username").distinct()
     totals = known.groupBy("asset").agg(F.count("*").alias("_total"))
+    nothing = F.array().cast("array<string>")
     names = F.filter("selectors", lambda x: ~x.startswith("@"))
-    looked_up = scopes.select(*ids, F.explode(F.array_distinct(F.array_append(names, F.col("user")))).alias("username"), "selectors")
+    wanted = F.array_distinct(F.concat(names, F.when(_has(SAME_USER), F.array("user")).otherwise(nothing)))
+    by_name = F.when(_has(ALL) | _has(NONE), nothing).otherwise(wanted)
+    looked_up = scopes.select(*ids, F.explode(by_name).alias("username"), "selectors")
     found = attach_spread(
         looked_up, known.withColumn("_known", F.lit(True)), ["asset", "username"], F.struct("scope", "user")
     ).where(F.col("_known"))

@@ -118,3 +118,11 @@ def retain(df: DataFrame, ts: str, keep_days: int, as_of) -> DataFrame:
     """Rows of the last ``keep_days`` days; a literal bound, so whole day partitions are skipped."""
     start, _ = day_window(as_of, keep_days)
     return df.where(F.col(ts) >= at(df, ts, start))
+
+
+def retain_kinds(logs: dict[str, tuple[DataFrame, str]], keep_days: dict[str, int], as_of) -> dict[str, DataFrame]:
+    """``retain`` for each log kind that has a setting; ``logs`` gives the frame and its time column per kind."""
+    unknown = set(keep_days) - set(KEEP_DAYS_KINDS)
+    if unknown:
+        raise ValueError(f"no keep-days setting for {sorted(unknown)}")
+    return {kind: retain(df, ts, keep_days[kind], as_of) if kind in keep_days else df for kind, (df, ts) in logs.items()}

@@ -18,11 +18,14 @@ from accesslake.sources.tables import SCHEMAS
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A table's files as a stream, with the explicit schema. Wall-clock columns become TIMESTAMP for watermarks."""
-    reader = spark.readStream.schema(SCHEMAS[table]).option("pathGlobFilter", f"{table}*.parquet")
+    """A table's files as a stream, with the explicit schema. Wall-clock columns become TIMESTAMP for watermarks.
+
+    The table is one file, a directory of files, or several of either named ``table-*``.
+    """
+    reader = spark.readStream.schema(SCHEMAS[table])
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    stream = reader.parquet(folder)
+    stream = reader.parquet(f"{folder}/{table}{{,-*}}.parquet")
     ntz = [f.name for f in stream.schema.fields if f.dataType.simpleString() == "timestamp_ntz"]
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
 

@@ -108,3 +108,15 @@ def test_listing_order(tables):
 
 def test_redact_leaves_other_columns(tables):
     assert redact(tables.region).collect() == tables.region.collect()
+
+
+def test_retention_per_kind(tables):
+    logs = {"login_log": (tables.events, "ts"), "ftp_log": (tables.events, "ts")}
+    kept = i.retain_kinds(logs, {"login_log": 1}, "2024-01-30")
+    assert kept["ftp_log"].count() == tables.events.count()
+    assert kept["login_log"].count() == tables.events.where("ts >= timestamp_ntz '2024-01-30'").count()
+    try:
+        i.retain_kinds(logs, {"other": 1}, "2024-01-30")
+        raise AssertionError
+    except ValueError:
+        pass

@@ -54,6 +54,17 @@ def test_rule_documents(spark):
     assert p.match_ids(df, spark.createDataFrame([(1,), (1,), (7,)], ["id"]), "id").count() == 1
 
 
+def test_offered_operators():
+    rule = {"type": "attrs", "attrs": [{"name": "ip", "match": "ip_in", "value": ["*"]}]}
+    assert p.check_rule(rule, {"ip": "ip"}) is rule
+    for kind in ("str", "bool", "select"):
+        try:
+            p.check_rule(rule, {"ip": kind})
+            raise AssertionError
+        except ValueError:
+            pass
+
+
 def test_permission_expression(spark):
     df = spark.createDataFrame([(["a|b", "c"], ["b", "c"]), (["a & b"], ["a"]), ([], [])], "r array<string>, g array<string>")
     assert [x[0] for x in df.select(p.has_perms(F.col("r"), F.col("g"))).collect()] == [True, False, True]

@@ -59,3 +59,9 @@ def test_online_state_over_micro_batches(spark, tables, folder):
     got = s.run_update(s.online_state(stream, *args), ["user_id"], "test-online")
     assert rows_of(got) == rows_of(s.online_state(tables.events, *args))
     assert s.online_card(got).first().failed_today == tables.events.where(kind == "error").count()
+
+
+def test_a_table_may_be_a_directory(spark, tables, tmp_path):
+    tables.events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    stream = s.table_stream(spark, str(tmp_path), "events", files_per_trigger=1)
+    assert s.run_append(stream.select("event_id"), "test-directory").count() == tables.events.count()
