@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import accesslake
 from accesslake.session import shared_dir
 from accesslake.sources.tables import Tables
 
@@ -18,7 +22,7 @@ def query(name: str, sql: str | None = None):
     """Registers ``build(tables)`` under ``name``."""
 
     def register(build: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: build(Tables(shipped(spark), folder))
         if sql is not None:
             ORACLES[name] = sql
         return build
@@ -26,6 +30,23 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """``spark`` with this package sent to its executors, once a context, so that their Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(accesslake.__file__).parent
+        path = Path(tempfile.mkdtemp(prefix="ship-")) / "accesslake.zip"
+        with zipfile.ZipFile(path, "w") as packed:
+            for file in sorted(root.rglob("*.py")):
+                packed.write(file, str(file.relative_to(root.parent)))
+        spark.sparkContext.addPyFile(str(path))
+        _SHIPPED.add(app)
+    return spark
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a Parquet table in the folder the cluster shares, read back; it outlives lost executors."""
     path = shared_dir(df.sparkSession, purpose)

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from accesslake.llm.bitpack import read_documents, write_ids
 from accesslake.llm.common import ORACLES, QUERIES, query
+from accesslake.llm.kdtree import shard
 from accesslake.llm.packing import pack
+from accesslake.llm.simhash import near_duplicates
+from accesslake.llm.suffix import cut_texts
+from accesslake.llm.topk import top_k
+from accesslake.llm.toxicity import score, train
+from accesslake.llm.urltree import Rule, judge
+from accesslake.llm.winnow import neighbours
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -15,11 +24,74 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_winnowing")
+def op1(t):
+    return neighbours(t.documents)
+
+
 @query("op2_token_bits")
 def op2(t):
     return read_documents(write_ids(t.documents, tokenizer("byte_bpe_50k.json"), end_id=0))
 
 
+@query("op3_simhash_near_dedup")
+def op3(t):
+    found = near_duplicates(t.documents, radius=4, shingle=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("words")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op4_suffix_array_dedup")
+def op4(t):
+    text = F.coalesce("text", F.lit(""))
+    whole = t.documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
+    cut = cut_texts(t.documents, length=400).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept"))
+    both = whole.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    none = F.lit(0).cast("long")
+    return both.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
+
+
+OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+           FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op5_branch_and_bound_top_k", OP5)
+def op5(t):
+    return top_k(t.embeddings, F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+@query("op6_pu_toxicity")
+def op6(t):
+    return score(t.documents, train(t.documents, t.labels))
+
+
 @query("op8_sum_of_squares_packing")
 def op8(t):
     return pack(t.documents, tokenizer("word_bpe_49k.json"), end_id=2)
+
+
+@query("op9_kd_tree_shards")
+def op9(t):
+    placed = shard(t.documents, shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+RULES = [
+    Rule("org", "/", "allow"),
+    Rule("example.org", "/es/", "block"),
+    Rule("example.org", "/en/1", "block"),
+    Rule("com", "/fr/", "allow"),
+    Rule("com", "/de/", "block"),
+]
+
+
+@query("op10_path_template_tree")
+def op10(t):
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    return judge(t.pages, t.labels.select(F.col("doc_id").alias("page_id"), good.alias("good")), RULES)
