@@ -50,26 +50,36 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
         done *= 2
 
 
-def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
-    width = 1
-    full = len(x) - size + 1
+def sliding(pick, x: np.ndarray, size: int) -> np.ndarray:
+    """The least or greatest (``pick``) of each ``size`` numbers in a row, by doubling."""
+    width, full = 1, len(x) - size + 1
     while 2 * width <= size:
-        x = np.minimum(x[:-width], x[width:])
+        x = pick(x[:-width], x[width:])
         width *= 2
-    return np.minimum(x[:full], x[size - width : size - width + full])
+    return pick(x[:full], x[size - width : size - width + full])
 
 
-def windows(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(key, first start, starts)``: the strings of ``length`` bytes by runs of one key.
+def windows(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, first start, starts, inner)``: the strings of ``length`` bytes by runs of one key.
 
-    A string's key is the smallest hash of a gram in it, so equal strings have equal keys wherever they stand.
+    A string's key is the smallest hash of a gram in it, so equal strings have equal keys wherever they stand. ``inner``
+    tells runs that may hold a string twice: their smallest gram occurs again.
     """
     gram = min(GRAM, length)
+    grams = length - gram + 1
     if len(data) < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    least = sliding_min(gram_hashes(data, gram), length - gram + 1)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    h = gram_hashes(data, gram)
+    least = sliding(np.minimum, h, grams)
     first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    return least[first], first, np.diff(np.concatenate([first, [len(least)]]))
+    n = np.diff(np.concatenate([first, [len(least)]]))
+    edge = np.zeros(grams - 1, least.dtype)
+    chosen = np.flatnonzero(h == sliding(np.maximum, np.concatenate([edge, least, edge]), grams))  # smallest of some window
+    again = (h[chosen[1:]] == h[chosen[:-1]]) & (np.diff(chosen) <= grams)
+    pairs = np.concatenate([[0], np.cumsum(again)])
+    low = np.searchsorted(chosen, first)
+    high = np.searchsorted(chosen, first + n + grams - 2, side="right") - 1
+    return least[first], first, n, pairs[np.maximum(high, low)] > pairs[low]
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +300,7 @@ def _repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[
     """The spans of ``repeated_spans``, and the written texts that may have any.
 
     1. Each text is cut into runs of strings with one key (the smallest gram hash in the string); only keys, ids and
-       places leave the task. Keys that occur once are dropped: their strings cannot repeat.
+       places leave the task. Keys of a single run, if nothing repeats inside it, are dropped: their strings occur once.
     2. The texts that keep keys give the runs' bytes. Equal contexts are counted, not copied, which takes the weight out
        of copies and of passages that many texts share.
     3. Contexts are dealt out by key to shards. A shard's suffix array and common prefixes give the strings it has more
@@ -304,13 +314,13 @@ def _repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 found = [windows(np.frombuffer(x.encode("utf-8", "surrogatepass"), np.uint8), length) for x in part.column(2).to_pylist()]
-                times = np.array([len(k) for k, _, _ in found])
+                times = np.array([len(f[0]) for f in found])
                 take = pa.array(np.repeat(np.arange(len(found)), times))
-                cat = [np.concatenate([f[i] for f in found]) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(cat[0].view(np.int64)), pa.array(cat[1]), pa.array(cat[2])], names=["doc_id", "text_hash", "key", "first", "n"])
+                cat = [np.concatenate([f[i] for f in found]) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(cat[0].view(np.int64)), *map(pa.array, cat[1:])], names=["doc_id", "text_hash", "key", "first", "n", "inner"])
 
-    runs = written(rows.mapInArrow(keys, "doc_id long, text_hash long, key long, first long, n long"), "runs")
-    often = runs.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    runs = written(rows.mapInArrow(keys, "doc_id long, text_hash long, key long, first long, n long, inner boolean"), "runs")
+    often = runs.groupBy("key").agg(F.count("*").alias("times"), F.max("inner").alias("inner")).where("times > 1 or inner").select("key")
     chosen = runs.join(often, "key", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "first", "n")).alias("runs"))
     texts = written(rows.join(_renamed(chosen), _same()).select("doc_id", "text_hash", "text", "runs"), "texts")
 
