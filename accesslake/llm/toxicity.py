@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     pooled = (F.col("p") + F.col("u")) / (n_p + n_u)
     lead = (p - u) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-12)
     least = max(2, n_p // 400)
-    best = counts.where((F.col("p") >= least) & (p > 1.5 * u)).select("feature", lead.alias("lead")).where("lead > 3").orderBy(F.desc("lead"), "feature").limit(max_features)
+    best = counts.where((F.col("p") >= least) & (p > 1.5 * u)).select("feature", lead.alias("lead")).where("lead > 5").orderBy(F.desc("lead"), "feature").limit(max_features)
     names = [r["feature"] for r in best.collect()]
     place = {f: i for i, f in enumerate(names)}
 
