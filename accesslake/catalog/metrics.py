@@ -64,17 +64,14 @@ def daily_success_failure(t):
     return dated(m.daily(logins, "datetime", EVENTS_AS_OF, 30, measures))
 
 
-METHODS_SQL = ", ".join(f"coalesce(count(*) FILTER (event_type = '{k}'), 0) AS \"{k}\"" for k in EVENT_TYPES)
-METHODS_ZERO = ", ".join(f'coalesce("{k}", 0) AS "{k}"' for k in EVENT_TYPES)
-
-
 @query(
     "daily_by_method",
-    f"""WITH {days_sql(EVENTS_AS_OF, 30)}, n AS (SELECT ts::DATE AS date, {METHODS_SQL} FROM events GROUP BY 1)
-        SELECT date::VARCHAR AS date, {METHODS_ZERO} FROM cal LEFT JOIN n USING (date)""",
+    f"""WITH {days_sql(EVENTS_AS_OF, 30)}, n AS (SELECT ts::DATE AS date, event_type AS series, count(*) AS value FROM events GROUP BY 1, 2),
+             s AS (SELECT DISTINCT series FROM n JOIN cal USING (date))
+        SELECT date::VARCHAR AS date, series, coalesce(value, 0) AS value FROM cal CROSS JOIN s LEFT JOIN n USING (date, series)""",
 )
 def daily_by_method(t):
-    return dated(m.daily_by(a.login_log(t.events), "datetime", "method", EVENT_TYPES, EVENTS_AS_OF, 30))
+    return dated(m.daily_by(a.login_log(t.events), "datetime", "method", EVENTS_AS_OF, 30))
 
 
 @query(
@@ -150,12 +147,14 @@ def ratio_console(t):
     return users.union(assets)
 
 
-TYPES_SQL = ", ".join(f'count(*) FILTER (p_type = \'{k}\') AS "{k}"' for k in PART_TYPES)
-
-
-@query("crosstab", f"SELECT p_brand AS platform, {TYPES_SQL} FROM part GROUP BY 1")
+@query(
+    "crosstab",
+    """SELECT platform, category, count(p_partkey) AS value
+       FROM (SELECT DISTINCT p_brand AS platform FROM part) CROSS JOIN (SELECT DISTINCT p_type AS category FROM part)
+       LEFT JOIN part ON p_brand = platform AND p_type = category GROUP BY 1, 2""",
+)
 def crosstab(t):
-    return m.crosstab(a.asset(t.part), "platform", "category", PART_TYPES)
+    return m.crosstab(a.asset(t.part), "platform", "category")
 
 
 @query(

@@ -56,7 +56,7 @@ PERM_SQL = """
 def permission_sides(t):
     """(permission, user) and (permission, asset) of the fixture permissions, factored and deduplicated."""
     users = r.permission_users(a.permission_users(t.nation, t.supplier), a.permission_groups(t.nation), a.group_members(t.customer))
-    closure = tree.closure(a.organisation_nodes(t.region, t.nation), max_depth=3)
+    closure = tree.closure(a.organisation_nodes(t.region, t.nation))
     assets = r.permission_assets(
         a.permission_assets(t.nation, t.part), a.permission_nodes(t.nation), closure, a.asset_nodes(t.part)
     )
@@ -345,14 +345,14 @@ LEAK_SQL = """leak AS (SELECT DISTINCT p_name || '#' || p_size || '#' || l_suppk
 
 
 def accounts_with_secret(t):
-    accounts = a.account(t.lineitem).join(t.part.select(F.col("p_partkey").alias("asset"), "p_name", "p_size"), "asset")
+    accounts = a.account(t.lineitem).join(t.part.select(F.col("p_partkey").alias("asset"), "p_name", "p_size"), "asset", "left")
     return accounts.withColumn("secret", a.account_secret(F.col("p_name"), F.col("p_size"), F.col("username")))
 
 
 @query(
     "leaked_secret",
     f"""WITH {LEAK_SQL}, acc AS (SELECT DISTINCT l_suppkey AS username, l_partkey AS asset, p_name || '#' || p_size || '#' || l_suppkey AS secret
-                                 FROM lineitem JOIN part ON l_partkey = p_partkey)
+                                 FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)
         SELECT username, asset FROM acc WHERE secret IN (SELECT password FROM leak)""",
 )
 def leaked_secret(t):
@@ -376,7 +376,7 @@ def group_members(t):
        UNION ALL SELECT 'n3', asset FROM asset_node WHERE nation = 3""",
 )
 def node_assets(t):
-    closure = tree.closure(a.organisation_nodes(t.region, t.nation), max_depth=3)
+    closure = tree.closure(a.organisation_nodes(t.region, t.nation))
     wanted = t.region.select(F.concat(F.lit("r"), "r_regionkey").alias("node")).union(
         t.nation.where(F.col("n_nationkey") == 3).select(F.concat(F.lit("n"), "n_nationkey"))
     )

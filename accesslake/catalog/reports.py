@@ -88,7 +88,7 @@ FAILURE = "count(*) FILTER (NOT status)"
     ),
 )
 def report_user_login(t):
-    return reports.long_form(reports.user_login(a.user(t.customer), a.login_log(t.events), EVENT_TYPES, DAYS, EVENTS_AS_OF))
+    return reports.long_form(reports.user_login(a.user(t.customer), a.login_log(t.events), DAYS, EVENTS_AS_OF))
 
 
 CHANGES = f"SELECT user_id AS \"user\", k AS change_by, date FROM ({LOGINS}) WHERE event_type = 'signup'"
@@ -136,7 +136,7 @@ def report_password_change(t):
 )
 def report_asset_statistic(t):
     added = t.lineitem.groupBy(F.col("l_partkey").alias("asset")).agg(F.min("l_shipdate").alias("date_created"))
-    return reports.long_form(reports.asset_statistic(a.asset(t.part), added, PART_TYPES, DAYS, ORDERS_AS_OF))
+    return reports.long_form(reports.asset_statistic(a.asset(t.part), added, DAYS, ORDERS_AS_OF))
 
 
 SESSIONS = (
@@ -386,7 +386,7 @@ def dashboard_change_secret(t):
 )
 def report_long(t):
     """One table of each shape: date series, name and value, metric map, records per category."""
-    login = reports.user_login(a.user(t.customer), a.login_log(t.events), EVENT_TYPES, DAYS, EVENTS_AS_OF)
+    login = reports.user_login(a.user(t.customer), a.login_log(t.events), DAYS, EVENTS_AS_OF)
     by_category = t.part.groupBy(F.col("p_type").alias("__category"), F.col("p_brand").alias("name")).agg(F.count("*").alias("value"))
     return reports.long_form(
         {
@@ -407,5 +407,5 @@ def report_long(t):
 )
 def report_select(t):
     """A saved report of seven days with two of its tables visible."""
-    login = reports.user_login(a.user(t.customer), a.login_log(t.events), EVENT_TYPES, 7, EVENTS_AS_OF)
+    login = reports.user_login(a.user(t.customer), a.login_log(t.events), 7, EVENTS_AS_OF)
     return reports.long_form(reports.select_tables(login, " user_stats, ,login_trend "))

@@ -71,10 +71,10 @@ def risk_account_deleted(t):
 @query(
     "risk_long_no_login",
     """SELECT l_suppkey AS username, l_partkey AS asset, date_diff('day', max(l_shipdate)::DATE, DATE '2001-11-04') AS days FROM lineitem
-       GROUP BY 1, 2 HAVING date_diff('day', max(l_shipdate)::DATE, DATE '2001-11-04') > 90""",
+       GROUP BY 1, 2 HAVING max(l_shipdate) IS NULL OR date_diff('day', max(l_shipdate)::DATE, DATE '2001-11-04') > 90""",
 )
 def risk_long_no_login(t):
-    idle = a.account(t.lineitem).where(risks.older_than(F.col("date_last_login"), risks.NO_LOGIN_DAYS, LINES_AS_OF))
+    idle = a.account(t.lineitem).where(risks.idle(F.col("date_last_login"), risks.NO_LOGIN_DAYS, LINES_AS_OF))
     days = F.datediff(F.lit(LINES_AS_OF).cast("date"), F.col("date_last_login"))
     return idle.select("username", "asset", days.cast("bigint").alias("days"))
 
@@ -150,10 +150,10 @@ def risk_attr_changed(t):
 
 
 FINDINGS_SQL = f"""{RECONCILE_SQL}, {LEAK_SQL},
-    full_rec AS (SELECT rec.*, p_name || '#' || p_size || '#' || username AS s FROM rec JOIN part ON asset = p_partkey),
-    full_rep AS (SELECT *, count(*) OVER (PARTITION BY s) AS same FROM full_rec),
+    full_rec AS (SELECT rec.*, p_name || '#' || p_size || '#' || username AS s FROM rec LEFT JOIN part ON asset = p_partkey),
+    full_rep AS (SELECT *, CASE WHEN s IS NOT NULL THEN count(*) OVER (PARTITION BY s) ELSE 0 END AS same FROM full_rec),
     found AS (
-        SELECT asset, username, present, 'long_time_no_login' AS risk FROM full_rep WHERE date_diff('day', last_login::DATE, DATE '2001-11-04') > 90
+        SELECT asset, username, present, 'long_time_no_login' AS risk FROM full_rep WHERE last_login IS NULL OR date_diff('day', last_login::DATE, DATE '2001-11-04') > 90
         UNION ALL SELECT asset, username, present, 'new_found' FROM full_rep WHERE remote_present AND NOT present
         UNION ALL SELECT asset, username, present, 'groups_changed' FROM full_rep WHERE present AND remote_present AND mg <> dg
         UNION ALL SELECT asset, username, present, 'sudoers_changed' FROM full_rep WHERE present AND remote_present AND ms <> ds
@@ -168,8 +168,10 @@ FINDINGS_SQL = f"""{RECONCILE_SQL}, {LEAK_SQL},
 
 
 def findings(t):
-    secrets = t.part.select(F.col("p_partkey").alias("asset"), "p_name", "p_size")
-    return risks.findings(reconciled(t), secrets, a.leak_list(t.lineitem, t.part), LINES_AS_OF)
+    assets = t.part.select(F.col("p_partkey").alias("asset"), "p_name", "p_size")
+    accounts = reconciled(t).join(assets, "asset", "left")
+    secret = a.account_secret(F.col("p_name"), F.col("p_size"), F.col("username"))
+    return risks.findings(accounts, secret, a.leak_list(t.lineitem, t.part), LINES_AS_OF)
 
 
 @query(

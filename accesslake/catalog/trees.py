@@ -15,31 +15,25 @@ TREE_SQL = """
     closure AS (SELECT id AS descendant, id AS ancestor, 0 AS distance, parent_id AS up FROM nodes
                 UNION ALL SELECT c.descendant, n.id, c.distance + 1, n.parent_id FROM closure c JOIN nodes n ON c.up = n.id)
 """
-DEPTH = 3
 
 
 def nodes(t):
     return a.node_tree(t.region, t.nation, t.customer)
 
 
-def inner(t):
-    """Customers are leaves, so only the organisation's nodes are climbed through."""
-    return a.organisation_nodes(t.region, t.nation)
-
-
 @query(
     "tree_flatten",
     f"""WITH RECURSIVE {TREE_SQL}
         SELECT descendant AS id, max(distance)::BIGINT AS _level, string_agg(ancestor, '/' ORDER BY distance DESC) AS path FROM closure GROUP BY 1""",
 )
 def tree_flatten(t):
-    flat = tree.flatten(nodes(t), DEPTH, inner(t))
+    flat = tree.flatten(nodes(t))
     return flat.orderBy("path").select("id", "_level", F.array_join("path", "/").alias("path"))
 
 
 @query("tree_closure", f"WITH RECURSIVE {TREE_SQL} SELECT ancestor, descendant, distance::BIGINT AS distance FROM closure")
 def tree_closure(t):
-    return tree.closure(nodes(t), DEPTH, inner(t))
+    return tree.closure(nodes(t))
 
 
 @query(
@@ -49,7 +43,7 @@ def tree_closure(t):
         UNION SELECT ancestor FROM closure WHERE descendant IN (SELECT id FROM hit)""",
 )
 def tree_search(t):
-    return tree.search(nodes(t), "N_1", DEPTH, inner(t))
+    return tree.search(nodes(t), "N_1")
 
 
 @query(
@@ -60,7 +54,7 @@ def tree_search(t):
 )
 def tree_visible(t):
     expanded = ~F.col("name").isin("ASIA", "NATION_3", "NATION_5")
-    return tree.visible(nodes(t).withColumn("expanded", expanded), "expanded", DEPTH, inner(t).withColumn("expanded", expanded))
+    return tree.visible(nodes(t).withColumn("expanded", expanded), "expanded")
 
 
 @query(
@@ -79,7 +73,7 @@ def tree_leaf_selection(t):
 )
 def tree_subtree_count(t):
     assets = t.orders.select(F.col("o_orderkey").alias("asset"), F.concat(F.lit("c"), F.col("o_custkey")).alias("node"))
-    return tree.subtree_counts(nodes(t), assets, DEPTH, inner(t))
+    return tree.subtree_counts(nodes(t), assets)
 
 
 @query(

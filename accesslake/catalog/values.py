@@ -44,11 +44,11 @@ def choice_label(t):
 
 @query(
     "blank_to_dash",
-    """SELECT p_partkey AS id, coalesce(nullif(trim(CASE WHEN p_size > 25 THEN p_brand WHEN p_size > 10 THEN '  ' END), ''), '-')
+    """SELECT p_partkey AS id, coalesce(nullif(CASE WHEN p_size > 25 THEN p_brand WHEN p_size > 20 THEN '' WHEN p_size > 10 THEN '  ' END, ''), '-')
               AS brand FROM part""",
 )
 def blank_to_dash(t):
-    partly = F.when(F.col("p_size") > 25, F.col("p_brand")).when(F.col("p_size") > 10, F.lit("  "))
+    partly = F.when(F.col("p_size") > 25, F.col("p_brand")).when(F.col("p_size") > 20, F.lit("")).when(F.col("p_size") > 10, F.lit("  "))
     return t.part.select(F.col("p_partkey").alias("id"), v.blank_default(partly).alias("brand"))
 
 

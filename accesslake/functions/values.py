@@ -71,7 +71,8 @@ def display_value(df: DataFrame, column: str, display_key: str | None = None, de
 
 
 def blank_default(c: Column, default: str = "-") -> Column:
-    return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(default))
+    """The default for null and for the empty text only; blanks are a value."""
+    return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
 
 
 def choice_label(c: Column, choices: dict[str, str]) -> Column:

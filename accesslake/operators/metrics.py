@@ -42,9 +42,22 @@ def daily(df: DataFrame, ts: str, as_of, days: int, measures: dict[str, Column],
     return calendar(df.sparkSession, as_of, days, name).join(per_day, name, "left").fillna(0, list(measures))
 
 
-def daily_by(df: DataFrame, ts: str, by: str, values: list[str], as_of, days: int, name: str = "date") -> DataFrame:
-    """One zero-filled series per value of ``by``; the values are given, so no pass is needed to find them."""
-    return daily(df, ts, as_of, days, {v: F.count_if(F.col(by) == v) for v in values}, name)
+def series_by(found: DataFrame, as_of, days: int, name: str = "date") -> DataFrame:
+    """``(date, series, value)`` counts filled with zeros on the days of the window, for every series there is (null too).
+
+    The days are a literal list that each series' row is multiplied by, so nothing is paired but series and days.
+    """
+    last = F.lit(as_date(as_of))
+    dates = F.sequence(F.date_sub(last, days - 1), last)
+    every = found.select(F.col("series").alias("_series")).distinct().select(F.explode(dates).alias("_date"), "_series")
+    same = (F.col("_date") == F.col(name)) & F.col("_series").eqNullSafe(F.col("series"))
+    return every.join(found, same, "left").select(F.col("_date").alias(name), F.col("_series").alias("series"), F.coalesce("value", F.lit(0)).alias("value"))
+
+
+def daily_by(df: DataFrame, ts: str, by: str, as_of, days: int, name: str = "date") -> DataFrame:
+    """``(date, series, value)``: one zero-filled series per value of ``by`` that the window's rows have."""
+    found = in_days(df, ts, as_of, days).groupBy(F.to_date(ts).alias(name), F.col(by).alias("series")).agg(F.count("*").alias("value"))
+    return series_by(found, as_of, days, name)
 
 
 def dayparts(df: DataFrame, ts: str) -> DataFrame:
@@ -84,11 +97,17 @@ def ratio_pair(part: Column, whole: Column, name: str, other: str) -> list[Colum
     return [r.alias(name), F.round(F.lit(100.0) - r, 2).alias(other)]
 
 
-def crosstab(df: DataFrame, row: str, column: str, columns: list[str], measure: Column | None = None) -> DataFrame:
-    """Row value x column value table, 0 where a pair is missing; the column values are given."""
-    grouped = df.groupBy(row).pivot(column, columns)
-    table = grouped.agg(measure) if measure is not None else grouped.count()
-    return table.fillna(0, columns)
+def crosstab(df: DataFrame, row: str, column: str, measure: Column | None = None) -> DataFrame:
+    """``(row, column, value)`` over the row and column values found (null too), 0 where a pair is missing.
+
+    The column values are few, as they become a chart's series: their set goes to every row value as one scalar.
+    """
+    measure = F.count("*") if measure is None else measure
+    found = df.groupBy(F.col(row).alias("_r"), F.col(column).alias("_c")).agg(measure.alias("_v"))
+    columns = found.agg(F.collect_set(F.struct("_c"))).scalar()
+    every = found.select(F.col("_r").alias(row)).distinct().withColumn("_all", columns).select(row, F.explode("_all").alias("_s")).select(row, F.col("_s._c").alias(column))
+    same = F.col(row).eqNullSafe(F.col("_r")) & F.col(column).eqNullSafe(F.col("_c"))
+    return every.join(found, same, "left").select(row, column, F.coalesce("_v", F.lit(0)).alias("value"))
 
 
 def active_per_day(sessions: DataFrame, ts: str, user: str, asset: str, as_of, days: int, approximate: bool = False) -> DataFrame:

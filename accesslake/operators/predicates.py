@@ -112,6 +112,8 @@ def compile_params(params: dict, search_columns: Iterable[str] = ()) -> Column:
     tests = []
     for name, value in clean_params(params).items():
         field, lookup = split_lookup(name)
+        if field == "search" and not search_columns:
+            raise ValueError("search needs columns to search in")
         if field == "search" and lookup == "icontains_all":
             tests += [any_of([icontains(F.col(c), w) for c in search_columns]) for w in values_of(value)]
         elif field == "search":
@@ -271,7 +273,11 @@ def validity(df: DataFrame, as_of, start: str = "date_start", expiry: str = "dat
 def no_login_for(users: DataFrame, logins: DataFrame, days: int, as_of, user_key: str, log_key: str, ts: str) -> DataFrame:
     """Users whose last login is older than ``days`` or who never logged in; adds ``last_login``."""
     last = logins.groupBy(F.col(log_key).alias(user_key)).agg(F.max(ts).alias("last_login"))
-    idle = F.datediff(F.lit(str(as_of)[:10]).cast("date"), F.col("last_login")) > days
-    return users.join(last, user_key, "left").where(F.col("last_login").isNull() | idle)
+    return users.join(last, user_key, "left").where(idle(F.col("last_login"), days, as_of))
+
+
+def idle(last_login: Column, days: int, as_of) -> Column:
+    """No login for more than ``days``, or none at all."""
+    return last_login.isNull() | (F.datediff(F.lit(str(as_of)[:10]).cast("date"), last_login) > days)
 
 

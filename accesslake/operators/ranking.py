@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -20,7 +22,11 @@ def top_k(df: DataFrame, key: str, measure: Column, k: int = 10, name: str = "to
 
 
 def recent_per_group(df: DataFrame, group: str, ts: str, tie: str, n: int = 30) -> DataFrame:
-    """The latest ``n`` rows per group. Each task keeps at most ``n`` rows per group before anything is shuffled."""
+    """The latest ``n`` rows per group.
+
+    Up to Spark's window group limit (``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default) each task
+    keeps at most ``n`` rows per group before anything is shuffled; a larger ``n`` needs that setting raised.
+    """
     w = Window.partitionBy(group).orderBy(F.desc(ts), F.desc(tie))
     return df.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
@@ -34,27 +40,28 @@ def number_within(
     buckets. So a group with a large part of all rows is spread over its buckets; only one count per bucket is
     brought together per group. Logs that know only the day put many rows on the bucket's first instant: with
     ``tie_width`` those are split again by ranges of the (integer) tie key, which keeps the order since among equal
-    timestamps it decides.
+    timestamps it decides. Rows without a time come first in their group, rows without a group are a group.
     """
     slot = F.date_trunc(bucket, F.col(ts))
     sub = F.lit(0).cast("bigint")
     if tie_width:
         at_start = F.col(ts).cast("timestamp") == slot.cast("timestamp")
-        sub = F.when(at_start, F.floor(F.col(tie) / tie_width)).otherwise(F.lit(2**62))
+        sub = F.when(at_start | slot.isNull(), F.floor(F.col(tie) / tie_width)).otherwise(F.lit(2**62))
     cells = [group, "_bucket", "_sub"]
     bucketed = df.withColumn("_bucket", slot).withColumn("_sub", sub)
     earlier = Window.partitionBy(group).orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         bucketed.groupBy(*cells)
         .agg(F.count("*").alias("_n"))
-        .select(*cells, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        .select(*(F.col(c).alias(f"_of_{i}") for i, c in enumerate(cells)), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(cells)])
     inside = F.row_number().over(Window.partitionBy(*cells).orderBy(ts, tie))
     return (
         bucketed.withColumn("_inside", inside)
-        .join(offsets, cells)
+        .join(offsets, same)
         .withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint"))
-        .drop("_bucket", "_sub", "_inside", "_before")
+        .drop("_bucket", "_sub", "_inside", "_before", *(f"_of_{i}" for i in range(len(cells))))
     )
 
 
@@ -87,9 +94,23 @@ def page(df: DataFrame, number: int, size: int = DEFAULT_PAGE_SIZE, order: str |
     return df.orderBy(*order_terms(order, tie)).offset((number - 1) * size).limit(size)
 
 
-def page_after(df: DataFrame, key: str, last_seen, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """The page after a key already shown: a filter the source can use, then a top-k."""
-    return df.where(F.col(key) > F.lit(last_seen)).orderBy(F.asc(key)).limit(size)
+def page_after(df: DataFrame, key: str, last_seen, size: int = DEFAULT_PAGE_SIZE, order: str | None = None, last_order=None) -> DataFrame:
+    """The page after a row already shown: a filter the source can use, then a top-k.
+
+    ``order`` is ``name`` or ``-name`` as in ``sort_by``, and ``last_order`` that row's value of it; rows of equal value
+    follow by the key. Null values come first in ascending order and last in descending order, as Spark sorts them.
+    """
+    after_key = F.col(key) > F.lit(last_seen)
+    if not order:
+        return df.where(after_key).orderBy(F.asc(key)).limit(size)
+    value, down = F.col(order.lstrip("-")), order.startswith("-")
+    if last_order is None:
+        beyond = (value.isNull() & after_key) | (F.lit(False) if down else value.isNotNull())
+    else:
+        last = F.lit(last_order)
+        beyond = (value < last) | value.isNull() if down else value > last
+        beyond = beyond | ((value == last) & after_key)
+    return df.where(beyond).orderBy(*order_terms(order, key)).limit(size)
 
 
 def merge_slots(df: DataFrame, keys: list[str], slot: str) -> DataFrame:

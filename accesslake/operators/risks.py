@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accesslake.operators.predicates import idle
 from accesslake.operators.relations import attach_spread
 
 # The eleven risks the counters name, in their order.
@@ -98,22 +99,17 @@ def attr_changed(reconciled: DataFrame) -> dict[str, Column]:
     }
 
 
-def findings(reconciled: DataFrame, secrets: DataFrame, leaks: DataFrame, as_of) -> DataFrame:
+def findings(reconciled: DataFrame, secret: Column, leaks: DataFrame, as_of) -> DataFrame:
     """(asset, username, risk) for every risk of every account.
 
-    All tests are made on one joined row per account and exploded, so the snapshots are read once whatever the number
-    of risks. ``secrets`` has (asset, name, size) to derive the secret from; ``leaks`` one ``password`` column.
+    All tests are made on one row per account and exploded, so the snapshots are read once whatever the number of risks.
+    ``secret`` is the account's secret as an expression over ``reconciled``; where it is null the account keeps its other
+    risks and has none of the secret's. ``leaks`` has one ``password`` column.
     """
-    from accesslake.sources.adapters import account_secret
-
-    with_secret = (
-        reconciled.join(secrets, "asset")
-        .withColumn("_hash", F.sha2(account_secret(F.col("p_name"), F.col("p_size"), F.col("username")), 256))
-        .withColumn("_weak", weak(account_secret(F.col("p_name"), F.col("p_size"), F.col("username"))))
-    )
+    with_secret = reconciled.withColumn("_hash", F.sha2(secret, 256)).withColumn("_weak", F.coalesce(weak(secret), F.lit(False)))
     leak_hashes = leaks.select(F.sha2("password", 256).alias("_hash")).distinct().withColumn("_leak", F.lit(True))
     often = (
-        with_secret.groupBy("_hash").agg(F.count("*").alias("_n")).join(leak_hashes, "_hash", "left").where(
+        with_secret.where(F.col("_hash").isNotNull()).groupBy("_hash").agg(F.count("*").alias("_n")).join(leak_hashes, "_hash", "left").where(
             (F.col("_n") > 1) | F.col("_leak")
         )
     )
@@ -121,7 +117,7 @@ def findings(reconciled: DataFrame, secrets: DataFrame, leaks: DataFrame, as_of)
     last_login = F.greatest("managed_date_last_login", "remote_date_last_login")
     changed = F.greatest("managed_date_secret_changed", "remote_date_secret_changed")
     tests = {
-        "long_time_no_login": older_than(last_login, NO_LOGIN_DAYS, as_of),
+        "long_time_no_login": idle(last_login, NO_LOGIN_DAYS, as_of),
         "new_found": F.col("remote_present") & ~F.col("present"),
         **attr_changed(reconciled),
         "account_deleted": F.col("present") & ~F.col("remote_present"),

@@ -104,12 +104,23 @@ def login_acl(logins: DataFrame, rules: list[dict], user_key: str, address: str,
     return evaluate(logins, check_login_rules(rules), user_key, DEFAULT_LOGIN_ACTION, address=address, ts=ts)
 
 
+# A pattern that no text matches.
+NO_COMMAND = r"(?!)"
+
+
 def command_pattern(group: dict) -> str:
-    """Java regular expression of a command group: one command per line as whole words, or the group's own regex."""
+    """Java regular expression of a command group: one command per line as whole words, or the group's own regex.
+
+    A group without any command hits nothing.
+    """
     if group["type"] == "regex":
+        if not group["content"].strip():
+            return NO_COMMAND
         body = group["content"]
     else:
         commands = [c.strip() for c in re.split(r"[\r\n]+", group["content"]) if c.strip()]
+        if not commands:
+            return NO_COMMAND
         body = r"(?<!\w)(?:" + "|".join(re.sub(r"([^\w\s])", r"\\\1", c) for c in commands) + r")(?!\w)"
     return f"(?i){body}" if group.get("ignore_case", True) else body
 

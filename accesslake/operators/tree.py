@@ -1,77 +1,71 @@
 """Hierarchies given as (id, parent_id, ...).
 
-Every node is first given the list of its ancestors, nearest first, by climbing one level per join. Questions about
+Every node is first given the list of its ancestors, nearest first, by climbing the parents one level per join. Questions about
 ancestors then need no further join: each row can answer them from its own list. Lists are as long as the tree is
 deep, never as long as it is wide, so a root above everything is no hot key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesslake.session import cut_lineage
 
 
-def with_ancestors(
-    nodes: DataFrame,
-    carry: tuple[str, ...] = (),
-    max_depth: int | None = None,
-    inner: DataFrame | None = None,
-    limit: int = 64,
-) -> DataFrame:
+def with_ancestors(nodes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``ancestors``: an array of (id, carried columns), nearest ancestor first.
 
-    With ``max_depth`` the climb is a lazy chain of that many joins. Without it the climb stops by itself: each level
-    is checkpointed and the loop ends when no node has anything left to climb; ``limit`` guards the loop. A node that
-    meets itself or one of its ancestors again stops there, so cycles end. ``inner`` may name the nodes that can have
-    children, if they are known apart from the leaves; every level then reads only those.
+    Only nodes that occur as a parent are climbed through, level by level until none has anything left to climb, however
+    deep the tree is: each level joins the nodes still climbing with their next ancestor, is checkpointed, and sets the
+    finished ones aside. Every node then takes its parent and the parent's ancestors by one join. A node that meets
+    itself or one of its ancestors again stops there, so cycles end.
     """
     fields = ("id", *carry)
-    parents = (nodes if inner is None else inner).select(F.struct(*fields).alias("_up"), F.col("id").alias("_cursor"), F.col("parent_id").alias("_next"))
+    named = nodes.select(F.struct(*fields).alias("_up"), F.col("id").alias("_at"), F.col("parent_id").alias("_next"))
+    used = nodes.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("_at")).distinct()
+    parents = cut_lineage(named.join(used, "_at", "left_semi"))
     empty = F.array().cast(f"array<{nodes.select(F.struct(*fields).alias('s')).schema['s'].dataType.simpleString()}>")
-    climbing = nodes.withColumn("ancestors", empty).withColumn("_cursor", F.col("parent_id"))
-    for level in range(max_depth if max_depth is not None else limit):
-        seen = F.exists("ancestors", lambda a: a["id"] == F.col("_cursor")) | (F.col("id") == F.col("_cursor"))
-        climbing = (
-            climbing.withColumn("_cursor", F.when(~seen, F.col("_cursor")))
-            .join(parents, "_cursor", "left")
-            .withColumn("ancestors", F.when(F.col("_up").isNull(), F.col("ancestors")).otherwise(F.array_append("ancestors", F.col("_up"))))
-            .withColumn("_cursor", F.col("_next"))
-            .drop("_up", "_next")
-        )
-        if max_depth is None:
-            climbing = cut_lineage(climbing)
-            if climbing.where(F.col("_cursor").isNotNull()).isEmpty():
-                break
-    else:
-        if max_depth is None:
-            raise ValueError(f"the tree is deeper than {limit} levels")
-    return climbing.drop("_cursor")
-
-
-def flatten(nodes: DataFrame, max_depth: int | None = None, inner: DataFrame | None = None, sort_key: str = "id") -> DataFrame:
+    climbing = parents.select(F.col("_at").alias("_id"), F.col("_up").alias("_self"), empty.alias("_above"), F.col("_next").alias("_cursor"))
+    finished = []
+    while True:
+        met = F.exists("_above", lambda a: a["id"] == F.col("_cursor")) | (F.col("_id") == F.col("_cursor"))
+        stepped = climbing.withColumn("_cursor", F.when(~met, F.col("_cursor"))).join(parents, F.col("_cursor") == F.col("_at"), "left")
+        stepped = stepped.select("_id", "_self", F.when(F.col("_at").isNull(), F.col("_above")).otherwise(F.array_append("_above", F.col("_up"))).alias("_above"), F.col("_next").alias("_cursor"))
+        stepped = cut_lineage(stepped)
+        finished.append(stepped.where(F.col("_cursor").isNull()))
+        climbing = stepped.where(F.col("_cursor").isNotNull())
+        if climbing.isEmpty():
+            break
+    climbed = reduce(DataFrame.union, finished).select("_id", F.concat(F.array("_self"), F.col("_above")).alias("_chain"))
+    own = F.coalesce(F.filter("_chain", lambda a: a["id"] != F.col("id")), empty)
+    return nodes.join(climbed, F.col("parent_id") == F.col("_id"), "left").select(*nodes.columns, own.alias("ancestors"))
+
+
+def flatten(nodes: DataFrame, sort_key: str = "id") -> DataFrame:
     """Rows with ``_level`` (root 0) and ``path`` (root first); ordering by ``path`` walks the tree depth first."""
     carry = () if sort_key == "id" else (sort_key,)
-    up = with_ancestors(nodes, carry, max_depth, inner)
+    up = with_ancestors(nodes, carry)
     keys = F.transform(F.reverse("ancestors"), lambda a: a[sort_key])
     return up.withColumn("_level", F.size("ancestors").cast("bigint")).withColumn(
         "path", F.array_append(keys, F.col(sort_key))
     ).drop("ancestors")
 
 
-def closure(nodes: DataFrame, max_depth: int | None = None, inner: DataFrame | None = None) -> DataFrame:
+def closure(nodes: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance), every node being its own ancestor at distance 0."""
-    up = with_ancestors(nodes.select("id", "parent_id"), (), max_depth, inner)
+    up = with_ancestors(nodes.select("id", "parent_id"))
     chain = F.concat(F.array(F.struct(F.col("id").alias("id"))), F.col("ancestors"))
     return up.select(F.posexplode(chain).alias("distance", "_a"), F.col("id").alias("descendant")).select(
         F.col("_a.id").alias("ancestor"), "descendant", F.col("distance").cast("bigint").alias("distance")
     )
 
 
-def search(nodes: DataFrame, keyword: str, max_depth: int | None = None, inner: DataFrame | None = None) -> DataFrame:
+def search(nodes: DataFrame, keyword: str) -> DataFrame:
     """Ids of the nodes whose lower-cased name contains the keyword, with all their ancestors and descendants."""
-    up = with_ancestors(nodes.select("id", "parent_id", "name"), ("name",), max_depth, inner)
+    up = with_ancestors(nodes.select("id", "parent_id", "name"), ("name",))
 
     def hit(name: Column) -> Column:
         return F.contains(F.lower(name), F.lit(keyword.lower()))
@@ -82,9 +76,9 @@ def search(nodes: DataFrame, keyword: str, max_depth: int | None = None, inner:
     return up.select(F.explode(F.concat(own, above)).alias("id")).distinct()
 
 
-def visible(nodes: DataFrame, expanded: str = "expanded", max_depth: int | None = None, inner: DataFrame | None = None) -> DataFrame:
+def visible(nodes: DataFrame, expanded: str = "expanded") -> DataFrame:
     """Nodes all of whose ancestors are expanded."""
-    up = with_ancestors(nodes.select("id", "parent_id", expanded), (expanded,), max_depth, inner)
+    up = with_ancestors(nodes.select("id", "parent_id", expanded), (expanded,))
     return up.where(F.forall("ancestors", lambda a: a[expanded])).select("id")
 
 
@@ -94,9 +88,9 @@ def leaves(checked: DataFrame, nodes: DataFrame) -> DataFrame:
     return checked.join(parents, "id", "left_anti")
 
 
-def subtree_counts(nodes: DataFrame, assets: DataFrame, max_depth: int | None = None, inner: DataFrame | None = None) -> DataFrame:
+def subtree_counts(nodes: DataFrame, assets: DataFrame) -> DataFrame:
     """Distinct assets at or below every node. Pairs are made unique in their own shuffle, so a root is no hot task."""
-    up = with_ancestors(nodes.select("id", "parent_id"), (), max_depth, inner)
+    up = with_ancestors(nodes.select("id", "parent_id"))
     chain = F.transform(F.concat(F.array(F.struct(F.col("id").alias("id"))), F.col("ancestors")), lambda a: a["id"])
     held = assets.join(up.select(F.col("id").alias("node"), chain.alias("_chain")), "node")
     counts = held.select("asset", F.explode("_chain").alias("id")).groupBy("id").agg(F.count_distinct("asset").alias("assets"))

@@ -18,6 +18,7 @@ from accesslake.functions.calendar import calendar, in_days
 from accesslake.operators.metrics import (
     DAYPARTS,
     crosstab,
+    series_by,
     daily,
     distribution,
     floor_share,
@@ -31,10 +32,18 @@ from accesslake.operators.risks import RISKS, risk_totals
 Report = dict[str, DataFrame]
 
 
+#: The columns of a part whose series are values found in the data; it is in long form already.
+LONG = ["row", "column", "value"]
+
+
 def long_form(report: Report) -> DataFrame:
     """(table, row, column, value) of all tables; a missing value reads 0."""
     parts = []
     for name, df in report.items():
+        if df.columns == LONG:
+            cast = [F.col(c).cast("string").alias(c) for c in LONG]
+            parts.append(df.select(F.lit(name).alias("table"), *cast))
+            continue
         row, *values = df.columns
         cells = F.array(
             *[F.struct(F.lit(v).alias("column"), F.coalesce(F.col(v).cast("string"), F.lit("0")).alias("value")) for v in values]
@@ -90,7 +99,13 @@ def _ranked(top: DataFrame, key: str, total: str = "total") -> DataFrame:
     return top.select("rank", key, total)
 
 
-def user_login(users: DataFrame, logins: DataFrame, methods: list[str], days: int, as_of) -> Report:
+def _series(base: DataFrame, key: str, days: int, as_of) -> DataFrame:
+    """Daily counts of every value of ``key`` that a counted frame has, in long form."""
+    found = base.groupBy("date", F.col(key).alias("series")).agg(F.sum("n").alias("value"))
+    return series_by(found, as_of, days).toDF(*LONG)
+
+
+def user_login(users: DataFrame, logins: DataFrame, days: int, as_of) -> Report:
     """Users: overview, sources, success and failure per day, visiting times and login methods."""
     daypart = F.floor(F.hour("datetime") / 6).alias("daypart")
     base = _counted(logins, "datetime", as_of, days, daypart, "method", "status")
@@ -99,7 +114,7 @@ def user_login(users: DataFrame, logins: DataFrame, methods: list[str], days: in
         "user_by_source": distribution(users, "source"),
         "login_trend": _summed(base, (as_of, days), {"success": F.col("status"), "failure": ~F.col("status")}),
         "visit_time": _sums(base, {d: F.col("daypart") == i for i, d in enumerate(DAYPARTS)}),
-        "login_methods": _summed(base, (as_of, days), {m: F.col("method") == m for m in methods}),
+        "login_methods": _series(base, "method", days, as_of),
     }
 
 
@@ -148,11 +163,11 @@ def asset_stats(assets: DataFrame) -> DataFrame:
     return metric_rows(totals)
 
 
-def asset_statistic(assets: DataFrame, added: DataFrame, categories: list[str], days: int, as_of) -> Report:
+def asset_statistic(assets: DataFrame, added: DataFrame, days: int, as_of) -> Report:
     """Assets: overview, platform by category, and assets first seen per day. ``added`` has (asset, date_created)."""
     return {
         "asset_stats": asset_stats(assets),
-        "platform_by_category": crosstab(assets, "platform", "category", categories),
+        "platform_by_category": crosstab(assets, "platform", "category").toDF(*LONG),
         "assets_added": daily(added, "date_created", as_of, days, {"total": F.count("*")}),
     }
 

@@ -13,7 +13,7 @@ from accesslake.functions.network import dotted_quad
 
 
 def props_key(props: Column) -> Column:
-    return F.get_json_object(props, "$.k").cast("bigint")
+    return F.get_json_object(props, "$.k").try_cast("bigint")
 
 
 def login_log(events: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def organisation_nodes(region: DataFrame, nation: DataFrame) -> DataFrame:
 
 def asset_nodes(part: DataFrame) -> DataFrame:
     """(asset, node): an asset hangs below the nation its brand is numbered after."""
-    brand = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+    brand = F.regexp_extract("p_brand", r"(\d+)$", 1).try_cast("int")
     return part.select(F.col("p_partkey").alias("asset"), F.concat(F.lit("n"), brand - 1).alias("node"))
 
 

@@ -39,9 +39,16 @@ def listing(df: DataFrame, meta: dict[str, dict] | None = None, order: list[str]
 
 
 def read_upload(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV upload as text columns, so that a bad value is reported by its row and not lost; broken lines are kept."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_corrupt_record"]])
-    return spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    """A CSV upload as text columns, so that a bad value is reported by its row and not lost; broken lines are kept.
+
+    Columns are found by the names in the header, in whatever order it has them; others are left out.
+    """
+    found = spark.read.csv(path, header=True).columns
+    if missing := [c for c in columns if c not in found]:
+        raise ValueError(f"the upload has no column {', '.join(missing)}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*found, "_corrupt_record"]])
+    rows = spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    return rows.select(*columns, "_corrupt_record")
 
 
 def validate_import(df: DataFrame, types: dict[str, str], rules: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
@@ -67,10 +74,10 @@ def append_new(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 def patch(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Partial update by key: columns the batch has replace the old value (null included), the others stay.
 
-    The batch has one row per key, as an upload keyed by id has.
+    Of batch rows with one key the smallest row is taken, as ``append_new`` does, so the target keeps its rows.
     """
     changed = [c for c in batch.columns if c != key]
-    news = batch.select(key, F.struct(*changed).alias("_new"))
+    news = batch.groupBy(key).agg(F.min(F.struct(*changed)).alias("_new"))
     joined = target.join(news, key, "left")
     columns = [
         F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c)
