@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from accesslake.catalog.registry import query
+from accesslake.catalog.registry import ORDERS_AS_OF, query
+from accesslake.functions.network import dotted_quad
 from accesslake.operators import relations as r
+from accesslake.operators import rule_tables
 from accesslake.operators import rules, tree
 from accesslake.sources import adapters as a
 
@@ -27,23 +29,17 @@ def relation_display(t):
        FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
 )
 def relation_amounts(t):
-    def bridge(column):
-        return t.lineitem.select(F.col("l_orderkey").alias("id"), column)
-
-    return r.relation_amounts(
-        t.orders.select(F.col("o_orderkey").alias("id")),
-        "id",
-        {
-            "assets_amount": bridge("l_partkey"),
-            "accounts_amount": bridge("l_suppkey"),
-            "groups_amount": bridge("l_returnflag"),
-        },
-    )
+    members = t.lineitem.select(F.col("l_orderkey").alias("id"), "l_partkey", "l_suppkey", "l_returnflag")
+    amounts = {"assets_amount": "l_partkey", "accounts_amount": "l_suppkey", "groups_amount": "l_returnflag"}
+    return r.relation_amounts(t.orders.select(F.col("o_orderkey").alias("id")), "id", [(members, amounts)])
 
 
 # Permissions on the fixtures, once for every oracle that needs them.
 PERM_SQL = """
     perm AS (SELECT n_nationkey AS permission, n_nationkey % 6 + 1 AS n_actions, 'r' || n_regionkey AS node FROM nation),
+    live AS (SELECT n_nationkey AS permission, n_nationkey % 6 + 1 AS n_actions FROM nation WHERE n_nationkey % 4 <> 3
+             AND TIMESTAMP '1995-01-01' + to_days(40 * n_nationkey::INT) <= TIMESTAMP '2001-08-01'
+             AND TIMESTAMP '1999-01-01' + to_days(60 * n_nationkey::INT) > TIMESTAMP '2001-08-01'),
     perm_users AS (SELECT c_nationkey AS permission, c_custkey AS "user" FROM customer
                    UNION SELECT s_nationkey, s_suppkey FROM supplier),
     perm_assets AS (SELECT p_size - 1 AS permission, p_partkey AS asset FROM part WHERE p_size - 1 IN (SELECT n_nationkey FROM nation)
@@ -67,7 +63,7 @@ def permission_sides(t):
     "effective_permissions",
     f"""WITH {PERM_SQL},
         hits AS (SELECT "user", asset, count(DISTINCT permission) AS permissions, max(n_actions) AS n
-                 FROM asked JOIN perm_users USING ("user") JOIN perm_assets USING (permission, asset) JOIN perm USING (permission)
+                 FROM asked JOIN perm_users USING ("user") JOIN perm_assets USING (permission, asset) JOIN live USING (permission)
                  GROUP BY ALL)
         SELECT "user", asset, coalesce(permissions, 0) AS permissions, permissions IS NOT NULL AS granted,
                CASE n WHEN 1 THEN 'connect' WHEN 2 THEN 'connect,upload' WHEN 3 THEN 'connect,upload,download'
@@ -79,8 +75,37 @@ def effective_permissions(t):
     """Every access that took place, with the permissions that cover it."""
     users, assets = permission_sides(t)
     asked = a.session(t.orders, t.lineitem).select(F.col("user_id").alias("user"), F.col("asset_id").alias("asset"))
-    resolved = r.resolve(asked, a.permissions(t.nation).select("permission", "actions"), users, assets, a.ACTIONS)
-    return resolved.withColumn("actions", F.array_join("actions", ","))
+    live = r.in_force(a.permissions(t.nation), ORDERS_AS_OF).select("permission", "actions")
+    return r.resolve(asked, live, users, assets, a.ACTIONS).withColumn("actions", F.array_join("actions", ","))
+
+
+@query(
+    "effective_accounts",
+    f"""WITH {PERM_SQL},
+        acc AS (SELECT DISTINCT l_partkey AS asset, l_suppkey AS username FROM lineitem),
+        hits AS (SELECT "user", asset, permission, n_actions FROM asked JOIN perm_users USING ("user")
+                 JOIN perm_assets USING (permission, asset) JOIN live USING (permission)),
+        chosen AS (SELECT "user", asset, username::VARCHAR AS account, n_actions FROM hits JOIN acc USING (asset)
+                   WHERE CASE permission % 3 WHEN 0 THEN username = "user" WHEN 1 THEN username IN (1, 2, 3, 5, 8)
+                              ELSE username NOT IN (1, 2, 3) END
+                   UNION ALL SELECT "user", asset, '@INPUT', n_actions FROM hits WHERE permission % 3 = 0),
+        best AS (SELECT "user", asset, account, max(n_actions) AS n FROM chosen GROUP BY ALL)
+        SELECT "user"::VARCHAR AS "user", asset, account,
+               CASE n WHEN 1 THEN 'connect' WHEN 2 THEN 'connect,upload' WHEN 3 THEN 'connect,upload,download'
+                      WHEN 4 THEN 'connect,upload,download,copy' WHEN 5 THEN 'connect,upload,download,copy,paste'
+                      ELSE 'connect,upload,download,copy,paste,share' END AS actions FROM best""",
+)
+def effective_accounts(t):
+    """Every access that took place, with the accounts that the permissions in force give and their actions."""
+    users, assets = permission_sides(t)
+    asked = a.session(t.orders, t.lineitem).select(F.col("user_id").alias("user"), F.col("asset_id").alias("asset"))
+    kind = F.col("permission") % 3
+    names = lambda *x: F.array(*map(F.lit, x))
+    selectors = F.when(kind == 0, names("@USER", "@INPUT")).when(kind == 1, names("@SPEC", "1", "2", "3", "5", "8")).otherwise(names("@NOT", "1", "2", "3"))
+    live = r.in_force(a.permissions(t.nation), ORDERS_AS_OF).select("permission", "actions", selectors.alias("selectors"))
+    accounts = t.lineitem.select(F.col("l_partkey").alias("asset"), F.col("l_suppkey").cast("string").alias("username"))
+    found = r.granted_accounts(r.granted(asked, live, users, assets), live, accounts, a.ACTIONS)
+    return found.withColumn("actions", F.array_join("actions", ","))
 
 
 @query(
@@ -148,16 +173,35 @@ def account_spec(t):
     return r.usable_accounts(checked, accounts).select("scope", "user", "asset", "username", "allowed", "usable")
 
 
+@query(
+    "selected_accounts",
+    """WITH acc AS (SELECT DISTINCT l_partkey AS asset, 'u' || l_suppkey AS username FROM lineitem),
+            s AS (SELECT o_orderkey AS scope, 'u' || o_custkey AS "user", l_partkey AS asset, o_orderpriority AS p, 'u' || min(l_suppkey) AS named
+                  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)
+       SELECT scope, "user", asset, username FROM s JOIN acc USING (asset)
+       WHERE CASE p WHEN '1-URGENT' THEN TRUE WHEN '2-HIGH' THEN username IN ('u1', 'u2', named)
+                    WHEN '3-MEDIUM' THEN username NOT IN ('u1', 'u2', named) WHEN '4-NOT SPECIFIED' THEN FALSE ELSE username = "user" END
+       UNION ALL SELECT scope, "user", asset, unnest(['@INPUT', '@ANON']) FROM s WHERE p NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')""",
+)
+def selected_accounts(t):
+    """The accounts each scope may use on its asset, as rows."""
+    name = lambda c: F.concat(F.lit("u"), c.cast("string"))
+    accounts = t.lineitem.select(F.col("l_partkey").alias("asset"), name(F.col("l_suppkey")).alias("username"))
+    lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_orderkey").alias("scope"), "o_custkey", "o_orderpriority", F.col("l_partkey").alias("asset"))
+    scopes = lines.agg(F.min("l_suppkey").alias("_low")).select("scope", name(F.col("o_custkey")).alias("user"), "asset", _selectors(name(F.col("_low"))).alias("selectors"))
+    return r.selected_accounts(scopes, accounts)
+
+
 @query(
     "account_exists",
-    """WITH wanted AS (SELECT DISTINCT s_suppkey AS username, p_partkey AS asset FROM supplier JOIN part ON p_size = s_nationkey + 1),
+    """WITH wanted AS (SELECT DISTINCT l_suppkey AS username, l_partkey + l_linenumber % 2 AS asset FROM lineitem WHERE l_quantity < 10),
             checked AS (SELECT username, asset, (username, asset) IN (SELECT (l_suppkey, l_partkey) FROM lineitem) AS exists FROM wanted)
        SELECT username, asset, exists, (SELECT bool_and(exists) FROM checked) AS all_exist FROM checked""",
 )
 def account_exists(t):
-    wanted = t.supplier.join(t.part, F.col("p_size") == F.col("s_nationkey") + 1).select(
-        F.col("s_suppkey").alias("username"), F.col("p_partkey").alias("asset")
-    )
+    """Accounts that small lines ask for, on the line's asset or the next one."""
+    asset = F.col("l_partkey") + F.col("l_linenumber") % 2
+    wanted = t.lineitem.where("l_quantity < 10").select(F.col("l_suppkey").alias("username"), asset.alias("asset")).distinct()
     known = t.lineitem.select(F.col("l_suppkey").alias("username"), F.col("l_partkey").alias("asset"))
     checked = r.account_exists(wanted, known, ["username", "asset"])
     return checked.withColumn("all_exist", r.all_exist(checked).scalar())
@@ -214,11 +258,16 @@ def session_children(t):
     return r.session_children(
         t.orders.select(F.col("o_orderkey").alias("session")),
         "session",
-        {
-            "command_amount": lines,
-            "file_amount": lines.where(F.col("l_returnflag") == "R"),
-            "join_amount": lines.where(F.col("l_linestatus") == "O"),
-        },
+        [
+            (
+                lines,
+                {
+                    "command_amount": F.lit(True),
+                    "file_amount": F.col("l_returnflag") == "R",
+                    "join_amount": F.col("l_linestatus") == "O",
+                },
+            )
+        ],
     )
 
 
@@ -278,6 +327,46 @@ LOGIN_RULES = [
 ]
 
 
+@query(
+    "acl_evaluate_table",
+    """WITH rules AS (SELECT s_suppkey AS rule, CASE WHEN s_suppkey % 10 = 0 THEN 90 ELSE 1 + s_suppkey % 40 END AS priority,
+                             CASE s_nationkey % 3 WHEN 0 THEN 'reject' WHEN 1 THEN 'review' ELSE 'accept' END AS action, s_nationkey % 3 AS kind FROM supplier),
+            u AS (SELECT DISTINCT l_suppkey AS rule, o_custkey AS user_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey % 10 <> 0),
+            m AS (SELECT event_id, priority, rule, action FROM events JOIN u USING (user_id) JOIN rules USING (rule)
+                  WHERE kind = 2 OR (kind = 0 AND event_type = 'error') OR (kind = 1 AND event_type IN ('click', 'view'))
+                  UNION ALL SELECT event_id, priority, rule, action FROM events, rules
+                  WHERE rule NOT IN (SELECT rule FROM u) AND (kind = 2 OR (kind = 0 AND event_type = 'error') OR (kind = 1 AND event_type IN ('click', 'view')))),
+            b AS (SELECT event_id, min({'p': priority, 'r': rule, 'a': action}) AS best FROM m GROUP BY 1)
+       SELECT event_id AS id, best.r AS rule, best.p::INT AS priority, best.a AS action FROM events LEFT JOIN b USING (event_id)""",
+)
+def acl_evaluate_table(t):
+    """The rules as rows: one a supplier, for the users it sold to and, by its nation, for some event types."""
+    kind = F.col("s_nationkey") % 3
+    priority = F.when(F.col("s_suppkey") % 10 == 0, 90).otherwise((F.col("s_suppkey") % 40 + 1).cast("int"))
+    action = F.when(kind == 0, "reject").when(kind == 1, "review").otherwise("accept")
+    access_rules = t.supplier.select(F.col("s_suppkey").alias("rule"), priority.alias("priority"), action.alias("action"))
+    sold = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).where("l_suppkey % 10 <> 0")
+    types = F.when(kind == 0, F.array(F.lit("error"))).when(kind == 1, F.array(F.lit("click"), F.lit("view")))
+    scopes = {
+        "user_id": sold.select(F.col("l_suppkey").alias("rule"), F.col("o_custkey").alias("value")).distinct(),
+        "event_type": t.supplier.select(F.col("s_suppkey").alias("rule"), F.explode(types).alias("value")),
+    }
+    events = t.events.select(F.col("event_id").alias("id"), "user_id", "event_type")
+    return rule_tables.evaluate_table(events, "id", access_rules, scopes).select("id", "rule", "priority", "action")
+
+
+@query(
+    "match_ip_table",
+    """SELECT p_partkey AS id, s_suppkey AS "group" FROM supplier JOIN part
+       ON p_partkey BETWEEN s_suppkey * 16 AND s_suppkey * 16 + CASE WHEN s_suppkey % 2 = 0 THEN 15 ELSE 3 END""",
+)
+def match_ip_table(t):
+    """Assets and the address groups they belong to, one network a supplier."""
+    length = F.when(F.col("s_suppkey") % 2 == 0, "/28").otherwise("/30")
+    groups = t.supplier.select(F.col("s_suppkey").alias("group"), F.concat(dotted_quad(F.col("s_suppkey") * 16), length).alias("network"))
+    return rule_tables.match_networks(a.asset(t.part).select("id", "address"), "address", groups).select("id", "group")
+
+
 @query(
     "login_acl",
     """WITH w AS (SELECT event_id AS id, CASE

@@ -113,16 +113,15 @@ def risk_weak_password(t):
 
 @query(
     "risk_leaked_password",
-    f"""WITH {LEAK_SQL}, s AS (SELECT s_suppkey AS username, p_partkey AS asset, p_name || '#' || p_size || '#' || s_suppkey AS secret
-                               FROM supplier JOIN part ON p_size = s_nationkey + 1)
+    f"""WITH {LEAK_SQL}, s AS (SELECT DISTINCT l_suppkey AS username, p_partkey AS asset, p_name || '#' || p_size || '#' || l_suppkey AS secret
+                               FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'N')
         SELECT username, asset FROM s WHERE secret IN (SELECT password FROM leak)""",
 )
 def risk_leaked_password(t):
     """Secrets to be handed out, checked against the leak list."""
-    wanted = t.supplier.join(t.part, F.col("p_size") == F.col("s_nationkey") + 1).select(
-        F.col("s_suppkey").alias("username"),
-        F.col("p_partkey").alias("asset"),
-        a.account_secret(F.col("p_name"), F.col("p_size"), F.col("s_suppkey")).alias("secret"),
+    asked = t.lineitem.where("l_returnflag = 'N'").select(F.col("l_suppkey").alias("username"), F.col("l_partkey").alias("asset")).distinct()
+    wanted = asked.join(t.part, F.col("asset") == F.col("p_partkey")).select(
+        "username", "asset", a.account_secret(F.col("p_name"), F.col("p_size"), F.col("username")).alias("secret")
     )
     return r.leaked(wanted, a.leak_list(t.lineitem, t.part)).select("username", "asset")
 

@@ -49,7 +49,8 @@ def series_by(found: DataFrame, as_of, days: int, name: str = "date") -> DataFra
     """
     last = F.lit(as_date(as_of))
     dates = F.sequence(F.date_sub(last, days - 1), last)
-    every = found.select(F.col("series").alias("_series")).distinct().select(F.explode(dates).alias("_date"), "_series")
+    # Naming the count keeps it in this reader's plan too, so both share what was counted.
+    every = found.where(F.col("value") > 0).select(F.col("series").alias("_series")).distinct().select(F.explode(dates).alias("_date"), "_series")
     same = (F.col("_date") == F.col(name)) & F.col("_series").eqNullSafe(F.col("series"))
     return every.join(found, same, "left").select(F.col("_date").alias(name), F.col("_series").alias("series"), F.coalesce("value", F.lit(0)).alias("value"))
 

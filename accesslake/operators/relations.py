@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesslake.functions.values import all_of, any_of
+from accesslake.operators.predicates import validity
 
 # Account selectors of a permission.
 ALL, SPEC, NOT, NONE, SAME_USER, INPUT, ANON = "@ALL", "@SPEC", "@NOT", "@NONE", "@USER", "@INPUT", "@ANON"
@@ -23,39 +24,46 @@ def attach_spread(
     keys: str | list[str],
     row_id: Column,
     rows: str | None = None,
-    spread: int = 64,
     hot_keys: int = 1000,
 ) -> DataFrame:
     """Left join of one-row-per-key results back to their rows when a key may hold a large part of all rows.
 
     ``rows`` names the result's count of the key's rows. Keys above a ``hot_keys``-th of the counted rows (so never
-    more than that many keys, which bounds what is broadcast) have their rows spread over ``spread`` tasks by a hash
-    of the row's id, and only their results are repeated as often. The salt also keeps an exchange right below the
-    join on both sides (an aggregated side alone would bring none), which lets adaptive execution split partitions
-    that are still too large; without ``rows`` that splitting is relied on alone. Rows without a key are spread too.
+    more than that many keys, which bounds what is broadcast) have their rows spread by a hash of the row's id over as
+    many tasks as their count is such shares, and only their results are repeated as often. The salt also keeps an
+    exchange right below the join on both sides (an aggregated side alone would bring none), which lets adaptive
+    execution split partitions that are still too large; without ``rows`` that splitting is relied on alone. Rows
+    without a key are spread over ``hot_keys`` ways.
     """
     keys = [keys] if isinstance(keys, str) else keys
     # The joins would add this test to some readers of the result and not to others; said here, all share one exchange.
     per_key = per_key.where(all_of([F.col(k).isNotNull() for k in keys]))
     if rows is None:
-        spread, marked, flagged = 1, per_key.withColumn("_hot", F.lit(False)), df.withColumn("_hot", F.lit(False))
+        marked, flagged = per_key.withColumn("_ways", F.lit(1)), df.withColumn("_ways", F.lit(1))
     else:
-        limit = per_key.select(F.sum(rows)).scalar() / hot_keys
-        marked = per_key.withColumn("_hot", F.col(rows) > limit)
-        flagged = df.join(F.broadcast(marked.where("_hot").select(*keys, "_hot")), keys, "left")
+        share = per_key.select(F.sum(rows)).scalar() / hot_keys
+        marked = per_key.withColumn("_ways", F.ceil(F.col(rows) / share).cast("int"))
+        flagged = df.join(F.broadcast(marked.where("_ways > 1").select(*keys, "_ways")), keys, "left")
     keyless = any_of([F.col(k).isNull() for k in keys])
-    ways = F.when(F.coalesce("_hot", F.lit(False)) | keyless, spread).otherwise(1)
-    salted = flagged.withColumn("_salt", F.pmod(F.xxhash64(row_id), ways).cast("int")).drop("_hot")
-    last = F.when(F.col("_hot"), spread - 1).otherwise(0)
-    repeated = marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+    ways = F.when(keyless, hot_keys).otherwise(F.coalesce("_ways", F.lit(1)))
+    salted = flagged.withColumn("_salt", F.pmod(F.xxhash64(row_id), ways).cast("int")).drop("_ways")
+    repeated = marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1))).drop("_ways")
     return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
 
-def relation_amounts(base: DataFrame, key: str, bridges: dict[str, DataFrame]) -> DataFrame:
-    """Member counts per bridge. Each bridge is reduced to one row per key first, so the joins cannot fan out."""
-    for name, bridge in bridges.items():
-        counts = bridge.distinct().groupBy(key).agg(F.count("*").alias(name))
-        base = base.join(counts, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("bigint")))
+def with_counts(base: DataFrame, key: str, children: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """``base`` with any number of counts over its rows in one table: one scan, one aggregation and one join."""
+    per_key = children.groupBy(key).agg(*[c.alias(name) for name, c in counts.items()])
+    return base.join(per_key, key, "left").fillna(0, list(counts))
+
+
+def relation_amounts(base: DataFrame, key: str, bridges: list[tuple[DataFrame, dict[str, str]]]) -> DataFrame:
+    """Member counts: for each bridge table the distinct members in each named column (``new=column``).
+
+    A bridge is scanned once for all its columns and reduced to one row per key before the join.
+    """
+    for bridge, columns in bridges:
+        base = with_counts(base, key, bridge, {name: F.count_distinct(column) for name, column in columns.items()})
     return base
 
 
@@ -76,15 +84,15 @@ def resolve(requests: DataFrame, permissions: DataFrame, users: DataFrame, asset
     """For every asked (user, asset) pair: whether it is granted, by how many permissions, and with which actions.
 
     The user and asset sides stay factored by permission and only asked pairs are formed; the full product of users
-    and assets is never built. ``permissions`` has (permission, actions); ``actions`` lists the possible actions, each
-    of which becomes one flag, so that a pair is reduced without collecting lists.
+    and assets is never built. ``permissions`` has (permission, actions) of those that hold, see ``in_force``;
+    ``actions`` lists the possible actions, each of which becomes one flag, so that a pair is reduced without lists.
     """
     asked = requests.select("user", "asset").distinct()
     covered = assets.withColumn("_covered", F.lit(True))
     candidates = (
         asked.join(users, "user", "left").join(covered, ["permission", "asset"], "left").join(permissions, "permission", "left")
     )
-    hit = F.coalesce("_covered", F.lit(False))
+    hit = F.coalesce("_covered", F.lit(False)) & F.col("actions").isNotNull()
     per_pair = candidates.groupBy("user", "asset").agg(
         F.count_if(hit).alias("permissions"), *[F.bool_or(hit & F.array_contains("actions", x)).alias(f"_{x}") for x in actions]
     )
@@ -92,6 +100,31 @@ def resolve(requests: DataFrame, permissions: DataFrame, users: DataFrame, asset
     return per_pair.select("user", "asset", "permissions", (F.col("permissions") > 0).alias("granted"), held.alias("actions"))
 
 
+def in_force(permissions: DataFrame, as_of) -> DataFrame:
+    """Permissions that are active and within their dates at a moment."""
+    return validity(permissions, as_of).where("is_valid")
+
+
+def granted(requests: DataFrame, permissions: DataFrame, users: DataFrame, assets: DataFrame) -> DataFrame:
+    """(user, asset, permission) for the asked pairs: every permission in ``permissions`` that grants one, as rows."""
+    asked = requests.select("user", "asset").distinct()
+    pairs = asked.join(users.join(permissions.select("permission"), "permission", "left_semi"), "user")
+    return pairs.join(assets, ["permission", "asset"], "left_semi").select("user", "asset", "permission")
+
+
+def granted_accounts(grants: DataFrame, permissions: DataFrame, accounts: DataFrame, actions: list[str]) -> DataFrame:
+    """(user, asset, account, actions) of granted pairs: the accounts each permission selects, and what may be done with them.
+
+    ``permissions`` has (permission, actions, selectors), ``accounts`` (asset, username). Actions of several permissions
+    that select one account are put together, one flag an action.
+    """
+    scopes = grants.join(permissions, "permission").select(F.col("permission").alias("scope"), F.col("user").cast("string").alias("user"), "asset", "selectors")
+    chosen = selected_accounts(scopes, accounts).join(permissions.select(F.col("permission").alias("scope"), "actions"), "scope")
+    flags = chosen.groupBy("user", "asset", F.col("username").alias("account")).agg(*[F.bool_or(F.array_contains("actions", x)).alias(f"_{x}") for x in actions])
+    held = F.array_compact(F.array(*[F.when(F.col(f"_{x}"), F.lit(x)) for x in actions]))
+    return flags.select("user", "asset", "account", held.alias("actions"))
+
+
 def permitted_users(asset_id, users: DataFrame, assets: DataFrame) -> DataFrame:
     """(user, permission) of one asset's page."""
     granting = assets.where(F.col("asset") == F.lit(asset_id)).select("permission")
@@ -114,11 +147,18 @@ def selected_accounts(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
 
     ``scopes`` has (scope, user, asset, selectors); ``accounts`` has (asset, username). Selectors: ``@ALL`` every
     account; names after ``@SPEC`` those accounts; names after ``@NOT`` all but those; ``@NONE`` nothing; ``@USER``
-    the account named like the user; ``@INPUT`` and ``@ANON`` one virtual row each. The list is as long as its answer;
-    to test accesses or count accounts over all scopes use ``account_allowed`` and ``usable_accounts``, which do not
-    pair scopes with accounts.
+    the account named like the user; ``@INPUT`` and ``@ANON`` one virtual row each. Written names meet the accounts by
+    equality; only ``@ALL`` and ``@NOT`` are expanded by asset, as their answers are that long. To test accesses or count
+    accounts over all scopes use ``account_allowed`` and ``usable_accounts``, which do not pair scopes with accounts.
     """
-    on_asset = scopes.join(accounts, "asset").where(_chosen(F.lit(True), F.col("username")))
+    known = accounts.select("asset", "username").distinct()
+    nothing = F.array().cast("array<string>")
+    names = F.filter("selectors", lambda x: ~x.startswith("@"))
+    wanted = F.concat(F.when(_has(SPEC), names).otherwise(nothing), F.when(_has(SAME_USER), F.array("user")).otherwise(nothing))
+    whole = _has(ALL) | _has(NOT)
+    by_name = scopes.where(~whole & ~_has(NONE)).select("scope", "user", "asset", F.explode(F.array_distinct(wanted)).alias("username"))
+    of_asset = scopes.where(whole & ~_has(NONE)).join(known, "asset").where(_chosen(F.lit(True), F.col("username")))
+    on_asset = by_name.join(known, ["asset", "username"]).select("scope", "user", "asset", "username").unionByName(of_asset.select("scope", "user", "asset", "username"))
     virtual = scopes.where(~_has(NONE)).select(
         "scope", "user", "asset", F.explode(F.array_intersect("selectors", F.array(F.lit(INPUT), F.lit(ANON)))).alias("username")
     )
@@ -215,11 +255,10 @@ def sync_classify(cloud: DataFrame, local: DataFrame, key: str, attributes: list
     return c.join(l, key, "full_outer").select(key, kind.alias("class"))
 
 
-def session_children(sessions: DataFrame, key: str, children: dict[str, DataFrame]) -> DataFrame:
-    """Sessions with the number of their commands, file logs, join records, ...; each child is counted first."""
-    for name, child in children.items():
-        counts = child.groupBy(key).agg(F.count("*").alias(name))
-        sessions = sessions.join(counts, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("bigint")))
+def session_children(sessions: DataFrame, key: str, children: list[tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """Sessions with the number of their commands, file logs, join records, ...: per child table the named tests."""
+    for child, tests in children:
+        sessions = with_counts(sessions, key, child, {name: F.count_if(test) for name, test in tests.items()})
     return sessions
 
 

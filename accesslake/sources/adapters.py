@@ -109,8 +109,8 @@ def account(lineitem: DataFrame) -> DataFrame:
 
 
 def account_secret(p_name: Column, p_size: Column, username: Column) -> Column:
-    """The secret of an account: the part's name and size and the account's user."""
-    return F.concat_ws("#", p_name, p_size.cast("string"), username.cast("string"))
+    """The secret of an account: the part's name and size and the account's user; null if one is unknown."""
+    return F.concat(p_name, F.lit("#"), p_size.cast("string"), F.lit("#"), username.cast("string"))
 
 
 def _account_snapshot(lines: DataFrame) -> DataFrame:

@@ -110,3 +110,59 @@ def test_pages_follow_any_order(spark, order):
         last = seen[-1]
         seen += [(r.id, r.v) for r in ranking.page_after(df, "id", last[0], 4, order, last[1]).collect()]
     assert seen == whole
+
+
+def test_ten_thousand_rules_as_a_table(spark):
+    from accesslake.operators import rule_tables
+
+    table = spark.range(10000).select(F.col("id").alias("rule"), (F.col("id") % 97).cast("int").alias("priority"), F.lit("deny").alias("action"))
+    users = spark.range(10000).where("id % 2 = 0").select(F.col("id").alias("rule"), (F.col("id") % 500).alias("value"))
+    kinds = spark.range(10000).where("id % 3 = 0").select(F.col("id").alias("rule"), F.concat(F.lit("k"), F.col("id") % 7).alias("value"))
+    events = spark.range(300).select("id", F.when(F.col("id") % 10 > 0, F.col("id") * 2 % 500).alias("user"), F.concat(F.lit("k"), F.col("id") % 9).alias("kind"))
+    got = {r.id: (r.priority, r.rule) for r in rule_tables.evaluate_table(events, "id", table, {"user": users, "kind": kinds}).collect()}
+    for e in events.collect():
+        fits = [(i % 97, i) for i in range(10000) if (i % 2 or i % 500 == e.user) and (i % 3 or f"k{i % 7}" == e.kind)]
+        assert got[e.id] == min(fits)
+    none = rule_tables.evaluate_table(events, "id", table.where("rule % 6 = 0 and rule < 10"), {"user": users, "kind": kinds})
+    assert none.count() == 300 and none.where("rule is null").count() > 0
+
+
+def test_networks_as_a_table(spark):
+    import ipaddress
+
+    from accesslake.operators import rule_tables
+
+    texts = ["10.0.0.0/8", "10.1.2.3", "0.0.0.0/0", "10.1.2.0/30", "bad", "1.2.3.4/40", None]
+    nets = spark.createDataFrame(list(enumerate(texts)), "group int, network string")
+    addresses = ["10.1.2.3", "10.1.2.4", "192.168.0.1", "x", None, "300.1.1.1"]
+    got = {(r.address, r.group) for r in rule_tables.match_networks(spark.createDataFrame([(x,) for x in addresses], "address string"), "address", nets).collect()}
+    assert got == {(x, g) for x in addresses[:3] for g in range(4) if ipaddress.ip_address(x) in ipaddress.ip_network(texts[g], strict=False)}
+    assert rule_tables.match_networks(spark.createDataFrame([("1.1.1.1",)], "address string"), "address", nets.limit(0)).collect() == []
+
+
+def test_expired_and_inactive_permissions_grant_nothing(spark):
+    from accesslake.operators import relations
+
+    rows = [(1, ["connect"], True, "2020-01-01", "2030-01-01"), (2, ["upload"], False, "2020-01-01", "2030-01-01"), (3, ["upload"], True, "2020-01-01", "2021-01-01")]
+    perms = spark.createDataFrame(rows, "permission long, actions array<string>, is_active boolean, date_start string, date_expired string")
+    perms = perms.withColumn("date_start", F.col("date_start").cast("timestamp")).withColumn("date_expired", F.col("date_expired").cast("timestamp"))
+    live = relations.in_force(perms, "2024-01-01")
+    users = spark.createDataFrame([(p, 7) for p in (1, 2, 3)], "permission long, user long")
+    assets = spark.createDataFrame([(p, a) for p, a in ((1, 1), (2, 1), (3, 2))], "permission long, asset long")
+    asked = spark.createDataFrame([(7, 1), (7, 2), (8, 1)], "user long, asset long")
+    got = {(r.user, r.asset): (r.permissions, r.granted, r.actions) for r in relations.resolve(asked, live, users, assets, ["connect", "upload"]).collect()}
+    assert got == {(7, 1): (1, True, ["connect"]), (7, 2): (0, False, []), (8, 1): (0, False, [])}
+    selectors = live.withColumn("selectors", F.array(F.lit("@SPEC"), F.lit("root")))
+    accounts = spark.createDataFrame([(1, "root"), (1, "dev"), (2, "root")], "asset long, username string")
+    found = relations.granted_accounts(relations.granted(asked, selectors, users, assets), selectors, accounts, ["connect", "upload"]).collect()
+    assert [tuple(r) for r in found] == [("7", 1, "root", ["connect"])]
+
+
+def test_a_hot_key_is_spread_by_its_own_count(spark):
+    from accesslake.operators.relations import attach_spread
+
+    df = spark.range(3000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    per_key = df.groupBy("k").agg(F.count("*").alias("n"))
+    joined = attach_spread(df, per_key, "k", F.col("row"), "n", hot_keys=30)
+    assert joined.count() == 3000 and joined.where("n is null").count() == 0
+    assert joined.where("k = 0").agg(F.max("n")).first()[0] == 1000
