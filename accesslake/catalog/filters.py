@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from accesslake.catalog.registry import EVENTS_AS_OF, LINES_AS_OF, ORDERS_AS_OF, query
 from accesslake.functions import calendar as cal
 from accesslake.functions.values import all_of
+from accesslake.operators import metrics, ranking, risks
 from accesslake.operators import predicates as p
-from accesslake.operators import ranking
 from accesslake.sources import adapters as a
 
 
@@ -297,10 +297,12 @@ def permission_expr(t):
               count(*) FILTER (last >= TIMESTAMP '2001-10-29') AS latest_accessed,
               count(*) FILTER (last >= TIMESTAMP '2001-10-29' AND last > created) AS latest_updated,
               count(*) FILTER (failed) AS latest_secret_change_failed,
-              count(*) FILTER (date_diff('day', last::DATE, DATE '2001-11-04') > 90) AS long_time_no_login,
-              count(*) FILTER (length(p_name) < 12) AS weak_password, count(*) FILTER (has <= 1) AS no_secret,
+              count(*) FILTER (last IS NULL OR date_diff('day', last::DATE, DATE '2001-11-04') > 90) AS long_time_no_login,
+              count(*) FILTER (length(p_name) < 12 OR NOT regexp_matches(p_name, '[A-Za-z]') OR NOT regexp_matches(p_name, '[0-9]')
+                               OR NOT regexp_matches(p_name, '[^A-Za-z0-9]')) AS weak_password,
+              count(*) FILTER (has <= 1) AS no_secret,
               count(*) FILTER (date_diff('day', created::DATE, DATE '2001-11-04') > 180) AS long_time_no_change_secret
-       FROM a JOIN part ON asset = p_partkey""",
+       FROM a LEFT JOIN part ON asset = p_partkey""",
 )
 def dashboard_account_filters(t):
     ship = F.col("l_shipdate")
@@ -312,21 +314,10 @@ def dashboard_account_filters(t):
         F.bool_or((F.col("l_linestatus") == "O") & recent).alias("failed"),
         F.max("l_linenumber").alias("has"),
     )
-    named = accounts.join(t.part.select(F.col("p_partkey").alias("asset"), "p_name"), "asset")
-    last, created = F.col("last"), F.col("created")
-    bound = cal.at(accounts, "last", start)
-    today = F.lit(LINES_AS_OF).cast("date")
-    return named.agg(
-        F.count("*").alias("total"),
-        F.count_if(created >= bound).alias("latest_discovery"),
-        F.count_if(last >= bound).alias("latest_accessed"),
-        F.count_if((last >= bound) & (last > created)).alias("latest_updated"),
-        F.count_if("failed").alias("latest_secret_change_failed"),
-        F.count_if(F.datediff(today, last) > 90).alias("long_time_no_login"),
-        F.count_if(F.length("p_name") < 12).alias("weak_password"),
-        F.count_if(F.col("has") <= 1).alias("no_secret"),
-        F.count_if(F.datediff(today, created) > 180).alias("long_time_no_change_secret"),
-    )
+    named = accounts.join(t.part.select(F.col("p_partkey").alias("asset"), F.col("p_name").alias("secret")), "asset", "left")
+    named = named.withColumn("has_secret", F.col("has") > 1)
+    tests = risks.account_filters(LINES_AS_OF, created="created", last_login="last", updated="last", secret_changed="created", failed="failed")
+    return metrics.counters(named, {"total": F.lit(True)} | tests)
 
 
 @query(

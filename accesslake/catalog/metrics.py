@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from accesslake.catalog import choices
 from accesslake.catalog.registry import EVENT_TYPES, EVENTS_AS_OF, LINES_AS_OF, ORDERS_AS_OF, PART_TYPES, query
 from accesslake.catalog.relations import RECONCILE_SQL, reconciled
 from accesslake.functions import calendar as cal
@@ -184,7 +185,7 @@ USER_STATS_SQL = """SELECT unnest(['total', 'not_enabled_mfa', 'first_login', 'v
 
 @query("user_stats", USER_STATS_SQL)
 def user_stats(t):
-    return reports.user_stats(a.user(t.customer))
+    return reports.user_stats(a.user(t.customer), choices.user_measures())
 
 
 ASSET_STATS_SQL = """SELECT unnest(['total', 'active', 'connected', 'zone', 'directory_services', 'platform_count']) AS metric,
@@ -194,7 +195,7 @@ ASSET_STATS_SQL = """SELECT unnest(['total', 'active', 'connected', 'zone', 'dir
 
 @query("asset_stats", ASSET_STATS_SQL)
 def asset_stats(t):
-    return reports.asset_stats(a.asset(t.part))
+    return reports.overview(a.asset(t.part), choices.asset_measures())
 
 
 ACCOUNT_SQL = """acc AS (SELECT l_suppkey AS username, l_partkey AS asset, max(l_shipdate) AS last_login, min(l_shipdate) AS created,
@@ -207,7 +208,7 @@ ACCOUNT_STATS_SQL = """SELECT unnest(['total', 'active', 'connected', 'su_from',
 
 @query("account_stats", f"WITH {ACCOUNT_SQL} {ACCOUNT_STATS_SQL}")
 def account_stats(t):
-    return reports.account_stats(a.account(t.lineitem), LINES_AS_OF, 30)
+    return reports.overview(a.account(t.lineitem), choices.account_measures(LINES_AS_OF, 30))
 
 
 @query(
@@ -228,7 +229,7 @@ PRIVILEGE_SQL = """SELECT count(*) FILTER (present AND username % 5 = 0) AS priv
 
 @query("privilege_counts", f"WITH {RECONCILE_SQL} {PRIVILEGE_SQL}")
 def privilege_counts(t):
-    return reports.privilege_counts(reconciled(t))
+    return reports.privilege_counts(reconciled(t), choices.privileged())
 
 
 # Automation kinds, each with the event type that stands for it on the fixtures.

@@ -14,6 +14,7 @@ from accesslake.catalog.metrics import (
     days_sql,
     secret_runs,
 )
+from accesslake.catalog import choices
 from accesslake.catalog.registry import EVENT_TYPES, EVENTS_AS_OF, LINES_AS_OF, ORDERS_AS_OF, PART_TYPES, query
 from accesslake.catalog.relations import reconciled
 from accesslake.catalog.risks import FINDINGS_SQL, findings
@@ -88,7 +89,7 @@ FAILURE = "count(*) FILTER (NOT status)"
     ),
 )
 def report_user_login(t):
-    return reports.long_form(reports.user_login(a.user(t.customer), a.login_log(t.events), DAYS, EVENTS_AS_OF))
+    return reports.long_form(reports.user_login(a.user(t.customer), a.login_log(t.events), choices.user_measures(), DAYS, EVENTS_AS_OF))
 
 
 CHANGES = f"SELECT user_id AS \"user\", k AS change_by, date FROM ({LOGINS}) WHERE event_type = 'signup'"
@@ -136,7 +137,7 @@ def report_password_change(t):
 )
 def report_asset_statistic(t):
     added = t.lineitem.groupBy(F.col("l_partkey").alias("asset")).agg(F.min("l_shipdate").alias("date_created"))
-    return reports.long_form(reports.asset_statistic(a.asset(t.part), added, DAYS, ORDERS_AS_OF))
+    return reports.long_form(reports.asset_statistic(a.asset(t.part), added, choices.asset_measures(), DAYS, ORDERS_AS_OF))
 
 
 SESSIONS = (
@@ -204,7 +205,7 @@ def report_asset_activity(t):
 )
 def report_account_statistic(t):
     versions = t.orders.select(F.col("o_custkey").alias("account"))
-    return reports.long_form(reports.account_statistic(a.account(t.lineitem), versions, DAYS, LINES_AS_OF))
+    return reports.long_form(reports.account_statistic(a.account(t.lineitem), versions, choices.account_measures(LINES_AS_OF, DAYS), DAYS, LINES_AS_OF))
 
 
 KINDS = {k: f"count(*) FILTER (event_type = '{e}')" for k, e in AUTOMATIONS.items()}
@@ -275,7 +276,7 @@ RATIO = "round(count(*) FILTER (status) * 100.0::DOUBLE / count(*), 2)"
     ),
 )
 def dashboard_audit(t):
-    return reports.long_form(reports.audit_board(t.events, a.session(t.orders, t.lineitem), DAYS, EVENTS_AS_OF))
+    return reports.long_form(reports.audit_board(t.events, a.session(t.orders, t.lineitem), choices.log_kinds(), choices.login_success(), DAYS, EVENTS_AS_OF))
 
 
 RINGS = f"""WITH b AS (SELECT 'users' AS name, count(DISTINCT user_id) AS active, (SELECT count(*) FROM customer) AS total FROM ({LOGINS})
@@ -328,7 +329,7 @@ def dashboard_console(t):
     ),
 )
 def dashboard_pam(t):
-    return reports.long_form(reports.pam_board(reconciled(t), findings(t), kinds_of(t), list(AUTOMATIONS), DAYS, EVENTS_AS_OF))
+    return reports.long_form(reports.pam_board(reconciled(t), choices.privileged(), findings(t), kinds_of(t), list(AUTOMATIONS), DAYS, EVENTS_AS_OF))
 
 
 RUNS = (
@@ -386,7 +387,7 @@ def dashboard_change_secret(t):
 )
 def report_long(t):
     """One table of each shape: date series, name and value, metric map, records per category."""
-    login = reports.user_login(a.user(t.customer), a.login_log(t.events), DAYS, EVENTS_AS_OF)
+    login = reports.user_login(a.user(t.customer), a.login_log(t.events), choices.user_measures(), DAYS, EVENTS_AS_OF)
     by_category = t.part.groupBy(F.col("p_type").alias("__category"), F.col("p_brand").alias("name")).agg(F.count("*").alias("value"))
     return reports.long_form(
         {
@@ -407,5 +408,5 @@ def report_long(t):
 )
 def report_select(t):
     """A saved report of seven days with two of its tables visible."""
-    login = reports.user_login(a.user(t.customer), a.login_log(t.events), 7, EVENTS_AS_OF)
+    login = reports.user_login(a.user(t.customer), a.login_log(t.events), choices.user_measures(), 7, EVENTS_AS_OF)
     return reports.long_form(reports.select_tables(login, " user_stats, ,login_trend "))

@@ -69,6 +69,38 @@ def weak(secret: Column, min_length: int = 12) -> Column:
     return ~strong
 
 
+def account_filters(
+    as_of,
+    days: int = 7,
+    created: str = "date_created",
+    last_login: str = "date_last_login",
+    updated: str = "date_updated",
+    secret_changed: str = "date_change_secret",
+    secret: str = "secret",
+    has_secret: str = "has_secret",
+    failed: str = "change_secret_failed",
+) -> dict[str, Column]:
+    """The quick filters of an account list as named tests, with the same idle and weak-secret rules as the risks.
+
+    ``latest_`` means within the ``days`` ending on ``as_of``; updated accounts have changed since they were created.
+    """
+    today = F.lit(str(as_of)[:10]).cast("date")
+
+    def recent(c: str) -> Column:
+        return F.datediff(today, F.col(c)) < days
+
+    return {
+        "latest_discovery": recent(created),
+        "latest_accessed": recent(last_login),
+        "latest_updated": recent(updated) & (F.col(updated) > F.col(created)),
+        "latest_secret_change_failed": F.col(failed),
+        "long_time_no_login": idle(F.col(last_login), NO_LOGIN_DAYS, as_of),
+        "weak_password": F.coalesce(weak(F.col(secret)), F.lit(False)),
+        "no_secret": ~F.col(has_secret),
+        "long_time_no_change_secret": older_than(F.col(secret_changed), PASSWORD_DAYS, as_of),
+    }
+
+
 def new_found(reconciled: DataFrame) -> DataFrame:
     return reconciled.where(F.col("remote_present") & ~F.col("present"))
 

@@ -105,12 +105,12 @@ def _series(base: DataFrame, key: str, days: int, as_of) -> DataFrame:
     return series_by(found, as_of, days).toDF(*LONG)
 
 
-def user_login(users: DataFrame, logins: DataFrame, days: int, as_of) -> Report:
+def user_login(users: DataFrame, logins: DataFrame, measures: dict[str, Column], days: int, as_of) -> Report:
     """Users: overview, sources, success and failure per day, visiting times and login methods."""
     daypart = F.floor(F.hour("datetime") / 6).alias("daypart")
     base = _counted(logins, "datetime", as_of, days, daypart, "method", "status")
     return {
-        "user_stats": user_stats(users),
+        "user_stats": user_stats(users, measures),
         "user_by_source": distribution(users, "source"),
         "login_trend": _summed(base, (as_of, days), {"success": F.col("status"), "failure": ~F.col("status")}),
         "visit_time": _sums(base, {d: F.col("daypart") == i for i, d in enumerate(DAYPARTS)}),
@@ -118,19 +118,14 @@ def user_login(users: DataFrame, logins: DataFrame, days: int, as_of) -> Report:
     }
 
 
-def user_stats(users: DataFrame) -> DataFrame:
-    """Overview of users. On the fixtures: no MFA without a positive balance, first login with a balance
-    from 0 to 100, a password due for update above 9000; nobody has a face vector, so that row is hidden."""
-    balance = F.col("balance")
-    totals = users.agg(
-        F.count("*").alias("total"),
-        F.count_if(balance <= 0).alias("not_enabled_mfa"),
-        F.count_if(balance.between(0, 100)).alias("first_login"),
-        F.count_if(F.col("is_active")).alias("valid"),
-        F.lit(0).cast("bigint").alias("face_vector"),
-        F.count_if(balance > 9000).alias("need_update_password"),
-    )
-    return metric_rows(totals, hide_zero=("face_vector",))
+def overview(df: DataFrame, measures: dict[str, Column], hide_zero: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, value) rows of the caller's named aggregates, in one pass; metrics named in ``hide_zero`` vanish at zero."""
+    return metric_rows(df.agg(*[m.alias(name) for name, m in measures.items()]), hide_zero)
+
+
+def user_stats(users: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """Overview of users; the row of face vectors is shown only if there are any."""
+    return overview(users, measures, ("face_vector",))
 
 
 def password_change(changes: DataFrame, days: int, as_of) -> Report:
@@ -149,24 +144,10 @@ def password_change(changes: DataFrame, days: int, as_of) -> Report:
     }
 
 
-def asset_stats(assets: DataFrame) -> DataFrame:
-    """Overview of assets. On the fixtures: active below the price of 1500, connected below 1200, zones are the
-    categories, directory services the PROMO ones."""
-    totals = assets.agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("price") < 1500).alias("active"),
-        F.count_if(F.col("price") < 1200).alias("connected"),
-        F.count_distinct("category").alias("zone"),
-        F.count_if(F.col("category") == "PROMO").alias("directory_services"),
-        F.count_distinct("platform").alias("platform_count"),
-    )
-    return metric_rows(totals)
-
-
-def asset_statistic(assets: DataFrame, added: DataFrame, days: int, as_of) -> Report:
+def asset_statistic(assets: DataFrame, added: DataFrame, measures: dict[str, Column], days: int, as_of) -> Report:
     """Assets: overview, platform by category, and assets first seen per day. ``added`` has (asset, date_created)."""
     return {
-        "asset_stats": asset_stats(assets),
+        "asset_stats": overview(assets, measures),
         "platform_by_category": crosstab(assets, "platform", "category").toDF(*LONG),
         "assets_added": daily(added, "date_created", as_of, days, {"total": F.count("*")}),
     }
@@ -191,25 +172,10 @@ def asset_activity(sessions: DataFrame, days: int, as_of) -> Report:
     }
 
 
-def account_stats(accounts: DataFrame, as_of, days: int) -> DataFrame:
-    """Overview of accounts. On the fixtures: active with more than one login, connected with a login in the last
-    year, switched from another account when privileged, secret changed inside the window, templates are usernames."""
-    since = F.datediff(F.lit(str(as_of)[:10]).cast("date"), F.col("date_last_login"))
-    totals = accounts.agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("logins") > 1).alias("active"),
-        F.count_if(since.between(0, 364)).alias("connected"),
-        F.count_if(F.col("privileged")).alias("su_from"),
-        F.count_if(since.between(0, days - 1)).alias("date_change_secret"),
-        F.count_distinct("username").alias("template_total"),
-    )
-    return metric_rows(totals)
-
-
-def account_statistic(accounts: DataFrame, versions: DataFrame, days: int, as_of) -> Report:
+def account_statistic(accounts: DataFrame, versions: DataFrame, measures: dict[str, Column], days: int, as_of) -> Report:
     """Accounts: overview, created per day, by privilege and by user, assets with most accounts, highest versions."""
     return {
-        "account_stats": account_stats(accounts, as_of, days),
+        "account_stats": overview(accounts, measures),
         "accounts_added": daily(accounts, "date_created", as_of, days, {"total": F.count("*")}),
         "by_privilege": distribution(accounts, "privileged"),
         "by_logins": distribution(accounts, "logins"),
@@ -229,29 +195,22 @@ def account_automation(jobs: DataFrame, kinds: list[str], found: DataFrame, days
     }
 
 
-def audit_board(logs: DataFrame, sessions: DataFrame, days: int, as_of) -> Report:
-    """Audit: totals of every log kind, login success ratio, logins per day. ``logs`` is the raw event log."""
+def audit_board(logs: DataFrame, sessions: DataFrame, kinds: dict[str, Column], success: Column, days: int, as_of) -> Report:
+    """Audit: totals of every log kind, login success ratio, logins per day. ``logs`` is the raw event log.
+
+    ``kinds`` tells by a test on ``event_type`` what counts for which log, ``success`` which logins succeeded.
+    """
     base = _counted(logs, "ts", as_of, days, "event_type")
-    kind = F.col("event_type")
     totals = base.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("logins"),
-        F.coalesce(F.sum(F.when(kind != "error", F.col("n"))), F.lit(0)).alias("login_success"),
+        F.coalesce(F.sum(F.when(success, F.col("n"))), F.lit(0)).alias("login_success"),
     )
     ratios = totals.select(*ratio_pair(F.col("login_success"), F.col("logins"), "succeeded", "failed"))
     states = sessions.agg(
         F.count_if(~F.col("is_finished")).alias("online_sessions"), F.count_if(F.col("is_finished")).alias("history_sessions")
     )
     return {
-        "log_totals": _sums(
-            base,
-            {
-                "logins": F.lit(True),
-                "operations": kind.isin("click", "view"),
-                "password_changes": kind == "signup",
-                "file_logs": kind == "purchase",
-                "jobs": kind != "view",
-            },
-        ),
+        "log_totals": _sums(base, kinds),
         "session_totals": metric_rows(states),
         "login_ratio": ratios.select(F.lit("login").alias("name"), "succeeded", "failed"),
         "login_trend": _summed(base, (as_of, days), {"total": F.lit(True)}),
@@ -276,7 +235,7 @@ def console_board(users: DataFrame, assets: DataFrame, logins: DataFrame, sessio
     }
 
 
-def pam_board(reconciled: DataFrame, found: DataFrame, jobs: DataFrame, kinds: list[str], days: int, as_of) -> Report:
+def pam_board(reconciled: DataFrame, privileged: Column, found: DataFrame, jobs: DataFrame, kinds: list[str], days: int, as_of) -> Report:
     """Accounts at a glance: privilege and presence counts, risks, risk shares, automations, riskiest assets."""
     per_asset = found.groupBy("asset", "risk").agg(F.count("*").alias("n"))
     # At most one row per risk name is left here, so one window over all of them is small.
@@ -285,7 +244,7 @@ def pam_board(reconciled: DataFrame, found: DataFrame, jobs: DataFrame, kinds: l
     )
     base = in_days(jobs, "date_start", as_of, days).groupBy("task").agg(F.count("*").alias("n"))
     return {
-        "accounts": metric_rows(privilege_counts(reconciled)),
+        "accounts": metric_rows(privilege_counts(reconciled, privileged)),
         "risks": _sums(per_asset, {f"total_{r}_accounts": F.col("risk") == r for r in RISKS}),
         "risk_shares": shares,
         "automations": _sums(base, {k: F.col("task") == k for k in kinds}),
@@ -293,10 +252,8 @@ def pam_board(reconciled: DataFrame, found: DataFrame, jobs: DataFrame, kinds: l
     }
 
 
-def privilege_counts(reconciled: DataFrame) -> DataFrame:
-    """Privileged and ordinary managed accounts, accounts only on the host, and accounts gone from it.
-    On the fixtures every fifth user is privileged."""
-    privileged = F.col("username") % 5 == 0
+def privilege_counts(reconciled: DataFrame, privileged: Column) -> DataFrame:
+    """Privileged and ordinary managed accounts, accounts only on the host, and accounts gone from it."""
     return reconciled.agg(
         F.count_if(F.col("present") & privileged).alias("privileged"),
         F.count_if(F.col("present") & ~privileged).alias("ordinary"),
