@@ -55,9 +55,10 @@ class Model:
 def fit(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk of positive and unlabelled rows, each a list of features.
 
-    The risk is ``prior * R+(P) + max(0, R-(U) - prior * R-(P))`` with the sigmoid loss, which is bounded, so that a few
-    very sure positives can't outweigh the rest. While the part in brackets is negative, the step goes up its gradient
-    instead, so that the fit doesn't make positives of the unlabelled rows.
+    The risk is ``prior * R+(P) + max(0, R-(U) - prior * R-(P))`` with logistic losses. While the part in brackets is
+    negative, the step goes up its gradient instead, so that the fit doesn't make positives of the unlabelled rows. At the
+    end the bias is lowered, if need be, until the mean score of the unlabelled rows is no more than the prior, as very
+    sure positives would else raise the scores of all rows where the sample is small.
     """
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.fromiter((f for r in rows for f in r), dtype=np.int64, count=len(row))
@@ -68,15 +69,20 @@ def fit(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: flo
     for step in range(1, steps + 1):
         z = b + np.bincount(row, w[col], len(rows)) if len(col) else np.full(len(rows), b)
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        slope = p * (1 - p)
-        rest = p[is_u].sum() / n_u - prior * p[is_p].sum() / n_p
-        up = np.where(is_u, slope / n_u, -prior * slope / n_p)  # of the risk on the negative side
-        g = np.where(is_p, -prior * slope / n_p, 0.0) + up if rest >= 0 else -up
+        lose = np.logaddexp(0, z)
+        rest = lose[is_u].sum() / n_u - prior * lose[is_p].sum() / n_p
+        up = np.where(is_u, p / n_u, -prior * p / n_p)  # of the risk on the negative side
+        g = np.where(is_p, -prior * (1 - p) / n_p, 0.0) + up if rest >= 0 else -up
         grad = np.concatenate([np.bincount(col, g[row], n_features) + decay * w, [g.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+    z = (np.bincount(row, w[col], len(rows)) if len(col) else np.zeros(len(rows)))[is_u]
+    low, high = -60.0, float(b)
+    for _ in range(60 if len(z) else 0):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (1 / (1 + np.exp(-np.clip(z + middle, -60, 60)))).mean() < prior else (low, middle)
+    return w, float(high)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
