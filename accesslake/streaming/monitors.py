@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.streaming import StreamingQuery
 
-from accesslake.functions.values import seconds_between
+from accesslake.functions.values import all_of, seconds_between
 from accesslake.operators.predicates import search_batches
 from accesslake.operators.rules import evaluate
 from accesslake.session import shared_dir
@@ -30,43 +31,77 @@ def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
 
 
-def run_append(stream: DataFrame, purpose: str) -> DataFrame:
-    """Runs over what is available and returns the table the file sink wrote (exactly once per row)."""
-    base = shared_dir(stream.sparkSession, purpose)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{base}/table")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/table")
+def start_append(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Starts a query that appends to ``folder/table`` (exactly once per row); ``trigger`` is Spark's, say ``processingTime``.
+
+    Started again with the same folder it goes on from its checkpoint.
+    """
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint")
+    return writer.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def run_update(stream: DataFrame, keys: list[str], purpose: str) -> DataFrame:
-    """Runs in update mode and returns the newest row per key.
+def start_update(stream: DataFrame, keys: list[str], folder: str, **trigger) -> StreamingQuery:
+    """Starts a query in update mode that keeps the newest row per key under ``folder/table``.
 
-    Every micro-batch overwrites its own folder, so a replayed batch leaves the same rows.
+    Every micro-batch writes the whole state as a version of its own and drops all versions but the one it started from,
+    so storage is bounded by two states. A replayed batch starts from the same version and leaves the same rows.
     """
-    base = shared_dir(stream.sparkSession, purpose)
 
     def keep(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{base}/table/batch={batch}")
-
-    query = (
-        stream.writeStream.foreachBatch(keep)
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .outputMode("update")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    written = stream.sparkSession.read.parquet(f"{base}/table")
-    rest = [c for c in written.columns if c not in (*keys, "batch")]
-    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
-    return newest.select(*keys, "_row.*")
+        spark = rows.sparkSession
+        older = [v for v in state_versions(spark, folder) if v < batch]
+        rows.persist()
+        state = rows
+        if older:
+            seen = rows.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
+            same = all_of([F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys])
+            state = rows.unionByName(spark.read.schema(rows.schema).parquet(_version(folder, older[-1])).join(seen, same, "left_anti"))
+        state.write.mode("overwrite").parquet(_version(folder, batch))
+        rows.unpersist()
+        for version in older[:-1]:
+            path, store = _store(spark, _version(folder, version))
+            store.delete(path, True)
+
+    writer = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint")
+    return writer.outputMode("update").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _version(folder: str, batch: int) -> str:
+    return f"{folder}/table/version-{batch}"
+
+
+def _store(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def state_versions(spark: SparkSession, folder: str) -> list[int]:
+    """The complete versions of an updated table, oldest first."""
+    path, store = _store(spark, f"{folder}/table")
+    if not store.exists(path):
+        return []
+    names = [(f.getPath().getName(), f.getPath()) for f in store.listStatus(path)]
+    return sorted(int(n.partition("-")[2]) for n, p in names if n.startswith("version-") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def newest_state(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The newest complete version of an updated table; empty before the first."""
+    versions = state_versions(spark, folder)
+    return spark.read.schema(schema).parquet(_version(folder, versions[-1])) if versions else spark.createDataFrame([], schema)
+
+
+def run_append(stream: DataFrame, purpose: str) -> DataFrame:
+    """Runs over what is available and returns the table written."""
+    folder = shared_dir(stream.sparkSession, purpose)
+    start_append(stream, folder).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
+def run_update(stream: DataFrame, keys: list[str], purpose: str) -> DataFrame:
+    """Runs in update mode over what is available and returns the newest row per key."""
+    folder = shared_dir(stream.sparkSession, purpose)
+    start_update(stream, keys, folder).awaitTermination()
+    return newest_state(stream.sparkSession, folder, stream.schema)
 
 
 def log_tail(lines: DataFrame, components: list[str], search: str = "", component: str = "component", message: str = "message") -> DataFrame:

@@ -65,3 +65,28 @@ def test_a_table_may_be_a_directory(spark, tables, tmp_path):
     tables.events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     stream = s.table_stream(spark, str(tmp_path), "events", files_per_trigger=1)
     assert s.run_append(stream.select("event_id"), "test-directory").count() == tables.events.count()
+
+
+def test_a_restart_goes_on_from_the_checkpoint(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "k long, n long"
+
+    def put(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    put([(1, 1), (2, 1)])
+    for rows in ([(1, 2)], [(3, 5), (None, 1)], [(1, 3), (None, 2)], []):
+        s.start_append(stream(), folder + "/append").awaitTermination()
+        counted = stream().groupBy("k").agg(F.sum("n").alias("n"))
+        query = s.start_update(counted, ["k"], folder + "/update", availableNow=True)
+        query.awaitTermination()
+        assert len(s.state_versions(spark, folder + "/update")) <= 2
+        if rows:
+            put(rows)
+    everything = spark.read.schema(schema).parquet(source)
+    assert sorted(map(str, spark.read.schema(schema).parquet(folder + "/append/table").collect())) == sorted(map(str, everything.collect()))
+    state = {r.k: r.n for r in s.newest_state(spark, folder + "/update", counted.schema).collect()}
+    assert state == {1: 6, 2: 1, 3: 5, None: 3}
