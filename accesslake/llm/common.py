@@ -50,7 +50,7 @@ def shipped(spark: SparkSession) -> SparkSession:
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a Parquet table in the folder the cluster shares, read back; it outlives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -15,6 +15,8 @@ from accesslake.llm.common import partitions, written
 SHARD = 1 << 20
 #: Distinct text of one key beyond which its strings are compared by digests over all tasks instead.
 KEY_BYTES = 2 << 20
+#: Up to so many large keys are broadcast; more are joined.
+BROADCAST_KEYS = 100_000
 GRAM = 64
 LANES = 2048
 
@@ -339,10 +341,16 @@ def _repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[
     named = lambda df: df.withColumn("c1", F.xxhash64("key", "context")).withColumn("c2", F.xxhash64(F.lit(1), "context"))
     contexts = written(named(places).groupBy("key", "c1", "c2", "context").agg(F.count("*").alias("n")), "contexts")
     sizes = contexts.groupBy("key").agg(F.sum(F.octet_length("context")).alias("bytes"), F.sum("n").alias("times"))
-    large = sizes.where(F.col("bytes") > KEY_BYTES).select("key")
-    usual = contexts.join(large, "key", "left_anti").select("key", "c1", "c2", "context", "n")
-    found = usual.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "c1").mapInArrow(_by_shards(length), "c1 long, c2 long, froms array<long>, tos array<long>")
-    spread = contexts.join(large, "key", "left_semi").select("key", "c1", "c2", "context", "n").repartition(partitions(docs.sparkSession), "c1")
+    large = written(sizes.where(F.col("bytes") > KEY_BYTES).select("key"), "large-keys")
+    many = large.count()
+    fields = ["key", "c1", "c2", "context", "n"]
+    usual, spread = contexts.select(*fields), contexts.limit(0).select(*fields)
+    if many:  # without large keys no context has to be dealt out for this
+        side = F.broadcast(large) if many <= BROADCAST_KEYS else large
+        usual, spread = usual.join(side, "key", "left_anti").select(*fields), usual.join(side, "key", "left_semi").select(*fields)
+    parts = partitions(docs.sparkSession)
+    found = usual.repartition(parts, "key").sortWithinPartitions("key", "c1").mapInArrow(_by_shards(length), "c1 long, c2 long, froms array<long>, tos array<long>")
+    spread = spread.repartition(parts, "c1")
     strings = spread.mapInArrow(_digests(length), "c1 long, c2 long, start long, d1 long, d2 long, n long")
     twice = strings.groupBy("d1", "d2").agg(F.sum("n").alias("times")).where("times > 1").select("d1", "d2")
     single = strings.join(twice, ["d1", "d2"], "left_semi").groupBy("c1", "c2").agg(F.collect_list("start").alias("froms"))
