@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from accesslake.llm.common import written
 
 BUCKETS = 1 << 15
+#: Labelled documents the domains are learned from, at most.
+MAX_LABELLED = 20_000
 #: Words whose evidence counts in full; more words weigh as so many, so that long texts keep a soft membership.
 EVIDENCE = 20
 
@@ -66,6 +68,17 @@ def learn_domains(labelled: DataFrame, names: list[str], domain_col: str = "doma
     return Domains(names, np.log(docs / docs.sum()), np.log(table / table.sum(axis=1, keepdims=True)))
 
 
+def labelled_rows(docs: DataFrame, ids: DataFrame, domain_col: str, max_rows: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``domain, text`` of the documents that ``ids`` names, of at most ``max_rows`` of those, the first by a hash of the id.
+
+    So the names fit a broadcast of known size and no text is shuffled to learn the domains.
+    """
+    names = ids.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
+    names = written(names.orderBy(F.xxhash64("_id"), "_id").limit(max_rows), "labelled-ids")
+    rows = docs.join(F.broadcast(names), F.col(id_col) == F.col("_id"), "left_semi")
+    return rows.select(F.col(domain_col).cast("string").alias("domain"), F.col(text_col).alias("text"))
+
+
 def memberships(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, tokens`` (words between white space of the whole text) and ``p``, the posterior of each domain."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from accesslake.llm.bitpack import read_documents, write_ids
 from accesslake.llm.common import ORACLES, QUERIES, query
 from accesslake.llm.kdtree import shard
-from accesslake.llm.mixing import mix
+from accesslake.llm.mixing import labelled_rows, mix
 from accesslake.llm.packing import pack
 from accesslake.llm.simhash import near_duplicates
 from accesslake.llm.suffix import cut_texts
@@ -77,8 +77,7 @@ LANGUAGES = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
 @query("op7_soft_membership_mixing")
 def op7(t):
-    good = t.labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    labelled = t.documents.join(good, F.col("doc_id") == F.col("_good"), "left_semi").select(F.col("lang").alias("domain"), "text")
+    labelled = labelled_rows(t.documents, t.labels.where("quality = 1"), "lang")
     rates, _, _ = mix(t.documents, labelled, LANGUAGES)
     return rates.select("doc_id", "tokens", *(F.round(F.get("p", F.lit(i)), 9).alias(f"p_{n}") for i, n in enumerate(LANGUAGES)), F.round("rate", 6).alias("rate"))
 

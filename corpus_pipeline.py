@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accesslake.llm.common import shipped, written
-from accesslake.llm.mixing import mix, resample
+from accesslake.llm.mixing import labelled_rows, mix, resample
 from accesslake.llm.packing import pack
 from accesslake.llm.queries import tokenizer
 from accesslake.llm.simhash import keep_one, near_duplicates
@@ -46,10 +46,9 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that the languages' expected tokens come to ``TARGETS``.
 
-    The classifier learns languages from the documents that ``labels`` calls good.
+    The classifier learns languages from documents that ``labels`` calls good, 20,000 at most.
     """
-    good = Tables(shipped(spark), sf_dir).labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    labelled = docs.join(good, F.col("doc_id") == F.col("_good"), "left_semi").select(F.col("lang").alias("domain"), "text")
+    labelled = labelled_rows(docs, Tables(shipped(spark), sf_dir).labels.where("quality = 1"), "lang")
     _, model, rates = mix(docs, labelled, TARGETS, floor=1.0)
     return resample(docs, model, rates)
 

@@ -233,3 +233,14 @@ def test_deep_paths_and_odd_addresses(llm):
     assert judge(pages.limit(0), None).collect() == []
     deep = templates(llm.createDataFrame([("h", "/" + "/".join("abcdefghijkl"), 1, 0, 0)], "host string, path string, n long, known long, good long"), depth=3).first()
     assert deep.template == "/a/b/" + "/".join("cdefghijkl")
+
+
+def test_labelled_rows_are_bounded(llm):
+    from accesslake.llm.mixing import labelled_rows
+
+    docs = language_docs(llm)
+    ids = docs.select("doc_id").union(llm.createDataFrame([(None,), (5,), (5,), (99999,)], "doc_id long"))
+    assert labelled_rows(docs, ids, "domain").count() == 400
+    few = labelled_rows(docs, ids, "domain", max_rows=50)
+    assert 49 <= few.count() <= 50 and few.columns == ["domain", "text"]
+    assert sorted(map(str, few.collect())) == sorted(map(str, labelled_rows(docs, ids, "domain", max_rows=50).collect()))
