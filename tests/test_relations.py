@@ -113,8 +113,7 @@ NODES = [("1", None, "Root"), ("2", "1", "Asia"), ("3", "2", "Leaf"), ("4", "1",
 
 def test_tree_needs_no_depth(spark):
     nodes = spark.createDataFrame(NODES, "id string, parent_id string, name string")
-    bounded, free = tree.closure(nodes, 4), tree.closure(nodes)
-    assert {tuple(x) for x in bounded.collect()} == {tuple(x) for x in free.collect()}
+    free = tree.closure(nodes)
     assert free.count() == 1 + 2 + 3 + 2 + 4
     flat = tree.flatten(nodes).orderBy("path").collect()
     assert [(x.id, x._level) for x in flat] == [("1", 0), ("2", 1), ("3", 2), ("5", 3), ("4", 1)]
@@ -122,10 +121,10 @@ def test_tree_needs_no_depth(spark):
 
 def test_tree_search_and_visibility(spark):
     nodes = spark.createDataFrame(NODES, "id string, parent_id string, name string")
-    assert {x.id for x in tree.search(nodes, "LEAF", 4).collect()} == {"1", "2", "3", "5"}
-    assert {x.id for x in tree.search(nodes, "none", 4).collect()} == set()
+    assert {x.id for x in tree.search(nodes, "LEAF").collect()} == {"1", "2", "3", "5"}
+    assert {x.id for x in tree.search(nodes, "none").collect()} == set()
     marked = nodes.withColumn("expanded", F.col("name") != "Leaf")
-    assert {x.id for x in tree.visible(marked, "expanded", 4).collect()} == {"1", "2", "3", "4"}
+    assert {x.id for x in tree.visible(marked, "expanded").collect()} == {"1", "2", "3", "4"}
     assert {x.id for x in tree.leaves(nodes.select("id"), nodes).collect()} == {"4", "5"}
 
 

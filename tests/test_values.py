@@ -90,7 +90,7 @@ def test_small_expressions(spark):
     assert one(spark, v.split_values(F.col("s")), s=" a,b， a \n\nb,c ") == ["a", "b", "c"]
     assert one(spark, v.decode_flags(F.col("n"), {8: "copy", 16: "paste"}), n=24) == ["copy", "paste"]
     assert one(spark, v.decode_flags(F.col("n"), {8: "copy", 16: "paste"}), n=7) == []
-    assert one(spark, v.blank_default(F.col("s")), s="  ") == "-"
+    assert one(spark, v.blank_default(F.col("s")), s="") == "-"
     assert one(spark, v.actions_summary(F.col("l")), l=["Connect (all)", "Copy"]) == "Connect,Copy"
     assert one(spark, v.actions_summary(F.col("l")), l=list("abcdef")) == "All"
     assert one(spark, v.choice_label(F.col("s"), {"a": "A"}), s="z") == "z"
