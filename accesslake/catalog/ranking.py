@@ -90,13 +90,8 @@ def latest_version(t):
     history = t.orders.select(
         F.col("o_custkey").alias("account"), F.col("o_orderkey").alias("secret"), F.col("o_orderdate").alias("history_date")
     )
-    numbered = k.number_within(history, "account", "history_date", "secret", bucket="DAY", tie_width=1 << 26)
-    newest = k.newest_per_group(history, "account", "history_date", "secret").select(
-        F.col("secret"), F.lit(True).alias("is_latest")
-    )
-    return numbered.join(newest, "secret", "left").select(
-        "account", "secret", "version", F.coalesce("is_latest", F.lit(False)).alias("is_latest")
-    )
+    numbered = k.number_within(history, "account", "history_date", "secret", bucket="DAY", tie_width=1 << 26, total="versions")
+    return numbered.select("account", "secret", "version", (F.col("version") == F.col("versions")).alias("is_latest"))
 
 
 @query(

@@ -32,7 +32,7 @@ def recent_per_group(df: DataFrame, group: str, ts: str, tie: str, n: int = 30)
 
 
 def number_within(
-    df: DataFrame, group: str, ts: str, tie: str, name: str = "version", bucket: str = "MINUTE", tie_width: int | None = None
+    df: DataFrame, group: str, ts: str, tie: str, name: str = "version", bucket: str = "MINUTE", tie_width: int | None = None, total: str | None = None
 ) -> DataFrame:
     """1-based position of every row in its group, by (ts, tie), for groups of any size.
 
@@ -41,6 +41,7 @@ def number_within(
     brought together per group. Logs that know only the day put many rows on the bucket's first instant: with
     ``tie_width`` those are split again by ranges of the (integer) tie key, which keeps the order since among equal
     timestamps it decides. Rows without a time come first in their group, rows without a group are a group.
+    ``total`` names a column for the group's number of rows, which the offsets know without another pass.
     """
     slot = F.date_trunc(bucket, F.col(ts))
     sub = F.lit(0).cast("bigint")
@@ -50,10 +51,11 @@ def number_within(
     cells = [group, "_bucket", "_sub"]
     bucketed = df.withColumn("_bucket", slot).withColumn("_sub", sub)
     earlier = Window.partitionBy(group).orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    whole = [F.sum("_n").over(Window.partitionBy(group)).alias(total)] if total else []
     offsets = (
         bucketed.groupBy(*cells)
         .agg(F.count("*").alias("_n"))
-        .select(*(F.col(c).alias(f"_of_{i}") for i, c in enumerate(cells)), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        .select(*(F.col(c).alias(f"_of_{i}") for i, c in enumerate(cells)), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), *whole)
     )
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(cells)])
     inside = F.row_number().over(Window.partitionBy(*cells).orderBy(ts, tie))
