@@ -14,6 +14,8 @@ from accesslake.llm.common import partitions, written
 TILE = 512
 #: Fingerprints of one key that meet in one task; a larger group is dealt out as pairs of parts of this size.
 GROUP = 4096
+#: Runs of one key up to this size are compared all at once.
+SMALL = 16
 
 
 def agreeing_blocks(words: list[Column], radius: int, blocks: int | None = None, agree: int = 2) -> list[Column]:
@@ -104,16 +106,71 @@ def _group_edges(ids: np.ndarray, words: np.ndarray, other: np.ndarray, radius:
     return sorted_ids[linked], sorted_ids[labels[linked]]
 
 
-def _edges(key: np.ndarray, ids: np.ndarray, words: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges inside each run of equal keys (rows of several columns), small runs all at once."""
+def forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of pairs that join all that the pairs ``a`` to ``b`` join beyond ``labels``, the nearest first; the new labels."""
+    chosen, at = [], np.argsort(apart, kind="stable")
+    at = at[labels[a[at]] != labels[b[at]]]
+    while len(at):
+        x, y = labels[a[at]], labels[b[at]]
+        pick = np.unique(np.concatenate([np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1]]))
+        chosen.append(at[pick])
+        labels = labels_of(len(labels), x[pick], y[pick])[labels]
+        at = at[labels[a[at]] != labels[b[at]]]
+    return np.concatenate(chosen or [np.empty(0, np.int64)]), labels
+
+
+def near_pairs(ratio: float, spanning: bool):
+    """Real pairs of near rows whose words end in a root and a size: roots differ, and the smaller size is ``ratio`` of the larger.
+
+    With ``spanning`` a large run gives a spanning forest of its pairs, otherwise all of them.
+    """
+
+    def run(key, ids, words, other, radius):
+        bits, root, size = words[:, :-2], words[:, -2], words[:, -1].astype(np.float64)
+
+        def keep(a, b):
+            return (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= ratio * (1 - 1e-9) * np.maximum(size[a], size[b]))
+
+        return _edges(key, ids, bits, other, radius, keep, lambda part: _group_pairs(part, ids, bits, other, radius, keep, spanning))
+
+    return run
+
+
+def _group_pairs(part: slice, ids: np.ndarray, words: np.ndarray, other: np.ndarray, radius: int, keep, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``(larger id, smaller id)`` of near rows of one run that ``keep`` accepts."""
+    rows = np.arange(part.start, part.stop)
+    one, two = rows[~other[part]], rows[other[part]]
+    if len(one) and len(two):
+        found = ((one[a], two[b]) for a, b in tile_links(words[one], words[two], radius))
+    else:
+        found = ((rows[a], rows[b]) for a, b in tile_links(words[rows], None, radius)) if not len(two) else ()
+    labels, out_a, out_b = np.arange(len(rows)), [], []
+    for a, b in found:
+        kept = keep(a, b)
+        a, b = a[kept], b[kept]
+        if spanning and len(a):
+            apart = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int32)
+            chosen, labels = forest(labels, a - part.start, b - part.start, apart)
+            a, b = a[chosen], b[chosen]
+        out_a.append(np.maximum(ids[a], ids[b]))
+        out_b.append(np.minimum(ids[a], ids[b]))
+    return np.concatenate(out_a or [np.empty(0, np.int64)]), np.concatenate(out_b or [np.empty(0, np.int64)])
+
+
+def _edges(key: np.ndarray, ids: np.ndarray, words: np.ndarray, other: np.ndarray, radius: int, keep=None, group=None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges inside each run of equal keys (rows of several columns), small runs all at once.
+
+    Of small runs, all near pairs that ``keep`` accepts; of a larger one, what ``group`` makes of it.
+    """
+    group = group or (lambda part: _group_edges(ids[part], words[part], other[part], radius))
     cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
     bounds = np.concatenate([[0], cut, [len(ids)]])
     size = np.diff(bounds)
     out_a, out_b = [], []
-    small = (size > 1) & (size <= 16)
+    small = (size > 1) & (size <= SMALL)
     rows = np.concatenate([np.arange(a, b) for a, b in zip(bounds[:-1][small], bounds[1:][small])] or [np.empty(0, np.int64)]).astype(np.int64)
     run = np.repeat(np.flatnonzero(small), size[small])
-    for step in range(1, 16):
+    for step in range(1, SMALL):
         a, b = rows[:-step], rows[step:]
         same = run[:-step] == run[step:]
         if not same.any():
@@ -122,25 +179,34 @@ def _edges(key: np.ndarray, ids: np.ndarray, words: np.ndarray, other: np.ndarra
         near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int32) <= radius
         cross = (key[a, 1] == key[a, 2]) | (other[a] != other[b])
         a, b = a[near & cross], b[near & cross]
+        if keep is not None:
+            kept = keep(a, b)
+            a, b = a[kept], b[kept]
         out_a.append(np.maximum(ids[a], ids[b]))
         out_b.append(np.minimum(ids[a], ids[b]))
-    for k in np.flatnonzero(size > 16):
-        part = slice(bounds[k], bounds[k + 1])
-        a, b = _group_edges(ids[part], words[part], other[part], radius)
+    for k in np.flatnonzero(size > SMALL):
+        a, b = group(slice(bounds[k], bounds[k + 1]))
         out_a.append(a)
         out_b.append(b)
     return np.concatenate(out_a or [np.empty(0, np.int64)]), np.concatenate(out_b or [np.empty(0, np.int64)])
 
 
-def links(nodes: DataFrame, keys: list[Column], radius: int) -> DataFrame:
+def keys_of(nodes: DataFrame, keys: list[Column]) -> DataFrame:
+    return nodes.select("id", "words", F.explode(F.array(*keys)).alias("key"))
+
+
+def links(nodes: DataFrame, keys: list[Column], radius: int, edges=_edges, only: DataFrame | None = None) -> DataFrame:
     """Edges ``(a, b)``, ``a > b``, that join the same components as all links between ``nodes``.
 
     ``nodes`` has ``id`` (long, distinct) and ``words`` (array of longs). Two nodes are compared if they share one of
     ``keys``. Each group of a key is compared exactly, tile by tile, and gives one edge a linked node at most, not all
     pairs. A group of more than ``GROUP`` nodes is dealt out by hash to parts that meet in pairs, so no task holds it.
+    ``edges`` chooses what a run of rows gives (see ``near_pairs``); ``only`` has the keys to look at, if not all.
     """
     spark = nodes.sparkSession
-    keyed = nodes.select("id", "words", F.explode(F.array(*keys)).alias("key"))
+    keyed = keys_of(nodes, keys)
+    if only is not None:
+        keyed = keyed.join(only, "key", "left_semi")
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
     parts = F.ceil(F.coalesce("n", F.lit(1)) / GROUP).cast("int")
     dealt = keyed.join(large, "key", "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
@@ -163,7 +229,7 @@ def links(nodes: DataFrame, keys: list[Column], radius: int) -> DataFrame:
             else:
                 end = len(held[1])
             if end:
-                a, b = _edges(*(x[:end] for x in held), radius)
+                a, b = edges(*(x[:end] for x in held), radius)
                 held = tuple(x[end:] for x in held)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 

@@ -12,13 +12,13 @@ from accesslake.llm.common import shipped, written
 from accesslake.llm.mixing import labelled_rows, mix, resample
 from accesslake.llm.packing import pack
 from accesslake.llm.queries import tokenizer
-from accesslake.llm.simhash import keep_one, near_duplicates
+from accesslake.llm.simhash import keep_one, similar
 from accesslake.llm.suffix import remove_repeats
 from accesslake.llm.toxicity import keep_clean, train
 from accesslake.sources.tables import Tables
 
-#: Bits of 256 by which documents whose five-word shingles are 0.8 alike differ at most (39 are expected).
-RADIUS = 48
+#: Documents that share this part of their different five-word shingles are near copies.
+SIMILARITY = 0.8
 #: A repeated passage of 50 words or more has this many bytes at least.
 PASSAGE = 200
 #: The share of tokens each language is to have; rates are 1 at least, so no document is lost to the mix.
@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each class of near copies: five-word shingles, similarity 0.8 or more."""
     shipped(spark)
-    return keep_one(docs, near_duplicates(docs, radius=RADIUS, shingle=5, words=4, least=6))
+    return keep_one(docs, similar(docs, SIMILARITY, shingle=5))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

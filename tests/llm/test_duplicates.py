@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from accesslake.llm import suffix
 from accesslake.llm.links import agreeing_blocks, components, links, tile_links
-from accesslake.llm.simhash import keep_one, near_duplicates
+from accesslake.llm.simhash import keep_one, near_duplicates, similar
 from accesslake.llm.suffix import Shard, common_prefixes, cut_texts, remove_repeats, repeated_spans, sliding, suffix_array, windows, without
+from corpus_pipeline import drop_near_copies
 
 
 def roots(n, pairs):
@@ -73,6 +74,46 @@ def test_wide_fingerprints_find_near_copies(llm):
     assert kept == {i for i in range(120) if i % 2 == 0 or i // 2 % 2 == 0}
 
 
+def similar_texts(rng, bases, copies):
+    """Texts in which a run of words is replaced, so that pairs are 0.6 to 0.9 alike."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for i in range(bases):
+        words = [word() for _ in range(rng.choice([8, 9, 60, 120, 400]))]
+        texts.append(words)
+        for _ in range(copies):
+            n = round(len(words) * rng.uniform(0.04, 0.24))
+            at = rng.randrange(len(words) - n + 1)
+            texts.append(words[:at] + [word() for _ in range(n)] + words[at + n :] if rng.random() < 0.7 else words[: len(words) - n])
+    return [" ".join(t) for t in texts]
+
+
+def brute_similar(texts, least=0.8):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    return roots(len(texts), [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= least])
+
+
+@pytest.mark.parametrize("bases,copies", [(120, 1), (3, 60)])
+def test_similar_documents_as_brute_force(llm, bases, copies):
+    texts = similar_texts(random.Random(8), bases, copies) + ["la " * 500 + "one two three four five six", "la " * 700 + "seven eight nine ten eleven"]
+    docs = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = brute_similar(texts)
+    assert 10 < sum(i != r for i, r in enumerate(expected)) < len(texts) - 10
+    assert {r.doc_id: r.component_id for r in similar(docs).collect()} == dict(enumerate(expected))
+    assert {r.doc_id for r in drop_near_copies(llm, docs, "").collect()} == set(expected)
+
+
+def test_similar_odd_rows(llm, odd, empty):
+    got = similar(odd).collect()
+    assert len(got) == odd.count() and all((r.component_id is None) == (r.doc_id is None) for r in got)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None}[5] == 4
+    assert similar(empty).collect() == []
+
+
 def test_blocks_keep_every_link(llm):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 40)
