@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from dataclasses import dataclass
 
@@ -94,12 +95,13 @@ def memberships(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_co
 
 @dataclass
 class Rates:
-    """The steps of the fit; a document's rate follows from its posterior alone."""
+    """The steps of the fit and whether it met the targets; a document's rate follows from its posterior alone."""
 
     floor: float
     steps: list[list[float]]
     expected: list[float]
     wanted: list[float]
+    met: bool = True
 
     def column(self, p: str) -> Column:
         rate = F.lit(max(self.floor, 1.0))
@@ -115,36 +117,63 @@ class Rates:
         return rate
 
 
-def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, floor: float = 0.0, rounds: int = 12, tolerance: float = 1e-6) -> Rates:
-    """Rates of at least ``floor`` whose expected domain tokens come to ``weights`` of ``total``, by projected gradient.
+def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, floor: float = 0.0, rounds: int = 200, tolerance: float = 1e-6) -> Rates:
+    """Rates of at least ``floor`` whose expected domain tokens come to ``weights`` of ``total``, the nearest such to 1.
 
-    Minimises the squared gap between ``sum(rate * tokens * p)`` and the targets, starting at a rate of 1. The gradient
-    is scaled by each document's tokens and by the Gram matrix of the domains, so a step moves a document by
-    ``p . step`` and is then projected onto the floor. Every round is one distributed sum of a few numbers over
-    all documents; rates are never stored, as they follow from the steps. Domains no document belongs to are left out.
-    ``total`` is by default the tokens at hand, or with a floor the least that no domain exceeds at that floor.
+    A document's rate is ``max(floor, 1 - p . step)``; the step is the minimum of a smooth convex function (the dual of
+    the least change, by tokens) whose gradient is the gap between ``sum(rate * tokens * p)`` and the targets and whose
+    curvature is the Gram matrix of the documents not at the floor. Newton steps, cut back where the function doesn't
+    fall, end when the gap is ``tolerance`` of ``total``. A slight pull to 0 lets them end near the least gap if no rates meet the
+    targets; then ``met`` is false and a warning gives the gap, as it is if ``rounds`` don't suffice.
+
+    Every round is one distributed sum of a few numbers over all documents; rates are never stored, as they follow from
+    the step. ``total`` is by default the tokens at hand. With a floor of 1 or more it is free instead, as soft documents
+    can't add to one domain alone: the rates meet the shares at whatever total changes least.
     """
     n, share = len(weights), np.array(weights, dtype=float) / sum(weights)
-    rates = Rates(floor, [], [0.0] * n, [0.0] * n)
+    start = max(floor, 1.0)
     p = [F.get("p", F.lit(i)) * F.lit(1.0) for i in range(n)]
     tokens = F.col("tokens").cast("double")
-    gram = None
+
+    def at(step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        rising = F.lit(start) - sum((x * F.lit(float(s)) for x, s in zip(p, step)), F.lit(0.0))
+        above = rising >= F.lit(floor)
+        rate = F.when(above, rising).otherwise(F.lit(floor))
+        height = F.when(above, rising * rising / 2).otherwise(rising * F.lit(floor) - F.lit(floor * floor / 2))
+        sums = [F.sum(tokens * rate * x).alias(f"s{i}") for i, x in enumerate(p)]
+        pairs = [F.sum(F.when(above, tokens * p[i] * p[j])).alias(f"g{i}_{j}") for i in range(n) for j in range(i + 1)]
+        row = members.agg(*sums, *pairs, F.sum(tokens * height).alias("height")).first()
+        gram = np.array([[row[f"g{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
+        return np.array([row[f"s{i}"] or 0.0 for i in range(n)]), gram, row["height"] or 0.0
+
+    step = np.zeros(n)
+    got, gram, height = at(step)
+    free = total is None and floor >= 1
+    total = float(got.sum()) if total is None else total
+    basis = np.linalg.svd(share[None])[2][1:].T if free else np.eye(n)  # a free total: steps across the shares only
+    pull = 1e-8 * np.trace(gram) / n
+    move, scale, slope = None, 1.0, 0.0
     for turn in range(rounds + 1):
-        rate = rates.column("p")
-        sums = [F.coalesce(F.sum(tokens * rate * x), F.lit(0.0)).alias(f"s{i}") for i, x in enumerate(p)]
-        pairs = [] if turn else [F.coalesce(F.sum(tokens * p[i] * p[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(n) for j in range(n)]
-        row = members.agg(*sums, *pairs).first()
-        got = np.array([row[f"s{i}"] for i in range(n)])
-        if gram is None:
-            gram = np.array([[row[f"g{i}_{j}"] for j in range(n)] for i in range(n)])
-            if total is None:
-                total = float((got / share).max()) if floor >= 1 else float(got.sum())
-            rates.wanted = (share * total).tolist()
-        gap = got - np.array(rates.wanted)
-        rates.expected = got.tolist()
-        if not total or np.abs(gap).max() <= tolerance * total or turn == rounds:
-            return rates
-        rates.steps.append(np.linalg.lstsq(gram, gap, rcond=1e-9)[0].tolist())
+        total = float(got.sum()) if free else total
+        wanted = share * total
+        gap = got - wanted
+        left = basis.T @ (gap - pull * step)
+        if not total or np.abs(gap).max() <= tolerance * total or np.abs(left).max(initial=0.0) <= 0.1 * tolerance * total or turn == rounds:
+            break
+        if move is None:
+            move, scale = basis @ np.linalg.lstsq(basis.T @ gram @ basis + pull * np.eye(basis.shape[1]), left, rcond=None)[0], 1.0
+            slope = float(left @ (basis.T @ move))
+        tried = step + scale * move
+        new_got, new_gram, new_height = at(tried)
+        fall = height - new_height + float(wanted @ (step - tried)) + pull / 2 * float(step @ step - tried @ tried)
+        if fall >= 1e-4 * scale * slope or np.abs(basis.T @ (new_got - wanted - pull * tried)).max() < 0.5 * np.abs(left).max():
+            step, got, gram, height, move = tried, new_got, new_gram, new_height, None
+        else:
+            scale /= 4
+    gap = float(np.abs(got - wanted).max())
+    rates = Rates(floor, [step.tolist()] if step.any() else [], got.tolist(), wanted.tolist(), gap <= tolerance * total)
+    if not rates.met:
+        warnings.warn(f"rates miss the targets by up to {gap / total:.2g} of all tokens", stacklevel=2)
     return rates
 
 

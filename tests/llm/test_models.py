@@ -112,6 +112,32 @@ def test_projection_holds_rates_at_the_floor(llm):
     assert min(got) == 0 and rates.expected == pytest.approx([1.5, 28.5], rel=0.02)
 
 
+def skewed(sharpness):
+    rng = np.random.default_rng(4)
+    rows = []
+    for d in rng.choice(4, 3000, p=[0.97, 0.01, 0.01, 0.01]):
+        z = rng.normal(size=4)
+        z[d] += sharpness
+        rows.append((int(rng.integers(20, 400)), (np.exp(z) / np.exp(z).sum()).tolist()))
+    return rows
+
+
+@pytest.mark.parametrize("sharpness,floor,weights", [(2, 0.0, [10, 30, 30, 30]), (4, 0.0, [10, 30, 30, 30]), (4, 0.0, [25, 25, 25, 25]), (4, 1.0, [55, 15, 15, 15])])
+def test_targets_are_met_where_the_floor_binds(llm, sharpness, floor, weights):
+    rows = skewed(sharpness)
+    rates = fit_rates(llm.createDataFrame(rows, "tokens long, p array<double>").coalesce(1).cache(), weights, floor=floor)
+    got = np.array([np.array(p) * t * rates.of(np.array(p)) for t, p in rows]).sum(axis=0)
+    assert rates.met and got / got.sum() == pytest.approx(np.array(weights) / 100, abs=1e-5)
+    assert min(rates.of(np.array(p)) for _, p in rows) == floor
+
+
+def test_targets_out_of_reach_are_reported(llm):
+    members = llm.createDataFrame([(10, [0.9, 0.1]), (20, [0.6, 0.4])], "tokens long, p array<double>").coalesce(1).cache()
+    with pytest.warns(UserWarning, match="miss the targets"):
+        rates = fit_rates(members, [0.1, 0.9])
+    assert not rates.met and all(np.isfinite(rates.expected))
+
+
 def test_mixing_odd_rows(llm, odd, empty):
     model = learn_domains(llm.createDataFrame([("a", "x y"), ("b", None), (None, "z"), ("other", "x")], "domain string, text string"), ["a", "b"])
     rows = memberships(odd, model).collect()
