@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from accesslake.llm.common import partitions
+from accesslake.llm.common import partitions, written
 
 QUERY_BLOCK, ROW_BLOCK, DIM_BLOCK = 512, 4096, 8
 _BLOCK = pa.schema([("ids", pa.binary()), ("data", pa.binary()), ("dims", pa.int32())])
@@ -92,14 +92,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask")).where("vec_id is not null and v is not null")
     block = "ids binary, data binary, dims int"
     asked = rows.where("ask").groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = asked.mapInArrow(_vertical(QUERY_BLOCK), block).select(F.struct("ids", "data", "dims").alias("q"), F.xxhash64("ids").alias("block"))
-    names = queries.select("block")
-    blocks = rows.select("vec_id", "v").repartition(partitions(spark)).mapInArrow(_vertical(ROW_BLOCK), block)
+    # Written and numbered once: a task that runs again may pack other rows into its blocks.
+    number = F.monotonically_increasing_id()
+    queries = written(asked.mapInArrow(_vertical(QUERY_BLOCK), block).select(F.struct("ids", "data", "dims").alias("q"), number.alias("block")), "queries")
     # Every block of rows goes to every block of queries: the query set is stated, and both sides are blocks, not rows.
-    numbers = [r["block"] for r in names.collect()]  # one number for QUERY_BLOCK queries
+    numbers = [r["block"] for r in queries.select("block").collect()]  # one number for QUERY_BLOCK queries
     if not numbers:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    pairs = blocks.withColumn("block", F.explode(F.array(*map(F.lit, numbers)))).join(queries, "block").select("block", "q", "ids", "data", "dims")
+    blocks = written(rows.select("vec_id", "v").repartition(partitions(spark)).mapInArrow(_vertical(ROW_BLOCK), block).withColumn("row_block", number), "blocks")
+    pairs = blocks.withColumn("block", F.explode(F.array(*map(F.lit, numbers)))).join(queries, "block").select("block", "q", "ids", "data", "dims", "row_block")
 
     def run(batches):
         now, best = None, {}
@@ -123,6 +124,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
                     best[own] = best_of(q[:dims, n], q_mass[:, n], own, ids, part, mass, k, best.get(own, (np.empty(0, np.int64), np.empty(0, np.int64))))
         yield from done()
 
-    found = pairs.repartition(partitions(spark)).sortWithinPartitions("block").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.repartition(partitions(spark), "block", "row_block").sortWithinPartitions("block").mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # at most k rows a task
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

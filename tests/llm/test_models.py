@@ -181,6 +181,11 @@ def test_top_k_of_odd_vectors(llm, monkeypatch):
     assert top_k(docs.where("vec_id = 104"), F.lit(True)).collect() == []
 
 
+def test_blocks_are_written_before_they_are_paired(llm, small):
+    plan = top_k(small.embeddings, F.col("vec_id") % 50 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plan and plan.count("MapInArrow") == 1
+
+
 # k-d tree
 
 
