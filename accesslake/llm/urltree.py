@@ -43,11 +43,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return chosen
 
 
-def templates(addresses: DataFrame, depth: int = 8, min_children: int = 8, min_share: float = 0.02, z: float = 2.0) -> DataFrame:
+def templates(addresses: DataFrame, depth: int = 8, min_children: int = 8, min_labels: int = 4, z: float = 2.0) -> DataFrame:
     """``host, path, template`` for each distinct pair of ``addresses`` (``host, path, n, known, good``).
 
-    Level by level, a node's children that hold less than ``min_share`` of its addresses become one wildcard if the node
-    has ``min_children`` or more. Of the children left, those whose labelled share of good ones differs from that of all
+    Level by level, a node's children with fewer than ``min_labels`` labels, too few to tell them apart, become one
+    wildcard if the node has ``min_children`` or more, and no branch of their own otherwise. All others are tested,
+    however small their share of the node: those whose labelled share of good ones differs from that of all
     the node's children by less than ``z`` standard errors are merged into one branch. Segments after ``depth - 1``
     count as one. Each level groups all nodes of all hosts at once and is written as a table, so no host is one task's.
     """
@@ -61,11 +62,12 @@ def templates(addresses: DataFrame, depth: int = 8, min_children: int = 8, min_s
         inner = state.where(part.isNotNull())
         child = inner.groupBy("host", "template", part.alias("part")).agg(*(F.sum(c).alias(c) for c in ("n", "known", "good")))
         node = child.groupBy("host", "template").agg(F.count("*").alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "known", "good")))
-        rare = (F.col("children") >= min_children) & (F.col("n") < min_share * F.col("all_n"))
+        few = F.col("known") < min_labels
+        rare = (F.col("children") >= min_children) & few
         share = (F.col("all_good") + 1) / (F.col("all_known") + 2)
         off = F.abs(F.col("good") - F.col("known") * share) / F.sqrt(F.greatest(F.col("known"), F.lit(1)) * share * (1 - share))
         frequent = child.join(node, ["host", "template"]).where(~rare)
-        frequent = frequent.select("host", "template", "part", F.when((F.col("children") > 1) & (off < z), SIMILAR).otherwise(F.col("part")).alias("branch"))
+        frequent = frequent.select("host", "template", "part", F.when((F.col("children") > 1) & (few | (off < z)), SIMILAR).otherwise(F.col("part")).alias("branch"))
         step = state.withColumn("part", part).join(frequent, ["host", "template", "part"], "left")
         grown = F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("branch", F.lit(ANY))))
         state = written(step.select("host", "path", "n", "known", "good", "parts", grown.alias("template")), "templates")

@@ -257,6 +257,15 @@ def test_variable_segments_become_wildcards_and_bad_templates_go(llm):
     assert len(got) == len(rows)
 
 
+def test_small_sections_are_judged_by_their_labels(llm):
+    rows = [(i, f"http://h.net/s{i % 100}/{i}") for i in range(1000)] + [(i, f"http://k.net/{i}") for i in range(2000, 2020)]
+    pages = llm.createDataFrame(rows, "page_id long, url string")
+    labels = llm.createDataFrame([(i, int(i % 100 != 7 and i != 2003)) for i, _ in rows], "page_id long, good int")
+    got = {r.page_id: r for r in judge(pages, labels).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {i for i in range(1000) if i % 100 == 7}
+    assert {got[i].template for i in range(7, 1000, 100)} == {"/s7/*"} and {got[i].template for i in range(2000, 2020)} == {"/*"}
+
+
 def test_deep_paths_and_odd_addresses(llm):
     pages = llm.createDataFrame([(i, u) for i, (u, *_) in enumerate(URLS)] + [(None, "http://d.net/" + "a/" * 3000), (3, None), (3, None)], "page_id long, url string")
     got = judge(pages, None, RULES).collect()
