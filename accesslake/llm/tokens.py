@@ -39,7 +39,7 @@ class Encoder:
             self.kind = "spaces"
         elif bpe and forms == ["NFC", "Replace", "Lowercase"] and steps == ["Split", "ByteLevel"] and about.get("post_processor") is None:
             self.kind = "words"
-        self.model, self.cache, self.letters = self.tokenizer.model, {}, {}
+        self.model, self.cache, self.cores, self.letters = self.tokenizer.model, {}, {}, {}
 
     def _letters(self, text: str) -> str:
         """``text`` in the byte alphabet of the model."""
@@ -68,18 +68,19 @@ class Encoder:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, words: list[str]) -> None:
-        cache, rest, halves = self.cache, [], []
+        """Caches the ids of ``words``; a tail is glued only onto letters that ``_core`` encoded, so ids never depend on earlier texts."""
+        cache, cores, rest, halves = self.cache, self.cores, [], []
         for word in words:
             core = word.rstrip(_TAIL)
-            if (ids := cache.get(core) or self._core(core)) is None:
+            ids = cores.get(core)
+            if ids is None and (ids := self._core(core)) is not None:
+                cores[core] = ids
+            if ids is None:
                 rest.append(word)
+            elif len(core) == len(word):
+                cache[word] = ids
             else:
-                cache[core] = ids
-                if len(core) < len(word):
-                    if core[-1:].isalpha():
-                        halves.append((word, ids, word[len(core) :]))
-                    else:
-                        rest.append(word)
+                halves.append((word, ids, word[len(core) :]))
         tails = list({t for _, _, t in halves}.difference(cache))
         for word, ids in zip(rest + tails, self._whole(rest + tails)):
             cache[word] = ids
@@ -107,6 +108,7 @@ class Encoder:
             if missing:
                 if len(self.cache) + len(missing) > CACHED_WORDS:
                     self.cache.clear()
+                    self.cores.clear()
                     missing = set(words)
                 self._learn(list(missing))
             out[i] = b"".join([self.cache[w] for w in words])

@@ -27,6 +27,14 @@ def test_words_give_the_ids_of_the_whole(encoder, text):
     assert encoder.encode([text]) == encoder._whole([text])
 
 
+@pytest.mark.parametrize("path", FILES[:2])
+def test_ids_do_not_depend_on_earlier_texts(path):
+    used = Encoder(public_tokenizers.path(path))
+    for texts in (["İ", "İ."], ["TARİ", "TARİ,"], ["the", "the."], ["é", "é!"], [".", "İ.", "İ"]):
+        for text in texts:
+            assert used.encode([text]) == Encoder(public_tokenizers.path(path)).encode([text]) == used._whole([text])
+
+
 def ids_of(path, rows, end):
     tokenizer = Encoder(path).tokenizer
     return [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, end], "<u4") for _, t in rows]
