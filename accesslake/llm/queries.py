@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from accesslake.llm.bitpack import read_documents, write_ids
 from accesslake.llm.common import ORACLES, QUERIES, query
 from accesslake.llm.kdtree import shard
+from accesslake.llm.merkle import fold, leaf_of, proof_digest, prove
 from accesslake.llm.mixing import labelled_rows, mix
 from accesslake.llm.packing import pack
 from accesslake.llm.simhash import near_duplicates
@@ -106,3 +107,52 @@ RULES = [
 def op10(t):
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
     return judge(t.pages, t.labels.select(F.col("doc_id").alias("page_id"), good.alias("good")), RULES)
+
+
+#: The unsigned CRC-32 of a whole number's decimal text, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: list_transform(range(8), lambda i: CAST((ascii(c) >> i) & 1 AS BIGINT))))),
+    lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1))), 4294967295)"""
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def merkle_sql() -> str:
+    """Leaves, seven levels of each language's tree and three above, as text of every run; then each leaf's way up."""
+
+    def leaf(text):
+        framed = (f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text))
+        return f"sha256({' || '.join(framed)})"
+
+    tampered = f"CASE WHEN {CRC32.format('doc_id')} % 3 = 0 THEN translate(text, '{CAPITALS}', '{SMALL}') ELSE text END"
+    parts = [f"d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, {leaf(tampered)} AS now FROM documents)"]
+    parts.append("a0 AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n, doc_id, now FROM d)")
+    way = "SELECT lang, pos, doc_id, h AS leaf, '' AS proof, now AS up FROM a0"
+
+    def climb(name, levels, at, way):
+        for k in range(levels):
+            one = f"SELECT lang, pos // 8 AS pos, string_agg(h, '' ORDER BY pos) AS run, (n + 7) // 8 AS n FROM {name}{k} WHERE n > 1 GROUP BY lang, pos // 8, n"
+            parts.append(f"{name}r{k} AS ({one})")
+            parts.append(f"{name}{k + 1} AS (SELECT lang, pos, sha256(run) AS h, n FROM {name}r{k} UNION ALL SELECT lang, pos, h, n FROM {name}{k} WHERE n = 1)")
+            place, step = f"({at} // {8**k}) % 8", f"{at} // {8 ** (k + 1)}"
+            before, after = f"substr(run, 1, 64 * CAST({place} AS INT))", f"substr(run, 64 * CAST({place} AS INT) + 65)"
+            way = f"SELECT w.* REPLACE (proof || coalesce({before} || {after}, '') AS proof, coalesce(sha256({before} || up || {after}), up) AS up) FROM ({way}) AS w LEFT JOIN {name}r{k} AS r ON r.lang IS NOT DISTINCT FROM w.lang AND r.pos = {step}"
+        return way
+
+    way = climb("a", 7, "w.pos", way)
+    parts.append("t AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, h AS subroot, count(*) OVER () AS n FROM a7)")
+    parts.append("b0 AS (SELECT 0 AS lang, pos, subroot AS h, n FROM t)")
+    way = f"SELECT 0 AS lang, t.pos, doc_id, leaf, proof, up, subroot FROM ({way}) AS x JOIN t ON t.lang IS NOT DISTINCT FROM x.lang"
+    way = climb("b", 3, "w.pos", way)
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, up AS folded_root, up = h AS verified FROM ({way}) AS x, b3"
+
+
+@query("op11_butterfly_merkle_manifest", merkle_sql())
+def op11(t):
+    def leaf(text):
+        return leaf_of([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    now = F.when(touched, leaf(F.translate("text", CAPITALS, SMALL)))
+    proved = prove(t.documents, leaf(F.col("text")), F.col("lang"), F.col("doc_id"), {"doc_id": F.col("doc_id"), "now": now})
+    folded = fold(F.coalesce("now", "leaf"), F.col("proof"))
+    result = proved.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return result.withColumn("verified", F.col("folded_root") == F.col("root"))
