@@ -124,7 +124,7 @@ def butterfly(state: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 
 def prove(rows: DataFrame, leaf: Column, tree: Column, order: Column, keep: dict[str, Column], fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
-    """``keep``'s columns of every row with its ``leaf``, its tree's ``subroot``, the ``root`` over all and the ``proof``.
+    """``keep``'s columns (one at least) of every row with its ``leaf``, its tree's ``subroot``, the ``root`` over all and the ``proof``.
 
     Leaves of one ``tree`` ascend by ``order`` (null first), equal ones by the leaf itself. While several nodes remain,
     every ``fanout`` neighbours make one, the last run fewer; a lone leaf is its own subroot. The subroots, by tree (null

@@ -8,6 +8,7 @@ from accesslake.llm.bitpack import read_documents, write_ids
 from accesslake.llm.common import ORACLES, QUERIES, query
 from accesslake.llm.kdtree import shard
 from accesslake.llm.merkle import fold, leaf_of, proof_digest, prove
+from accesslake.llm.minhash import near_duplicates as circulant_classes
 from accesslake.llm.mixing import labelled_rows, mix
 from accesslake.llm.packing import pack
 from accesslake.llm.simhash import near_duplicates
@@ -156,3 +157,22 @@ def op11(t):
     folded = fold(F.coalesce("now", "leaf"), F.col("proof"))
     result = proved.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
     return result.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP12 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+     s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+             ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles FROM w),
+     n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM s),
+     e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e AS a JOIN e AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+     l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+     r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+     c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN c ON c.doc_id = n.doc_id
+"""
+
+
+@query("op12_circulant_minhash_near_dedup", OP12)
+def op12(t):
+    return circulant_classes(t.documents).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

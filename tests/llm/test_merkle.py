@@ -82,5 +82,5 @@ def test_a_tree_a_row_and_one_row(llm):
     df = llm.createDataFrame(rows, "t string, o long, l string")
     got = prove(df, F.col("l"), F.col("t"), F.col("o"), {"o": F.col("o")})
     assert collected(got) == brute(rows)
-    one = prove(df.limit(1), F.col("l"), F.col("t"), F.col("o"), {}).first()
+    one = prove(df.limit(1), F.col("l"), F.col("t"), F.col("o"), {"o": F.col("o")}).first()
     assert one.leaf == one.subroot == one.root and one.proof == []
