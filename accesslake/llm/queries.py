@@ -15,6 +15,7 @@ from accesslake.llm.simhash import near_duplicates
 from accesslake.llm.suffix import cut_texts
 from accesslake.llm.topk import top_k
 from accesslake.llm.toxicity import score, train
+from accesslake.llm.trie import prefix_trie
 from accesslake.llm.urltree import Rule, judge
 from accesslake.llm.winnow import neighbours
 
@@ -176,3 +177,32 @@ SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kep
 @query("op12_circulant_minhash_near_dedup", OP12)
 def op12(t):
     return circulant_classes(t.documents).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+#: Rows of rebuilt conversations, each with a text of all turns up to its own, then nodes with the sums over what lies below.
+OP13 = f"""
+WITH m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+     c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32.format("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM m)),
+     lent AS (SELECT c.conv_id, count(m.place) AS n FROM c LEFT JOIN m ON m.conv_id = base AND place <= h GROUP BY c.conv_id),
+     t AS (SELECT c.conv_id, place AS depth, role, text FROM c JOIN m ON m.conv_id = base AND place <= h
+           UNION ALL SELECT c.conv_id, place - h + lent.n, role, text FROM c JOIN lent ON lent.conv_id = c.conv_id JOIN m ON m.conv_id = c.conv_id AND place > h),
+     p AS (SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+             sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '' ) OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM t
+           UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+     q AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM p),
+     n AS (SELECT node, depth, min(conv_id) AS conv_id, any_value(parent) AS parent, count(*) AS n_convs, any_value(words) AS words,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM q GROUP BY node, depth),
+     k AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+     o AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CAST(n_children IS NULL AS BIGINT) AS leaf, (n_convs - 1) * words AS saved FROM n LEFT JOIN k ON k.node = n.node),
+     s AS (SELECT q.node, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM o JOIN q ON q.conv_id = o.conv_id AND q.depth <= o.depth GROUP BY q.node)
+SELECT o.conv_id, o.depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, o.ends_sha256
+FROM o JOIN s ON s.node = o.node LEFT JOIN o AS u ON u.node = o.parent
+"""
+
+
+@query("op13_centroid_prefix_trie", OP13)
+def op13(t):
+    conv = F.col("conv_id")
+    found = prefix_trie(t.conversations, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, most=3)
+    return found.drop("node", "parent")
