@@ -66,7 +66,7 @@ def grafted(turns: DataFrame, base: Column, taken: Column, most: int) -> tuple[D
     convs = sizes.select("conv_id", "own", base.cast("long").alias("base"), taken.cast("long").alias("taken"))
     lent = sizes.select(F.col("conv_id").alias("_base"), F.col("own").alias("lent"))
     convs = convs.join(lent, F.col("base") == F.col("_base"), "left")
-    convs = convs.select("conv_id", "base", "taken", F.coalesce(F.least("lent", "taken"), F.lit(0)).alias("lent"), F.greatest(F.col("own") - F.col("taken"), F.lit(0)).alias("left"))
+    convs = convs.select("conv_id", "base", "taken", F.least(F.coalesce("lent", F.lit(0)), "taken").alias("lent"), F.greatest(F.col("own") - F.col("taken"), F.lit(0)).alias("left"))
     convs = written(convs, "conversations")
     heads = turns.where(F.col("place") <= most).select(F.col("conv_id").alias("_base"), "place", "said", "words")
     first = convs.join(heads, (F.col("base") == F.col("_base")) & (F.col("place") <= F.col("lent"))).select("conv_id", F.col("place").alias("depth"), "said", "words")
