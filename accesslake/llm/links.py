@@ -106,57 +106,6 @@ def _group_edges(ids: np.ndarray, words: np.ndarray, other: np.ndarray, radius:
     return sorted_ids[linked], sorted_ids[labels[linked]]
 
 
-def forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of pairs that join all that the pairs ``a`` to ``b`` join beyond ``labels``, the nearest first; the new labels."""
-    chosen, at = [], np.argsort(apart, kind="stable")
-    at = at[labels[a[at]] != labels[b[at]]]
-    while len(at):
-        x, y = labels[a[at]], labels[b[at]]
-        pick = np.unique(np.concatenate([np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1]]))
-        chosen.append(at[pick])
-        labels = labels_of(len(labels), x[pick], y[pick])[labels]
-        at = at[labels[a[at]] != labels[b[at]]]
-    return np.concatenate(chosen or [np.empty(0, np.int64)]), labels
-
-
-def near_pairs(ratio: float, spanning: bool):
-    """Real pairs of near rows whose words end in a root and a size: roots differ, and the smaller size is ``ratio`` of the larger.
-
-    With ``spanning`` a large run gives a spanning forest of its pairs, otherwise all of them.
-    """
-
-    def run(key, ids, words, other, radius):
-        bits, root, size = words[:, :-2], words[:, -2], words[:, -1].astype(np.float64)
-
-        def keep(a, b):
-            return (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= ratio * (1 - 1e-9) * np.maximum(size[a], size[b]))
-
-        return _edges(key, ids, bits, other, radius, keep, lambda part: _group_pairs(part, ids, bits, other, radius, keep, spanning))
-
-    return run
-
-
-def _group_pairs(part: slice, ids: np.ndarray, words: np.ndarray, other: np.ndarray, radius: int, keep, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs ``(larger id, smaller id)`` of near rows of one run that ``keep`` accepts."""
-    rows = np.arange(part.start, part.stop)
-    one, two = rows[~other[part]], rows[other[part]]
-    if len(one) and len(two):
-        found = ((one[a], two[b]) for a, b in tile_links(words[one], words[two], radius))
-    else:
-        found = ((rows[a], rows[b]) for a, b in tile_links(words[rows], None, radius)) if not len(two) else ()
-    labels, out_a, out_b = np.arange(len(rows)), [], []
-    for a, b in found:
-        kept = keep(a, b)
-        a, b = a[kept], b[kept]
-        if spanning and len(a):
-            apart = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int32)
-            chosen, labels = forest(labels, a - part.start, b - part.start, apart)
-            a, b = a[chosen], b[chosen]
-        out_a.append(np.maximum(ids[a], ids[b]))
-        out_b.append(np.minimum(ids[a], ids[b]))
-    return np.concatenate(out_a or [np.empty(0, np.int64)]), np.concatenate(out_b or [np.empty(0, np.int64)])
-
-
 def _edges(key: np.ndarray, ids: np.ndarray, words: np.ndarray, other: np.ndarray, radius: int, keep=None, group=None) -> tuple[np.ndarray, np.ndarray]:
     """Edges inside each run of equal keys (rows of several columns), small runs all at once.
 

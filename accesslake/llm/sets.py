@@ -151,19 +151,19 @@ def _verified(groups: DataFrame, percent: int, radius: int | None) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _open_groups(keyed: DataFrame) -> DataFrame:
-    """One key of each set of members that aren't joined yet: ``key``, its ``total`` of set members and its ``pivot``."""
+def _open_groups(members: DataFrame) -> DataFrame:
+    """One key of each set of members: ``key``, its ``total`` of set members and its ``pivot``."""
     seal = [F.bit_xor(F.xxhash64(F.lit(k), F.col("node"))).alias(f"seal_{k}") for k in range(2)]
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("node").alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high"), *seal).where("low < high")
+    groups = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("node").alias("pivot"), *seal)
     return groups.groupBy("n", "total", "pivot", "seal_0", "seal_1").agg(F.min("key").alias("key")).select("key", "total", "pivot")
 
 
-def _rooted(keyed: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """``keyed`` with each node's ``root``, the smallest node that it reaches over ``edges``."""
+def _rooted(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """``rows`` with each node's ``root``, the smallest node that it reaches over ``edges``."""
     if edges is None:
-        return keyed.withColumn("root", F.col("node"))
+        return rows.withColumn("root", F.col("node"))
     roots = components(edges).select(F.col("id").alias("_id"), F.col("root").alias("_root"))
-    return keyed.join(roots, F.col("node") == F.col("_id"), "left").select(*keyed.columns, F.coalesce("_root", "node").alias("root"))
+    return rows.join(roots, F.col("node") == F.col("_id"), "left").select(*rows.columns, F.coalesce("_root", "node").alias("root"))
 
 
 def linked(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, rounds: list[int], radius: int | None = None) -> DataFrame:
@@ -180,12 +180,14 @@ def linked(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     """
     found, low = None, 0
     for count in rounds:
-        taken = nodes.select("node", "size", "words", F.explode(F.slice("keys", low + 1, count)).alias("key"))
+        rooted = _rooted(nodes.select("node", "size", F.slice("keys", low + 1, count).alias("keys")), found)
         low += count
-        keyed = written(_rooted(taken, found), "keyed")
-        groups = written(_open_groups(keyed), "groups")
-        members = written(keyed.join(groups, "key"), "members")
-        sets = written(sets_of(members.select("node").distinct()), "sets")
+        keyed = written(rooted.select("node", "size", "root", F.explode("keys").alias("key")), "keyed")
+        many = written(keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "many")
+        members = written(keyed.join(many, "key"), "unjoined")
+        members = written(members.join(_open_groups(members), "key"), "members")
+        named = members.select("node").distinct()
+        sets = written(sets_of(named).join(nodes.select("node", "words"), "node"), "sets")
         parts = F.ceil(F.col("total") / ROOM).cast("int")
         own = F.pmod(F.xxhash64("node"), parts).cast("int")
         whole = members.withColumn("part", F.explode(F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own)))).withColumn("other", F.lit(0))
@@ -210,5 +212,5 @@ def _across(large: DataFrame, sets: DataFrame, percent: int, radius: int | None)
     at = F.when(F.col("main"), F.col("outside") + F.pmod(hashed, "inside")).otherwise(F.pmod(hashed, "outside")).cast("int")
     rows = rows.withColumn("at", at)
     meets = F.when(F.col("main"), every(F.col("outside"))).otherwise(every(F.col("outside") + F.col("inside")))
-    dealt = rows.withColumn("with", F.explode(meets)).select("key", F.least("at", "with").alias("part"), F.greatest("at", "with").alias("other"), "node", "root", "words")
+    dealt = rows.withColumn("with", F.explode(meets)).select("key", F.least("at", "with").alias("part"), F.greatest("at", "with").alias("other"), "node", "root")
     return _verified(dealt.join(sets, "node").select("key", "part", "other", "node", "root", "words", "hashes"), percent, radius)

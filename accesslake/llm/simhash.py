@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesslake.llm.common import written
-from accesslake.llm.links import SMALL, agreeing_blocks, components, keys_of, links, near_pairs
+from accesslake.llm.links import agreeing_blocks, components, links
+from accesslake.llm.minhash import set_digest, sets_from
+from accesslake.llm.sets import WordHashes, linked, shingle_set
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -112,87 +112,85 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, words: i
     return attached.select("doc_id", "words", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The different shingle hashes of a text, ascending."""
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text or "", shingle)]))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts apart; null counts as empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def sketches(docs: DataFrame, shingle: int, words: int, bands: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, a ``digest`` of the set of different shingles, its ``size``, the fingerprint of the set and ``bands`` keys of two smallest hashes each."""
+def sketches(rows: DataFrame, shingle: int, words: int, bands: int) -> DataFrame:
+    """``doc_id, text_key``, a ``digest`` of the set of different shingles, its ``size``, the fingerprint of the set and ``bands`` keys of two smallest hashes each."""
 
     def run(batches):
+        known = WordHashes()
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                found = shingle_set(text, shingle)
+                found = shingle_set(text, shingle, known)
                 fp, low = majority_of((found[i : i + CHUNK] for i in range(0, len(found), CHUNK)), words, 2 * bands)
-                out.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), len(found), fp.view(np.int64).tolist(), low.view(np.int64).tolist()))
+                out.append((set_digest(found), len(found), fp.view(np.int64).tolist(), low.view(np.int64).tolist()))
             columns = list(zip(*out)) or [[]] * 4
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), longs, longs)))], names=["doc_id", "digest", "size", "words", "least"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), longs, longs)))], names=["doc_id", "text_key", "digest", "size", "words", "least"])
 
-    found = _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest binary, size long, words array<long>, least array<long>")
+    found = rows.mapInArrow(run, "doc_id long, text_key string, digest binary, size long, words array<long>, least array<long>")
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("least")[2 * k], F.col("least")[2 * k + 1]) for k in range(bands)))
-    return found.select("doc_id", "digest", "size", "words", keys.alias("keys"))
+    return found.select("doc_id", "text_key", "digest", "size", "words", keys.alias("keys"))
 
 
-def alike(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Those of the pairs ``(a, b)`` of ids whose documents' sets of shingles have at least ``similarity`` of their union in common.
+def similar(docs: DataFrame, percent: int = 80, radius: int = 80, shingle: int = 5, words: int = 4, bands: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_key, component_id, component`` of every row: rows of one component reach each other over documents alike.
 
-    Only texts that a pair names are cut into shingles; a set is 8 bytes a shingle, and rows alike count once.
-    """
+    ``component_id`` is the smallest doc_id of the component, ``component`` names it also where no row has an id.
+    Documents are linked if their sets of different shingles have ``percent`` of their union in common, and every link is
+    verified on the sets themselves. Fingerprints of the sets, compared tile by tile, and ``bands`` keys of two smallest hashes
+    only choose whom to verify: a pair of likeness ``s`` shares no key in ``(1 - s*s)**bands`` of cases (6e-7 for 14 and
+    0.8), and ``radius`` lies seven standard deviations above the bits that such sets differ in (five for the smallest, of
+    four and five shingles). Comparison and verification both happen inside a group's task (see ``sets.linked``), which
+    gives confirmed edges of a forest and no pairs. Documents of one set are one node.
 
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_set(text, shingle) for text in batch.column(1).to_pylist()]
-            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "digest", "hashes"])
-
-    named = written(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "named")
-    texts = _rows(docs, id_col, text_col).join(named, F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = written(texts.mapInArrow(run, "id long, digest binary, hashes array<long>").dropDuplicates(["id", "digest"]).drop("digest"), "shingles")
-    one, two = sets.toDF("a", "x"), sets.toDF("b", "y")
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b").distinct()
-
-
-def similar(docs: DataFrame, similarity: float = 0.8, radius: int = 80, shingle: int = 5, words: int = 4, bands: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` of every row: the smallest doc_id it reaches over documents whose shingle sets are ``similarity`` alike.
-
-    Likeness is the Jaccard index of the sets of different shingles, and every link is verified by it. Fingerprints of
-    the sets and ``bands`` keys of two smallest hashes only choose whom to verify: a pair of likeness ``s`` shares no key
-    in ``(1 - s*s)**bands`` of cases (6e-7 for 14 and 0.8), and ``radius`` lies seven standard deviations above the bits
-    that such sets differ in (five for the smallest, of four and five shingles). First each group's spanning forest of
-    near pairs is verified, nearest first; then all its near pairs that the links found do not yet join, so a group of
-    copies makes no square of pairs. Documents of one set are one node.
-
-    Texts without a shingle are alike; rows with a null ``doc_id`` have a null ``component_id`` and link nothing;
-    repeated rows stay; an empty table gives no rows; other columns are not read.
+    Texts without a shingle are one component; a row with a null ``doc_id`` is a document like any other, with a null ``component_id``; rows that share
+    an id but not the text are apart; repeated rows stay; very long texts are sets like any other; an empty table gives
+    no rows; other columns are not read.
     """
-    rows = written(sketches(docs, shingle, words, bands, id_col, text_col), "sketches")
-    classes = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("size", "words", "keys")))
-    classes = written(classes, "classes")
-    nodes = classes.select("id", "keys", F.concat("words", F.array(F.col("id"), F.col("size"))).alias("words"))
-    keys = [F.col("keys")[k] for k in range(bands)]
-    pairs = written(links(nodes, keys, radius, near_pairs(similarity, spanning=True)), "pairs")
-    found = written(alike(pairs, docs, similarity, shingle, id_col, text_col), "links")
-    roots = components(found)
-    large = written(keys_of(nodes, keys).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("key"), "large")
-    if not large.isEmpty():
-        joined = classes.join(roots, "id", "left").select("id", "keys", F.concat("words", F.array(F.coalesce("root", "id"), F.col("size"))).alias("words"))
-        pairs = written(links(joined, keys, radius, near_pairs(similarity, spanning=False), only=large), "pairs")
-        if not pairs.isEmpty():
-            roots = components(found.union(alike(pairs, docs, similarity, shingle, id_col, text_col)))
-    rooted = classes.join(roots, "id", "left").select(F.col("digest").alias("_digest"), F.coalesce("root", "id").alias("component_id"))
-    attached = rows.join(rooted, F.col("digest") == F.col("_digest"), "left")
-    return attached.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    rows = _rows(docs, id_col, text_col)
+    found = written(sketches(rows, shingle, words, bands), "sketches")
+    classes = found.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("size", "words", "keys")))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    nodes = classes.where("size > 0").select("node", "size", "keys", "words")
+    edges = linked(nodes, sets_from(rows.select("doc_id", "text"), classes, shingle), percent, [2, bands - 2], radius)
+    roots = components(edges).select(F.col("id").alias("_id"), F.col("root").alias("_root"))
+    rooted = written(classes.join(roots, F.col("node") == F.col("_id"), "left").select(F.col("digest").alias("_digest"), "id", F.coalesce("_root", "node").alias("component")), "rooted")
+    least = rooted.groupBy(F.col("component").alias("_component")).agg(F.min("id").alias("_least"))
+    named = rooted.join(least, F.col("component") == F.col("_component"))
+    attached = found.join(named, F.col("digest") == F.col("_digest"))
+    return attached.select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull(), F.col("_least")).alias("component_id"), "component")
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the documents that are not the smallest of their class; rows with a null id stay."""
     gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of ``similar``: that of the smallest id (null last), then text.
+
+    Rows are told apart by id and text, so rows that share an id are judged each for itself; of rows that agree in both one
+    stays, whichever. Columns may have any names; empty tables give empty ones.
+    """
+    texts = written(classes.groupBy("doc_id", "text_key", "component").agg(F.count("*").alias("n")), "texts")
+    first = texts.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lacking"), "doc_id", "text_key")).alias("first"))
+    judged = texts.select("doc_id", "text_key", "n", F.col("component").alias("of")).join(first, F.col("of") == F.col("component"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    judged = written(judged.select("doc_id", "text_key", stays.alias("stays"), "n"), "judged")
+    names = docs.columns
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("at"), text_key(F.col(f"`{text_col}`").cast("string")).alias("text_at"))
+    same = F.col("at").eqNullSafe(F.col("doc_id")) & (F.col("text_at") == F.col("text_key"))
+    kept = whole.join(judged.where("not stays or n > 1"), same, "left_anti")
+    repeated = whole.join(judged.where("stays and n > 1"), same, "left_semi").groupBy("at", "text_at").agg(F.first("row").alias("row"))
+    return kept.select("row.*").union(repeated.select("row.*"))

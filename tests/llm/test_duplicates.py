@@ -114,6 +114,19 @@ def test_similar_odd_rows(llm, odd, empty):
     assert similar(empty).collect() == []
 
 
+def test_near_copies_are_told_apart_by_id_and_text(llm, odd, empty):
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in "bcde"]
+    b, c, d, e = texts
+    rows = [(2, b), (5, c), (5, b), (7, d), (7, d), (None, d), (None, e), (None, e + " more"), (9, None), (8, "")]
+    docs = llm.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], "doc_id long, text string, text_key string, component long, at string")
+    kept = drop_near_copies(llm, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(2, b), (5, c), (7, d), (8, ""), (None, min(e, e + " more", key=lambda t: hashlib.md5(t.encode()).hexdigest()))], key=repr)
+    assert drop_near_copies(llm, empty, "").collect() == []
+    ids = [(r.doc_id, r.text) for r in drop_near_copies(llm, odd, "").collect()]
+    assert len(ids) == len(set(ids)) and (0, None) in ids and (4, "one two three") in ids
+
+
 def test_blocks_keep_every_link(llm):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 40)
