@@ -12,13 +12,13 @@ from accesslake.llm.common import shipped, written
 from accesslake.llm.mixing import labelled_rows, mix, resample
 from accesslake.llm.packing import pack
 from accesslake.llm.queries import tokenizer
-from accesslake.llm.simhash import keep_one, similar
+from accesslake.llm.simhash import one_of_each, similar
 from accesslake.llm.suffix import remove_repeats
 from accesslake.llm.toxicity import keep_clean, train
 from accesslake.sources.tables import Tables
 
-#: Documents that share this part of their different five-word shingles are near copies.
-SIMILARITY = 0.8
+#: Documents that share this percentage of their different five-word shingles are near copies.
+SIMILARITY = 80
 #: A repeated passage of 50 words or more has this many bytes at least.
 PASSAGE = 200
 #: The share of tokens each language is to have; rates are 1 at least, so no document is lost to the mix.
@@ -32,9 +32,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document, that of the smallest id, of each class of near copies: five-word shingles, similarity 0.8 or more.
+
+    Rows are told apart by id and text: rows of one id but different texts are judged each for itself, of equal rows one
+    stays. Null and empty texts are one class; columns may have any names; an empty table gives none.
+    """
     shipped(spark)
-    return keep_one(docs, similar(docs, SIMILARITY, shingle=5))
+    return one_of_each(docs, similar(docs, SIMILARITY, shingle=5))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
