@@ -73,6 +73,29 @@ def sketches(texts: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame
     return texts.mapInArrow(run, "doc_id long, digest binary, size long, keys array<long>")
 
 
+#: Bits of the map that tells which ids may be wanted: 16 MB, however many ids there are.
+BITS = 1 << 27
+
+
+def maybe_wanted(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among ``wanted``; none that is wanted is lost.
+
+    The wanted keys' hashes set bits of a map of ``BITS`` bits, 4 KB a row and ``BITS / 32768`` rows, which is broadcast. A set bit
+    may stand for another key, so an exact join follows; it then moves few rows instead of all texts.
+    """
+
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
+
+    at = place(F.col(wanted_key))
+    bits = wanted.select(F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    here = rows.withColumn("_at", place(F.col(key)))
+    met = here.join(F.broadcast(bits), F.bitmap_bucket_number("_at") == F.col("_bucket"))
+    position = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
 def sets_from(texts: DataFrame, classes: DataFrame, shingle: int):
     """For ``sets.linked``: the sets of named classes, from the text of each one's smallest doc_id."""
 
@@ -84,7 +107,7 @@ def sets_from(texts: DataFrame, classes: DataFrame, shingle: int):
 
     def sets_of(named: DataFrame) -> DataFrame:
         wanted = written(classes.join(named, "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("digest").alias("_digest")), "wanted")
-        read = texts.join(wanted.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        read = maybe_wanted(texts, "doc_id", wanted, "_id").join(wanted.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
         sets = read.mapInArrow(run, "doc_id long, digest binary, hashes array<long>")
         same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
         return sets.join(wanted, same).groupBy("node").agg(F.first("hashes").alias("hashes"))

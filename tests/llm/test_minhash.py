@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from accesslake.llm import sets
-from accesslake.llm.minhash import band_keys, first_permutation, near_duplicates, second_permutation, signature
+from accesslake.llm import minhash, sets
+from accesslake.llm.minhash import band_keys, first_permutation, maybe_wanted, near_duplicates, second_permutation, signature
 from accesslake.llm.sets import WordHashes, confirmed, shingle_set, sized_pairs
 
 
@@ -67,6 +67,17 @@ def test_classes_as_brute_force(llm, copies, small, monkeypatch):
     assert got(small.documents) == brute(rows)
 
 
+def test_a_map_of_bits_loses_no_wanted_id(llm, monkeypatch):
+    rows = llm.createDataFrame([(i * 7919 - 10**6,) for i in range(3000)] + [(None,), (2**63 - 1,), (-(2**63),)], "doc_id long")
+    wanted = llm.createDataFrame([(i * 7919 - 10**6,) for i in range(0, 3000, 10)] + [(None,), (-(2**63),)], "_id long")
+    names = {r[0] for r in wanted.collect()}
+    for bits, most in ((minhash.BITS, 310), (1 << 9, 3003)):
+        monkeypatch.setattr(minhash, "BITS", bits)
+        got = [r[0] for r in maybe_wanted(rows, "doc_id", wanted, "_id").collect()]
+        assert names <= set(got) and len(got) == len(set(got)) <= most
+    assert maybe_wanted(rows, "doc_id", wanted.limit(0), "_id").collect() == []
+
+
 def test_groups_too_large_for_a_task(llm, copies, monkeypatch):
     monkeypatch.setattr(sets, "ROOM", 300)
     df = llm.createDataFrame(copies, "doc_id long, text string").repartition(5)
