@@ -85,6 +85,14 @@ def import_column_profile(t):
     return i.column_profile(wide)
 
 
+@query("import_drop_empty", "SELECT o_orderkey, o_orderstatus, o_totalprice > 200000 AS large FROM orders")
+def import_drop_empty(t):
+    """An upload with columns that no row fills: an empty text, a null and an empty list."""
+    empty = [F.lit("").alias("note"), F.lit(None).cast("string").alias("extra"), F.array().cast("array<string>").alias("labels")]
+    large = (F.col("o_totalprice") > 200000).alias("large")
+    return i.drop_empty_columns(t.orders.select("o_orderkey", "o_orderstatus", *empty, large))
+
+
 @query(
     "export_filtered",
     "SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderstatus = 'P' AND contains(lower(o_orderpriority), 'high')",

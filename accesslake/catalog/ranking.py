@@ -138,6 +138,24 @@ def page(t):
     return shown.select("o_orderkey", "o_totalprice").withColumn("total", rows.select(F.count("*")).scalar())
 
 
+@query(
+    "page_deep",
+    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 885",
+)
+def page_deep(t):
+    return k.page_at(t.orders, 60, 15, "-o_totalprice", "o_orderkey", parts=100).select("o_orderkey", "o_totalprice")
+
+
+@query(
+    "page_keyset",
+    """SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '1998-03-01' OR (o_orderdate = TIMESTAMP '1998-03-01' AND o_orderkey > 700)
+       ORDER BY o_orderdate, o_orderkey LIMIT 30""",
+)
+def page_keyset(t):
+    last = F.lit("1998-03-01").cast(t.orders.schema["o_orderdate"].dataType)
+    return k.page_after(t.orders, "o_orderkey", 700, 30, "o_orderdate", last).select("o_orderkey", "o_orderdate")
+
+
 @query(
     "count_probe",
     """SELECT count(*) AS all_rows, count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent,

@@ -115,6 +115,47 @@ def page_after(df: DataFrame, key: str, last_seen, size: int = DEFAULT_PAGE_SIZE
     return df.where(beyond).orderBy(*order_terms(order, key)).limit(size)
 
 
+def page_at(df: DataFrame, number: int, size: int, order: str, tie: str = "id", parts: int = 1000) -> DataFrame:
+    """Page ``number`` (from 1) of a listing sorted as ``sort_by`` does, however far down, by order statistics.
+
+    Approximate quantiles cut the values of ``order`` (numbers, dates or timestamps) into ranges; an aggregate counts each
+    range's rows, which tells the ranges that the page lies in; only rows of those are sorted, by a filter of literal bounds
+    that the scan can use. ``parts`` bounds and counts come to the driver, whatever the table. Rows of one value are in one
+    range, so a value that most rows share is sorted as a whole, by the key. Null values are a range of their own, first in
+    ascending order and last in descending order. A page beyond the end is empty.
+    """
+    value, down = F.col(order.lstrip("-")), order.startswith("-")
+    cuts = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts).alias("at")).first()["at"]
+    kind = df.schema[order.lstrip("-")].dataType
+    bounds = [F.lit(b).cast(kind) for b in sorted(set(cuts or []))]
+    place = F.size(F.filter(F.array(*bounds), lambda b: b < value)) if bounds else F.lit(0)
+    counted = df.groupBy(F.when(value.isNotNull(), place).alias("range")).agg(F.count("*").alias("n")).collect()  # ``parts`` rows
+    counts = {r["range"]: r["n"] for r in counted}
+    ranges = sorted((r for r in counts if r is not None), reverse=down)
+    ranges = [*ranges, None] if down else [None, *ranges]
+    skipped, taken, seen = 0, [], 0
+    for r in ranges:
+        here = counts.get(r, 0)
+        if here and seen + here > (number - 1) * size and seen < number * size:
+            taken.append(r)
+        elif not taken:
+            skipped = seen + here
+        seen += here
+    tests = []
+    for r in taken:
+        if r is None:
+            tests.append(value.isNull())
+            continue
+        test = value.isNotNull()
+        if r > 0:
+            test = value > bounds[r - 1]
+        if r < len(bounds):
+            test = test & (value <= bounds[r])
+        tests.append(test)
+    rows = df.where(reduce(Column.__or__, tests)) if tests else df.limit(0)
+    return rows.orderBy(*order_terms(order, tie)).offset((number - 1) * size - skipped if taken else 0).limit(size)
+
+
 def merge_slots(df: DataFrame, keys: list[str], slot: str) -> DataFrame:
     """Adjacent slots per key become ranges [begin, end). Slots are made unique first, so a key orders at most 24."""
     order = Window.partitionBy(*keys).orderBy(slot)
