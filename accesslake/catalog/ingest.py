@@ -9,6 +9,7 @@ from accesslake.functions.values import redact
 from accesslake.operators import predicates as p
 from accesslake.session import shared_dir
 from accesslake.sources import adapters as a
+from accesslake.sources import days as d
 from accesslake.sources import ingest as i
 
 USER_META = {
@@ -122,6 +123,31 @@ def retention_keep(t):
     return i.retain(t.events, "ts", 15, EVENTS_AS_OF).select("event_id", "event_type")
 
 
+@query("retention_days", "SELECT event_id, event_type, ts::DATE::VARCHAR AS day FROM events WHERE ts >= TIMESTAMP '2024-01-16'")
+def retention_days(t):
+    """The log kept in a folder a day, and the folders of older days dropped."""
+    path = shared_dir(t.spark, "log-days")
+    d.write_days(t.events.select("event_id", "event_type", "ts"), path, "ts")
+    d.drop_days(t.spark, path, 15, EVENTS_AS_OF)
+    kept = d.read_days(t.spark, path, "event_id bigint, event_type string, ts timestamp_ntz")
+    return kept.select("event_id", "event_type", F.col("day").cast("string").alias("day"))
+
+
+@query(
+    "import_update_days",
+    """SELECT event_id, ts::DATE::VARCHAR AS day, CASE WHEN event_type = 'error' AND ts >= TIMESTAMP '2024-01-20' THEN -value ELSE value END AS value,
+              md5(props) AS props FROM events""",
+)
+def import_update_days(t):
+    """A patch of one column, by id, on the log kept in a folder a day; days before the 20th are not rewritten."""
+    path, schema = shared_dir(t.spark, "log-days"), "event_id bigint, ts timestamp_ntz, value double, props string"
+    d.write_days(t.events.select("event_id", "ts", "value", "props"), path, "ts")
+    late = t.events.where("event_type = 'error' AND ts >= TIMESTAMP_NTZ '2024-01-20'").select("event_id", (-F.col("value")).alias("value"))
+    d.patch_days(t.spark, path, schema, late, "event_id", "ts")
+    rows = d.read_days(t.spark, path, schema)
+    return rows.select("event_id", F.col("day").cast("string").alias("day"), "value", F.md5("props").alias("props"))
+
+
 @query("redact_columns", "SELECT c_custkey AS id, sha256(c_name) AS secret, sha256(c_mktsegment) AS password FROM customer")
 def redact_columns(t):
     rows = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("secret"), F.col("c_mktsegment").alias("password"))

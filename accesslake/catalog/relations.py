@@ -327,9 +327,7 @@ LOGIN_RULES = [
 ]
 
 
-@query(
-    "acl_evaluate_table",
-    """WITH rules AS (SELECT s_suppkey AS rule, CASE WHEN s_suppkey % 10 = 0 THEN 90 ELSE 1 + s_suppkey % 40 END AS priority,
+ACL_TABLE_SQL = """WITH rules AS (SELECT s_suppkey AS rule, CASE WHEN s_suppkey % 10 = 0 THEN 90 ELSE 1 + s_suppkey % 40 END AS priority,
                              CASE s_nationkey % 3 WHEN 0 THEN 'reject' WHEN 1 THEN 'review' ELSE 'accept' END AS action, s_nationkey % 3 AS kind FROM supplier),
             u AS (SELECT DISTINCT l_suppkey AS rule, o_custkey AS user_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey % 10 <> 0),
             m AS (SELECT event_id, priority, rule, action FROM events JOIN u USING (user_id) JOIN rules USING (rule)
@@ -337,10 +335,11 @@ LOGIN_RULES = [
                   UNION ALL SELECT event_id, priority, rule, action FROM events, rules
                   WHERE rule NOT IN (SELECT rule FROM u) AND (kind = 2 OR (kind = 0 AND event_type = 'error') OR (kind = 1 AND event_type IN ('click', 'view')))),
             b AS (SELECT event_id, min({'p': priority, 'r': rule, 'a': action}) AS best FROM m GROUP BY 1)
-       SELECT event_id AS id, best.r AS rule, best.p::INT AS priority, best.a AS action FROM events LEFT JOIN b USING (event_id)""",
-)
-def acl_evaluate_table(t):
-    """The rules as rows: one a supplier, for the users it sold to and, by its nation, for some event types."""
+       SELECT event_id AS id, best.r AS rule, best.p::INT AS priority, best.a AS action FROM events LEFT JOIN b USING (event_id)"""
+
+
+def supplier_rules(t):
+    """Rules as rows: one a supplier, for the users it sold to and, by its nation, for some event types."""
     kind = F.col("s_nationkey") % 3
     priority = F.when(F.col("s_suppkey") % 10 == 0, 90).otherwise((F.col("s_suppkey") % 40 + 1).cast("int"))
     action = F.when(kind == 0, "reject").when(kind == 1, "review").otherwise("accept")
@@ -351,8 +350,13 @@ def acl_evaluate_table(t):
         "user_id": sold.select(F.col("l_suppkey").alias("rule"), F.col("o_custkey").alias("value")).distinct(),
         "event_type": t.supplier.select(F.col("s_suppkey").alias("rule"), F.explode(types).alias("value")),
     }
+    return access_rules, scopes
+
+
+@query("acl_evaluate_table", ACL_TABLE_SQL)
+def acl_evaluate_table(t):
     events = t.events.select(F.col("event_id").alias("id"), "user_id", "event_type")
-    return rule_tables.evaluate_table(events, "id", access_rules, scopes).select("id", "rule", "priority", "action")
+    return rule_tables.evaluate_table(events, "id", *supplier_rules(t)).select("id", "rule", "priority", "action")
 
 
 @query(

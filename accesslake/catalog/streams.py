@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from accesslake.catalog.registry import EVENTS_AS_OF, query
-from accesslake.catalog.relations import ACCESS_RULES, ACCESS_SQL
+from accesslake.catalog.relations import ACCESS_RULES, ACCESS_SQL, ACL_TABLE_SQL, supplier_rules
+from accesslake.session import shared_dir
 from accesslake.sources import adapters as a
 from accesslake.streaming import monitors as s
 
@@ -60,6 +61,50 @@ def stream_acl(t):
     return s.run_append(decided.select("id", "rule", "action"), "acl")
 
 
+@query("stream_acl_table", ACL_TABLE_SQL)
+def stream_acl_table(t):
+    """The rules in tables of the shared folder, which every micro-batch reads again."""
+    folder = shared_dir(t.spark, "acl-table")
+    rules, scopes = supplier_rules(t)
+    schemas = {f"{folder}/rules": rules.schema, **{f"{folder}/{n}": scope.schema for n, scope in scopes.items()}}
+    for path, frame in zip(schemas, [rules, *scopes.values()]):
+        frame.write.parquet(path)
+
+    def read_rules(spark):
+        first, *rest = [spark.read.schema(schema).parquet(path) for path, schema in schemas.items()]
+        return first, dict(zip(scopes, rest))
+
+    events = s.table_stream(t.spark, t.folder, "events").select(F.col("event_id").alias("id"), "user_id", "event_type")
+    s.start_ruled(events, "id", read_rules, folder).awaitTermination()
+    decided = s.decisions(t.spark, folder, "id bigint, rule bigint, priority int, action string")
+    return decided.select("id", "rule", "priority", "action")
+
+
+@query(
+    "stream_session_pairs",
+    """WITH o AS (SELECT event_id // 2 AS session, user_id, ts AS opened FROM events WHERE event_id % 2 = 0),
+            c AS (SELECT event_id // 2 AS session, ts AS closed FROM events WHERE event_id % 2 = 1),
+            w AS (SELECT date_trunc('milliseconds', least((SELECT max(opened) FROM o), (SELECT max(closed) FROM c))) - INTERVAL 1 HOUR AS mark)
+       SELECT session, user_id, CASE WHEN closed IS NOT NULL THEN 'closed' WHEN opened + INTERVAL 10 DAY < mark THEN 'lapsed' ELSE 'online' END AS state,
+              strftime(closed, '%Y-%m-%d %H:%M:%S.%f') AS closed
+       FROM o LEFT JOIN c USING (session) CROSS JOIN w WHERE closed IS NULL OR closed BETWEEN opened AND opened + INTERVAL 10 DAY
+       UNION ALL
+       SELECT session, user_id, CASE WHEN opened + INTERVAL 10 DAY < mark THEN 'lapsed' ELSE 'online' END, NULL
+       FROM o JOIN c USING (session) CROSS JOIN w WHERE closed NOT BETWEEN opened AND opened + INTERVAL 10 DAY""",
+)
+def stream_session_pairs(t):
+    """Two neighbouring events are a session's open and close; each session is closed, lapsed after ten days or online."""
+    number, opens, closes = F.floor(F.col("event_id") / 2), F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1
+
+    def opened(events):
+        return events.where(opens).select(number.alias("session"), "user_id", F.col("ts").cast("timestamp").alias("opened"))
+
+    ended = s.table_stream(t.spark, t.folder, "events").where(closes).select(number.alias("session"), F.col("ts").alias("closed"))
+    pairs = s.session_pairs(opened(s.table_stream(t.spark, t.folder, "events")), ended, "session", "opened", "closed", "10 days")
+    states = s.session_states(opened(t.events), s.run_append(pairs, "pairs"), "session", "opened", "closed")
+    return states.select("session", "user_id", "state", F.date_format("closed", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("closed"))
+
+
 SESSION_SQL = """
     g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
     n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g),

@@ -6,6 +6,8 @@ driver and a lost executor or a restart only replays from the checkpoint.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -13,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from accesslake.functions.values import all_of, seconds_between
 from accesslake.operators.predicates import search_batches
+from accesslake.operators.rule_tables import evaluate_table
 from accesslake.operators.rules import evaluate
 from accesslake.session import shared_dir
 from accesslake.sources.tables import SCHEMAS
@@ -141,6 +144,60 @@ def acl_stream(events: DataFrame, rules: list[dict], user_key: str, **scopes: st
     return evaluate(events, rules, user_key, **scopes)
 
 
+def start_ruled(events: DataFrame, key: str, read_rules: Callable[[SparkSession], tuple[DataFrame, dict[str, DataFrame]]], folder: str, **trigger) -> StreamingQuery:
+    """Starts a query that appends every event with its winning rule to ``folder/table``; the rules are a table.
+
+    ``read_rules`` gives the rules and scopes of ``rule_tables.evaluate_table`` and is called anew for each micro-batch, so a rule
+    added in between counts from the next batch on. A micro-batch owns the folder ``batch=n`` and a replay overwrites it,
+    so no event is decided twice in the table; a replayed batch takes the rules as they are by then.
+    """
+
+    def decide(rows: DataFrame, batch: int) -> None:
+        rows.persist()
+        try:
+            decided = evaluate_table(rows, key, *read_rules(rows.sparkSession))
+            decided.write.mode("overwrite").parquet(f"{folder}/table/batch={batch}")
+        finally:
+            rows.unpersist()
+
+    writer = events.writeStream.foreachBatch(decide).option("checkpointLocation", f"{folder}/checkpoint")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def decisions(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The events decided so far, with the number of the micro-batch; empty before the first."""
+    path, store = _store(spark, f"{folder}/table")
+    schema = f"{schema}, batch bigint"
+    return spark.read.schema(schema).parquet(f"{folder}/table") if store.exists(path) else spark.createDataFrame([], schema)
+
+
+def session_pairs(opens: DataFrame, closes: DataFrame, session: str, opened: str, closed: str, longest: str = "1 day", lateness: str = "1 hour") -> DataFrame:
+    """Every session once: with its close when that arrives, or with none when ``longest`` has passed without one.
+
+    ``opens`` has ``session``, ``opened`` and any other columns, ``closes`` ``session`` and ``closed``; a close counts if it lies
+    between the open and ``longest`` later. Both wait for each other in state that the watermark clears, so what is kept is the
+    sessions of the last ``longest`` and ``lateness``, not all users ever seen. The result is only appended to: nothing is
+    rewritten. Rows without id or time take no part, nor do rows later than the watermark; a row delivered again within
+    the lateness counts once.
+    """
+    known = opens.where(F.col(session).isNotNull() & F.col(opened).isNotNull())
+    left = known.withWatermark(opened, lateness).dropDuplicatesWithinWatermark([session])
+    ended = closes.where(F.col(session).isNotNull() & F.col(closed).isNotNull()).select(F.col(session).alias("_session"), closed)
+    right = ended.withWatermark(closed, lateness).dropDuplicatesWithinWatermark(["_session"])
+    inside = (F.col(closed) >= F.col(opened)) & (F.col(closed) <= F.col(opened) + F.expr(f"INTERVAL {longest}"))
+    return left.join(right, (F.col(session) == F.col("_session")) & inside, "left").drop("_session")
+
+
+def session_states(opens: DataFrame, pairs: DataFrame, session: str, opened: str, closed: str) -> DataFrame:
+    """Adds ``state`` to every open: closed, lapsed (its time is over) or online, by the table that ``session_pairs`` wrote.
+
+    For a live card ``opens`` is read from the days that ``longest`` reaches back to; older sessions are not online.
+    """
+    ended = pairs.select(F.col(session).alias("_session"), F.when(F.col(closed).isNull(), "lapsed").otherwise("closed").alias("_state"), closed)
+    joined = opens.join(ended, F.col(session) == F.col("_session"), "left")
+    return joined.withColumn("state", F.coalesce("_state", F.lit("online"))).drop("_session", "_state")
+
+
 def sessions_stream(events: DataFrame, user: str, ts: str, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
     """Closed sessions: events of a user less than the gap apart. A session is emitted once the watermark passes it."""
     return (

@@ -90,3 +90,63 @@ def test_a_restart_goes_on_from_the_checkpoint(spark, tmp_path):
     assert sorted(map(str, spark.read.schema(schema).parquet(folder + "/append/table").collect())) == sorted(map(str, everything.collect()))
     state = {r.k: r.n for r in s.newest_state(spark, folder + "/update", counted.schema).collect()}
     assert state == {1: 6, 2: 1, 3: 5, None: 3}
+
+
+def test_rules_added_between_batches_apply_and_replays_leave_no_duplicates(spark, tmp_path):
+    source, folder, rules_at = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "rules")
+    schema = "id long, user_id long"
+
+    def put(*ids):
+        spark.createDataFrame([(i, i % 2) for i in ids], schema).coalesce(1).write.mode("append").parquet(source)
+
+    def rule(number, priority, user):
+        spark.createDataFrame([(number, priority, "reject", user)], "rule long, priority int, action string, value long").write.mode("append").parquet(rules_at)
+
+    def read_rules(session):
+        rows = session.read.parquet(rules_at)
+        return rows.select("rule", "priority", "action"), {"user_id": rows.select("rule", "value")}
+
+    def run():
+        s.start_ruled(spark.readStream.schema(schema).parquet(source), "id", read_rules, folder).awaitTermination()
+        found = s.decisions(spark, folder, "id long, user_id long, rule long, priority int, action string")
+        return sorted((r.id, r.rule) for r in found.collect())
+
+    assert s.decisions(spark, folder, schema).count() == 0
+    rule(1, 50, 1)
+    put(1, 2)
+    assert run() == [(1, 1), (2, None)]
+    rule(2, 10, 1)
+    put(3, 4)
+    assert run() == [(1, 1), (2, None), (3, 2), (4, None)]
+    (tmp_path / "out" / "checkpoint" / "commits" / "1").unlink()
+    (tmp_path / "out" / "checkpoint" / "commits" / ".1.crc").unlink()
+    assert run() == [(1, 1), (2, None), (3, 2), (4, None)]
+
+
+def test_session_pairs_over_restarts_equal_the_batch(spark, tmp_path):
+    places = [str(tmp_path / n) for n in ("opens", "closes")]
+    schemas = ["session long, user string, opened timestamp", "session long, closed timestamp"]
+    folder = str(tmp_path / "out")
+
+    def put(n, rows):
+        frame = spark.createDataFrame(rows, schemas[n].replace("timestamp", "string"))
+        frame.select(*[F.col(c).cast("timestamp") if c in ("opened", "closed") else F.col(c) for c in frame.columns]).coalesce(1).write.mode("append").parquet(places[n])
+
+    def run():
+        opens, closes = [spark.readStream.schema(schema).parquet(place) for schema, place in zip(schemas, places)]
+        pairs = s.session_pairs(opens, closes, "session", "opened", "closed", "2 hours")
+        s.start_append(pairs, folder).awaitTermination()
+        table = spark.read.schema(pairs.schema).parquet(folder + "/table")
+        states = s.session_states(spark.read.schema(schemas[0]).parquet(places[0]), table, "session", "opened", "closed")
+        return sorted({(r.session, r.state) for r in states.where("session is not null").collect()}), table.count()
+
+    day = "2024-01-01 "
+    put(0, [(1, "a", day + "08:00:00"), (2, "a", day + "08:30:00"), (3, "b", day + "08:40:00"), (1, "a", day + "08:00:00"), (None, "c", day + "08:00:00")])
+    put(1, [(1, day + "09:00:00"), (9, day + "09:00:00"), (None, day + "08:10:00")])
+    assert run() == ([(1, "closed"), (2, "online"), (3, "online")], 1)
+    put(0, [(4, "b", day + "09:10:00"), (9, "b", day + "09:30:00")])
+    put(1, [(2, day + "10:30:00"), (4, day + "09:05:00")])
+    assert run() == ([(1, "closed"), (2, "closed"), (3, "online"), (4, "online"), (9, "online")], 2)
+    put(0, [(5, "c", day + "20:00:00")])
+    put(1, [(5, day + "20:30:00")])
+    assert run() == ([(1, "closed"), (2, "closed"), (3, "lapsed"), (4, "lapsed"), (5, "closed"), (9, "lapsed")], 6)
