@@ -97,20 +97,23 @@ def maybe_wanted(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str)
 
 
 def sets_from(texts: DataFrame, classes: DataFrame, shingle: int):
-    """For ``sets.linked``: the sets of named classes, from the text of each one's smallest doc_id."""
+    """For ``sets.linked``: the sets of named classes, from the text of each one's smallest doc_id.
+
+    A class is its digest, so sets move once, by the digest; what else belongs to a class waits there for them.
+    """
 
     def run(batches):
         known = WordHashes()
         for batch in batches:
             found = [shingle_set(text, shingle, known) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_digest(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["doc_id", "digest", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["digest", "hashes"])
 
     def sets_of(named: DataFrame) -> DataFrame:
-        wanted = written(classes.join(named, "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("digest").alias("_digest")), "wanted")
+        known = classes.select("node", F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+        wanted = written(known.join(named, "node"), "wanted")
         read = maybe_wanted(texts, "doc_id", wanted, "_id").join(wanted.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        sets = read.mapInArrow(run, "doc_id long, digest binary, hashes array<long>")
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
-        return sets.join(wanted, same).groupBy("node").agg(F.first("hashes").alias("hashes"))
+        sets = read.mapInArrow(run, "digest binary, hashes array<long>").join(wanted, F.col("digest") == F.col("_digest"))
+        return sets.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("node", "words", "hashes"))).drop("digest")
 
     return sets_of
 

@@ -170,7 +170,7 @@ def linked(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     """Edges ``(a, b)`` that join what all links join, between nodes that share one of their ``keys``.
 
     ``nodes`` has ``node`` (long, distinct), ``size`` of its set (1 at least), ``keys`` (array of longs) and ``words`` (a
-    fingerprint, or one zero). ``sets_of(named)`` gives ``(node, hashes)`` for the nodes that ``named`` lists. Sets are linked
+    fingerprint, or one zero). ``sets_of(named)`` adds the ``hashes`` to the ``(node, words)`` that ``named`` lists. Sets are linked
     if ``percent`` of their union is common; with ``radius``, only those whose fingerprints lie so near are compared.
 
     ``rounds`` says how many keys are taken at once: after each, groups whose members are all joined are left out, so a
@@ -186,8 +186,8 @@ def linked(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
         many = written(keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "many")
         members = written(keyed.join(many, "key"), "unjoined")
         members = written(members.join(_open_groups(members), "key"), "members")
-        named = members.select("node").distinct()
-        sets = written(sets_of(named).join(nodes.select("node", "words"), "node"), "sets")
+        named = nodes.select("node", "words").join(members.select("node").distinct(), "node")
+        sets = written(sets_of(named), "sets")
         parts = F.ceil(F.col("total") / ROOM).cast("int")
         own = F.pmod(F.xxhash64("node"), parts).cast("int")
         whole = members.withColumn("part", F.explode(F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own)))).withColumn("other", F.lit(0))
