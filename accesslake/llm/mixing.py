@@ -72,12 +72,14 @@ def learn_domains(labelled: DataFrame, names: list[str], domain_col: str = "doma
 def labelled_rows(docs: DataFrame, ids: DataFrame, domain_col: str, max_rows: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``domain, text`` of the documents that ``ids`` names, of at most ``max_rows`` of those, the first by a hash of the id.
 
-    So the names fit a broadcast of known size and no text is shuffled to learn the domains.
+    So the names fit a broadcast of known size and no text is shuffled to learn the domains. Null ids and ids without a
+    document name nothing; repeated rows all count; null domains and texts stay as they are; an empty table gives no
+    rows; columns of any other name are not read.
     """
     names = ids.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
     names = written(names.orderBy(F.xxhash64("_id"), "_id").limit(max_rows), "labelled-ids")
-    rows = docs.join(F.broadcast(names), F.col(id_col) == F.col("_id"), "left_semi")
-    return rows.select(F.col(domain_col).cast("string").alias("domain"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("of"), F.col(domain_col).cast("string").alias("domain"), F.col(text_col).alias("text"))
+    return rows.join(F.broadcast(names), F.col("of") == F.col("_id"), "left_semi").select("domain", "text")
 
 
 def memberships(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,62 +120,67 @@ class Rates:
 
 
 def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, floor: float = 0.0, rounds: int = 200, tolerance: float = 1e-6) -> Rates:
-    """Rates of at least ``floor`` whose expected domain tokens come to ``weights`` of ``total``, the nearest such to 1.
+    """Rates of at least ``floor`` whose expected domain tokens come to ``weights`` of ``total``: least squares by projected gradient.
 
-    A document's rate is ``max(floor, 1 - p . step)``; the step is the minimum of a smooth convex function (the dual of
-    the least change, by tokens) whose gradient is the gap between ``sum(rate * tokens * p)`` and the targets and whose
-    curvature is the Gram matrix of the documents not at the floor. Newton steps, cut back where the function doesn't
-    fall, end when the gap is ``tolerance`` of ``total``. A slight pull to 0 lets them end near the least gap if no rates meet the
-    targets; then ``met`` is false and a warning gives the gap, as it is if ``rounds`` don't suffice.
+    What is least is half the squared gap between ``sum(rate * tokens * p)`` and the targets. A document's gradient, by
+    tokens, is ``p . gap``, so gradients of all rounds add up to one step for all documents, and a rate is the projection
+    of the way so far, ``max(floor, 1 - p . step)``. As the sum is what is projected, the rates tend to those nearest to 1
+    that meet the targets. Step lengths follow Barzilai and Borwein's two rules in turn, are never below the reciprocal
+    of the Gram matrix's largest eigenvalue, and are cut to it by quarters while the gap exceeds the largest of the last ten.
+
+    It ends when the gap is ``tolerance`` of ``total``, or when a step of the shortest length moves the gap by less than a
+    thousandth of that: the projected gradient is nil and the targets are out of reach. Then, or if ``rounds`` don't
+    suffice, ``met`` is false and a warning gives the gap.
 
     Every round is one distributed sum of a few numbers over all documents; rates are never stored, as they follow from
     the step. ``total`` is by default the tokens at hand. With a floor of 1 or more it is free instead, as soft documents
-    can't add to one domain alone: the rates meet the shares at whatever total changes least.
+    can't add to one domain alone: the gap is then that to the shares of whatever total the rates come to.
     """
     n, share = len(weights), np.array(weights, dtype=float) / sum(weights)
     start = max(floor, 1.0)
     p = [F.get("p", F.lit(i)) * F.lit(1.0) for i in range(n)]
     tokens = F.col("tokens").cast("double")
 
-    def at(step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        rising = F.lit(start) - sum((x * F.lit(float(s)) for x, s in zip(p, step)), F.lit(0.0))
-        above = rising >= F.lit(floor)
-        rate = F.when(above, rising).otherwise(F.lit(floor))
-        height = F.when(above, rising * rising / 2).otherwise(rising * F.lit(floor) - F.lit(floor * floor / 2))
-        sums = [F.sum(tokens * rate * x).alias(f"s{i}") for i, x in enumerate(p)]
-        pairs = [F.sum(F.when(above, tokens * p[i] * p[j])).alias(f"g{i}_{j}") for i in range(n) for j in range(i + 1)]
-        row = members.agg(*sums, *pairs, F.sum(tokens * height).alias("height")).first()
-        gram = np.array([[row[f"g{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
-        return np.array([row[f"s{i}"] or 0.0 for i in range(n)]), gram, row["height"] or 0.0
-
-    step = np.zeros(n)
-    got, gram, height = at(step)
+    def at(step: np.ndarray) -> np.ndarray:
+        rate = F.greatest(F.lit(floor), F.lit(start) - sum((x * F.lit(float(s)) for x, s in zip(p, step)), F.lit(0.0)))
+        row = members.agg(*(F.sum(tokens * rate * x).alias(f"s{i}") for i, x in enumerate(p))).first()
+        return np.array([row[f"s{i}"] or 0.0 for i in range(n)])
+
+    row = members.agg(*(F.sum(tokens * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i + 1))).first()
+    gram = np.array([[row[f"g{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
     free = total is None and floor >= 1
+    off = np.eye(n) - np.outer(share, np.ones(n)) if free else np.eye(n)  # a free total: what is off the shares
+    steepest = float(np.linalg.eigvalsh(off @ gram @ off.T)[-1])
+    step, got = np.zeros(n), at(np.zeros(n))
     total = float(got.sum()) if total is None else total
-    basis = np.linalg.svd(share[None])[2][1:].T if free else np.eye(n)  # a free total: steps across the shares only
-    pull = 1e-8 * np.trace(gram) / n
-    move, scale, slope = None, 1.0, 0.0
-    for turn in range(rounds + 1):
-        total = float(got.sum()) if free else total
-        wanted = share * total
-        gap = got - wanted
-        left = basis.T @ (gap - pull * step)
-        if not total or np.abs(gap).max() <= tolerance * total or np.abs(left).max(initial=0.0) <= 0.1 * tolerance * total or turn == rounds:
+    wanted = share * total
+    gap = off @ got if free else got - wanted
+    shortest = 1 / steepest if steepest > 0 else 0.0
+    length, heights, turn = shortest, [float(gap @ gap)], 0
+    for _ in range(rounds):
+        if not total or not shortest or np.abs(gap).max() <= tolerance * total:
             break
-        if move is None:
-            move, scale = basis @ np.linalg.lstsq(basis.T @ gram @ basis + pull * np.eye(basis.shape[1]), left, rcond=None)[0], 1.0
-            slope = float(left @ (basis.T @ move))
-        tried = step + scale * move
-        new_got, new_gram, new_height = at(tried)
-        fall = height - new_height + float(wanted @ (step - tried)) + pull / 2 * float(step @ step - tried @ tried)
-        if fall >= 1e-4 * scale * slope or np.abs(basis.T @ (new_got - wanted - pull * tried)).max() < 0.5 * np.abs(left).max():
-            step, got, gram, height, move = tried, new_got, new_gram, new_height, None
-        else:
-            scale /= 4
-    gap = float(np.abs(got - wanted).max())
-    rates = Rates(floor, [step.tolist()] if step.any() else [], got.tolist(), wanted.tolist(), gap <= tolerance * total)
+        slope = off.T @ gap
+        tried = step + length * slope
+        new = at(tried)
+        new_gap = off @ new if free else new - wanted
+        if float(new_gap @ new_gap) > (1 - 1e-4) * max(heights[-10:]) and length > shortest:
+            length = max(length / 4, shortest)
+            continue
+        fall = off.T @ (gap - new_gap)
+        along, still = length * float(slope @ fall), np.abs(new_gap - gap).max() <= 1e-3 * tolerance * total and length == shortest
+        wish = length * length * float(slope @ slope) / along if along > 0 and turn % 2 == 0 else along / max(float(fall @ fall), 1e-300)
+        step, got, gap, length, turn = tried, new, new_gap, min(max(wish, shortest), 1e6 * shortest), turn + 1
+        heights.append(float(gap @ gap))
+        if free:
+            total = float(got.sum())
+            wanted = share * total
+        if still:
+            break
+    left = float(np.abs(got - wanted).max())
+    rates = Rates(floor, [step.tolist()] if step.any() else [], got.tolist(), wanted.tolist(), left <= tolerance * total)
     if not rates.met:
-        warnings.warn(f"rates miss the targets by up to {gap / total:.2g} of all tokens", stacklevel=2)
+        warnings.warn(f"rates miss the targets by up to {left / total:.2g} of all tokens", stacklevel=2)
     return rates
 
 
@@ -191,7 +198,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], floor:
 
 
 def resample(docs: DataFrame, model: Domains, rates: Rates, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each row as many times as its rate says: the whole part, and once more by a hash of its id and text."""
+    """``docs`` with each row as many times as its rate says: the whole part, and once more by a hash of its id and text.
+
+    Null text is empty and null ids are hashed as such; repeated rows fall alike; texts are read whole, one at a time;
+    an empty table gives no rows; all columns stay, whatever their names.
+    """
     names, fields = docs.columns, docs.schema
 
     def run(batches):

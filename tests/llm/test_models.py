@@ -131,6 +131,28 @@ def test_targets_are_met_where_the_floor_binds(llm, sharpness, floor, weights):
     assert min(rates.of(np.array(p)) for _, p in rows) == floor
 
 
+def by_projected_gradient(rows, weights, floor, rounds=20000):
+    """Plain projected gradient of least squares: the gradients' sum is projected, every step is as short as the safe one."""
+    tokens, p = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])
+    off = np.eye(p.shape[1])
+    if floor >= 1:
+        off = off - np.outer(np.array(weights) / sum(weights), np.ones(len(off)))
+    goal = np.zeros(len(off)) if floor >= 1 else np.array(weights) / sum(weights) * tokens.sum()
+    length, way = 1 / np.linalg.eigvalsh(off @ ((p * tokens[:, None]).T @ p) @ off.T)[-1], np.zeros(len(off))
+    for _ in range(rounds):
+        rate = np.maximum(floor, max(floor, 1.0) - p @ way)
+        way += length * (off.T @ (off @ ((tokens * rate) @ p) - goal))
+    return rate
+
+
+@pytest.mark.parametrize("floor,weights", [(0.0, [10, 30, 30, 30]), (0.0, [25, 25, 25, 25]), (1.0, [55, 15, 15, 15])])
+def test_rates_as_by_plain_projected_gradient(llm, floor, weights):
+    rows = skewed(4)
+    rates = fit_rates(llm.createDataFrame(rows, "tokens long, p array<double>").coalesce(1).cache(), weights, floor=floor)
+    expected = by_projected_gradient(rows, weights, floor)
+    assert [rates.of(np.array(p)) for _, p in rows] == pytest.approx(expected, abs=2e-3)
+
+
 def test_targets_out_of_reach_are_reported(llm):
     members = llm.createDataFrame([(10, [0.9, 0.1]), (20, [0.6, 0.4])], "tokens long, p array<double>").coalesce(1).cache()
     with pytest.warns(UserWarning, match="miss the targets"):
@@ -275,6 +297,14 @@ def test_deep_paths_and_odd_addresses(llm):
     assert deep.template == "/a/b/" + "/".join("cdefghijkl")
 
 
+def test_labelled_rows_with_clashing_names(llm):
+    from accesslake.llm.mixing import labelled_rows
+
+    docs = llm.createDataFrame([(1, "a", "x", 7, 8), (1, "a", "x", 7, 8), (None, "b", "y", 7, 8), (3, None, None, 7, 8)], "doc_id long, domain string, text string, _id int, `of` int")
+    ids = llm.createDataFrame([(1,), (3,), (None,), (9,)], "doc_id long")
+    assert sorted(map(tuple, labelled_rows(docs, ids, "domain").collect()), key=str) == [("a", "x"), ("a", "x"), (None, None)]
+
+
 def test_labelled_rows_are_bounded(llm):
     from accesslake.llm.mixing import labelled_rows
 
