@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesslake.llm.common import partitions, written
+from accesslake.llm.common import partitions, unused_name, written
 
 #: Bytes of one suffix array; a key's text beyond that is put into several, merged by binary search.
 SHARD = 1 << 20
@@ -323,7 +323,7 @@ def _repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[
 
     runs = written(rows.mapInArrow(keys, "doc_id long, text_hash long, key long, first long, n long, inner boolean"), "runs")
     often = runs.groupBy("key").agg(F.count("*").alias("times"), F.max("inner").alias("inner")).where("times > 1 or inner").select("key")
-    chosen = runs.join(often, "key", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "first", "n")).alias("runs"))
+    chosen = runs.join(often, "key", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("key", "first", "n")).alias("runs"))  # a set: repeated rows give their runs once
     texts = written(rows.join(_renamed(chosen), _same()).select("doc_id", "text_hash", "text", "runs"), "texts")
 
     def cut(batches):
@@ -357,7 +357,7 @@ def _repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[
     single = single.select("c1", "c2", "froms", F.transform("froms", lambda x: x + 1).alias("tos"))
     found = written(found.unionByName(single), "repeats")
     hits = named(places).select("doc_id", "text_hash", "first", "c1", "c2").join(found, ["c1", "c2"])
-    pieces = hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "froms", "tos")).alias("pieces"))
+    pieces = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "froms", "tos")).alias("pieces"))  # a set, for repeated rows
 
     def join(batches):
         for batch in batches:
@@ -387,7 +387,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
 
 def cut_texts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, n_removed, n_spans, kept`` (bytes) of each text that loses something, given once."""
+    """``doc_id, text_hash, n_removed, n_spans, kept`` (bytes) of each text that loses something, given once.
+
+    Rows, nulls and lengths as in ``repeated_spans``; a text that is lost whole has no bytes in ``kept``.
+    """
     spans, texts = _repeats(docs, length, id_col, text_col)
     joined = texts.select("doc_id", "text_hash", "text").join(_renamed(spans), _same()).select("doc_id", "text_hash", "text", "spans")
 
@@ -419,10 +422,16 @@ def without(data: bytes, spans: list[dict], whole_characters: bool = False) -> b
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated spans taken out of the text; all rows and columns stay, and so do characters cut in two."""
-    spans = _renamed(repeated_spans(docs, length, id_col, text_col))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    joined = docs.join(spans, same, "left").select(*(F.col(c) for c in docs.columns), F.col("spans").alias("_spans"))
+    """``docs`` with the repeated spans taken out of the text; all rows and columns stay, and so do characters cut in two.
+
+    Null texts stay null, shorter ones as they are; rows with null ids are cut as any other; repeated rows repeat each
+    other and lose all of a text that is long enough; columns may have any names; an empty table gives no rows.
+    """
+    spans = repeated_spans(docs, length, id_col, text_col).select("doc_id", "text_hash", F.col("spans").alias(unused_name(docs, "spans"))).alias("found")
+    rows = docs.alias("rows")
+    of, text = F.col(f"rows.`{id_col}`"), F.col(f"rows.`{text_col}`")
+    same = of.cast("long").eqNullSafe(F.col("found.doc_id")) & (F.xxhash64(text) == F.col("found.text_hash"))
+    joined = rows.join(spans, same, "left").select(*(F.col(f"rows.`{c}`") for c in docs.columns), spans.columns[-1])
     at, fields = docs.columns.index(text_col), docs.schema
 
     def run(batches):

@@ -267,3 +267,21 @@ def test_cut_texts_and_whole_characters(llm):
         assert hashlib.sha256(without(data, [{"from": a, "to": b} for a, b in spans])).digest() == hashlib.sha256(bytes(cut[doc].kept)).digest()
     left = {r.doc_id: r.text for r in remove_repeats(docs, 60).collect()}
     assert left[3] == "alone" and left[None] is None and left[1].endswith("è") and len(left[1]) <= 3
+
+
+def test_repeats_leave_when_names_clash(llm, empty):
+    passage = "0123456789" * 12
+    rows = [(1, f"a{passage}b", 1, 2, "s", "f"), (None, f"c{passage}d", 1, 2, "s", "f"), (3, None, 1, 2, "s", "f"), (4, "", 1, 2, None, None)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, _id int, _hash int, spans string, text_hash string")
+    out = remove_repeats(docs, 60)
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, [r.__class__(**{**r.asDict(), "text": {1: "ab", None: "cd", 3: None, 4: ""}[r.doc_id]}) for r in docs.collect()]))
+    assert remove_repeats(empty, 60).collect() == []
+
+
+def test_many_rows_of_one_id_and_text(llm):
+    """Every row counts for what repeats; the runs of equal rows are held once."""
+    text = "".join(random.Random(8).choice("abcdef") for _ in range(500))
+    rows = [(1, text)] * 300 + [(2, "z" * 90), (3, text[100:250] + "!"), (None, text)]
+    check_spans(llm.createDataFrame(rows, "doc_id long, text string"), 60)
+    assert [(r.doc_id, r.n_removed) for r in cut_texts(llm.createDataFrame(rows[:301], "doc_id long, text string"), 60).orderBy("doc_id").collect()] == [(1, 500), (2, 90)]
