@@ -64,22 +64,57 @@ def unreadable_networks(networks: DataFrame) -> DataFrame:
     return networks.where(network_blocks(F.col("network")).isNull())
 
 
+#: Rows that may meet one block in one task; the rows of a busier block are dealt to several.
+ROWS_A_BLOCK = 10_000
+
+
+def outermost(blocks: DataFrame, lengths: list[int]) -> DataFrame:
+    """The blocks (_group, _length, _prefix) that lie in no other block of their group; what a group covers stays the same."""
+    wider = F.filter(
+        F.array(*[F.struct(F.lit(n).alias("length"), F.call_function("shiftright", F.col("_prefix"), F.col("_length") - n).alias("prefix")) for n in lengths]),
+        lambda block: block["length"] < F.col("_length"),
+    )
+    around = blocks.select("*", F.explode(wider).alias("_in"))
+    held = blocks.select(*[F.col(c).alias(f"_held{c}") for c in blocks.columns])
+    at = (F.col("_in.length") == F.col("_held_length")) & (F.col("_in.prefix") == F.col("_held_prefix")) & F.col("_group").eqNullSafe(F.col("_held_group"))
+    inner = around.join(held, at, "left_semi").select(*[F.col(c).alias(f"_inner{c}") for c in blocks.columns])
+    same = (F.col("_length") == F.col("_inner_length")) & (F.col("_prefix") == F.col("_inner_prefix")) & F.col("_group").eqNullSafe(F.col("_inner_group"))
+    return blocks.join(inner, same, "left_anti")
+
+
 def match_networks(rows: DataFrame, address: str, networks: DataFrame) -> DataFrame:
-    """``rows`` with the ``group`` of every network the address lies in; one row per group hit.
+    """The different ``rows`` with the ``group`` of every network the address lies in; one row per group hit.
 
     ``networks`` has (group, network) with the network as ``*``, an address, ``a.b.c.d/length`` or a range ``a-b``; a range
     becomes the fewest networks that cover it. An address is looked up by its leading bits, once per prefix length that
     occurs (33 at most), so the join is one of equality however many networks there are. Texts that are none of these
     match nothing; ``unreadable_networks`` lists them. An address that is none lies in no network, ``*`` included.
+
+    A group's blocks are made disjoint first, so an address meets a group once and the hits, which may be far more than the
+    rows, need no distinct. A block that more than ``ROWS_A_BLOCK`` rows lie in (``*``, a short prefix, a frequent address)
+    is repeated, and its rows are dealt over the copies. The looked-up rows are never broadcast: Spark takes them for as
+    small as the table they come from.
     """
-    blocks = networks.select("group", F.explode(network_blocks(F.col("network"))).alias("_block"))
-    table = blocks.select("group", "_block.length", "_block.prefix").distinct()
-    lengths = sorted(r["length"] for r in table.select("length").distinct().collect())
+    blocks = networks.select(F.col("group").alias("_group"), F.explode(network_blocks(F.col("network"))).alias("_block"))
+    blocks = blocks.select("_group", F.col("_block.length").alias("_length"), F.col("_block.prefix").alias("_prefix")).distinct()
+    lengths = sorted(r["_length"] for r in blocks.select("_length").distinct().collect())
+    table = outermost(blocks, lengths) if len(lengths) > 1 else blocks
     number = ip_to_long(F.col(address))
-    known = rows.where(number.isNotNull())
-    asked = known.withColumn("_at", F.explode(networks_of(F.col(address), lengths) if lengths else F.array().cast("array<struct<length:int,prefix:bigint>>")))
-    hit = (F.col("_at.length") == F.col("length")) & (F.col("_at.prefix") == F.col("prefix"))
-    return asked.join(table, hit).select(*rows.columns, "group").distinct()
+    known = rows.where(number.isNotNull()).distinct()
+    places = F.explode(networks_of(F.col(address), lengths) if lengths else F.array().cast("array<struct<length:int,prefix:bigint>>")).alias("_at")
+
+    per_address = known.groupBy(F.col(address)).agg(F.count("*").alias("_n")).select("_n", places)
+    seen = per_address.groupBy(F.col("_at.length").alias("_l"), F.col("_at.prefix").alias("_p")).agg(F.sum("_n").alias("_n"))
+    # Only blocks of the table count, and a thousandth of their rows is never less than a share: 1,000 busy ones at most.
+    met = seen.join(table.select(F.col("_length").alias("_l"), F.col("_prefix").alias("_p")).distinct().hint("merge"), ["_l", "_p"], "left_semi")
+    share = F.greatest(F.lit(ROWS_A_BLOCK).cast("double"), met.select(F.sum("_n")).scalar() / 1000)
+    busy = met.withColumn("_ways", F.ceil(F.col("_n") / share).cast("int")).where("_ways > 1").drop("_n")
+    dealt = table.join(F.broadcast(busy), (F.col("_length") == F.col("_l")) & (F.col("_prefix") == F.col("_p")), "left")
+    dealt = dealt.select("_group", "_length", "_prefix", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1)).alias("_part"))
+    asked = known.select("*", places).join(F.broadcast(busy), (F.col("_at.length") == F.col("_l")) & (F.col("_at.prefix") == F.col("_p")), "left")
+    asked = asked.withColumn("_salt", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.coalesce("_ways", F.lit(1))).cast("int"))
+    hit = (F.col("_at.length") == F.col("_length")) & (F.col("_at.prefix") == F.col("_prefix")) & (F.col("_salt") == F.col("_part"))
+    return asked.join(dealt.hint("merge"), hit).select(*(F.col(f"`{c}`") for c in rows.columns), F.col("_group").alias("group"))
 
 
 HALF_HOURS = 48

@@ -32,6 +32,21 @@ def test_groups_by_every_kind_of_network(spark):
     assert {r.group for r in rule_tables.unreadable_networks(groups).collect()} == {4, 5, 6, 7, 9}
 
 
+def test_hits_are_not_made_distinct_and_busy_blocks_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(rule_tables, "ROWS_A_BLOCK", 3)
+    specs = [(g, "*") for g in (1, 2, None)] + [(1, "10.0.0.0/8"), (1, "10.0.0.3"), (3, "10.0.0.0/30"), (3, "10.0.0.1-10.0.0.6"), (3, "10.0.0.2"), (None, "10.0.0.4"), (4, "10.0.0.5"), (4, "10.0.0.5")]
+    groups = spark.createDataFrame(specs, "group int, network string")
+    ids = [(i, f"10.0.0.{i % 8}") for i in range(40)] + [(3, "10.0.0.3"), (None, "10.0.0.5"), (77, None)]
+    hits = rule_tables.match_networks(spark.createDataFrame(ids, "id int, address string"), "address", groups)
+    held = {1: range(8), 2: range(8), None: range(8), 3: range(7), 4: [5]}
+    want = [(i, a, g) for i, a in set(ids) if a for g, last in held.items() if int(a[-1]) in last]
+    assert sorted(map(str, (tuple(r) for r in hits.collect()))) == sorted(map(str, want))
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Join Inner")]
+    assert "Aggregate" not in top  # a distinct would move every hit
+    assert "rightHint=(strategy=merge)" in plan  # the looked-up rows are not broadcast
+
+
 def test_login_rules_as_rows_agree_with_compiled_rules(spark):
     rng = random.Random(6)
     compiled, users, networks, periods, table = [], [], [], [], []
