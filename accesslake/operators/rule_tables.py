@@ -7,11 +7,13 @@ The caller chooses between the two.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesslake.functions.network import ip_to_long
+from accesslake.functions.values import all_of
 
 
 def networks_of(address: Column, lengths: list[int]) -> Column:
@@ -191,6 +193,10 @@ def login_acl_table(logins: DataFrame, user: str, address: str, ts: str, rules:
     return logins.join(won, at, "left").select(*logins.columns, "_won.rule", "_won.priority", "_won.action")
 
 
+#: A rule whose columns have more combinations of values than this many times its values (1 at least) is not spelled out.
+MOST_SPELLED = 16
+
+
 def evaluate_table(events: DataFrame, event_id: str, rules: DataFrame, scopes: dict[str, DataFrame]) -> DataFrame:
     """Adds the winning ``rule``, its ``priority`` and its ``action`` to every event; nulls where none matches.
 
@@ -198,26 +204,43 @@ def evaluate_table(events: DataFrame, event_id: str, rules: DataFrame, scopes: d
     rows there needs the event's value among them, a rule without is not restricted by that column. The lowest priority
     wins, then the smallest rule. ``event_id`` is unique.
 
-    A restricted rule meets only the events that have one of its values in the first column that restricts it; the other
-    columns are then tested by one equality join each. Rules that nothing restricts are reduced to the best one first.
+    Events and rules are never paired. For each choice of restricting columns the rules are reduced to the best one a
+    combination of values, which an event meets by one equality join; work grows with the rows of the scopes plus the
+    events. A rule with many values in several columns (see ``MOST_SPELLED``) is not spelled out: it meets the different
+    combinations that occur among the events, by its first column, and its other columns are tested by one equality join
+    each. Rules that nothing restricts are reduced to the best one first.
     """
     names = list(scopes)
     values = {n: scopes[n].select("rule", F.col("value").alias(f"_{n}")).where(F.col(f"_{n}").isNotNull()).distinct() for n in names}
     flagged = rules.select("rule", "priority", "action")
     for n in names:
-        limited = scopes[n].select("rule", F.lit(True).alias(f"_by_{n}")).distinct()
-        flagged = flagged.join(limited, "rule", "left").withColumn(f"_by_{n}", F.coalesce(f"_by_{n}", F.lit(False)))
+        flagged = flagged.join(scopes[n].groupBy("rule").agg(F.count("value").cast("double").alias(f"_size_{n}")), "rule", "left")
+    by = {n: F.col(f"_size_{n}").isNotNull() for n in names}
+    spelled = reduce(Column.__mul__, [F.coalesce(f"_size_{n}", F.lit(1.0)) for n in names], F.lit(1.0))
+    written = reduce(Column.__add__, [F.coalesce(f"_size_{n}", F.lit(0.0)) for n in names], F.lit(0.0))
+    wide = spelled > MOST_SPELLED * written
+
+    def only(chosen):
+        return reduce(Column.__and__, [by[n] if n in chosen else ~by[n] for n in names], F.lit(True))
+
     best = F.min(F.struct("priority", "rule", "action"))
-    bare = reduce(Column.__and__, [~F.col(f"_by_{n}") for n in names], F.lit(True))
     asked, found = events.select(event_id, *names), []
-    for i, n in enumerate(names):
-        first = reduce(Column.__and__, [~F.col(f"_by_{m}") for m in names[:i]], F.col(f"_by_{n}"))
-        hits = asked.join(values[n], F.col(n) == F.col(f"_{n}")).drop(f"_{n}").join(flagged.where(first), "rule")
+    for chosen in (c for k in range(len(names)) for c in combinations(names, k + 1)):
+        mine = flagged.where(only(chosen) & ~wide).select("rule", "priority", "action")
+        for n in chosen:
+            mine = mine.join(values[n], "rule")
+        per_value = mine.groupBy(*[f"_{n}" for n in chosen]).agg(best.alias("_best"))
+        found.append(asked.join(per_value, all_of([F.col(n) == F.col(f"_{n}") for n in chosen])).select(event_id, "_best"))
+    for i, n in enumerate(names[:-1]):
+        first = reduce(Column.__and__, [~by[m] for m in names[:i]], by[n])
+        mine = values[n].join(flagged.where(first & wide), "rule")
+        hits = events.select(*names).distinct().join(mine, F.col(n) == F.col(f"_{n}")).drop(f"_{n}")
         for m in names[i + 1 :]:
             tested = values[m].select(F.col("rule").alias("_rule"), f"_{m}")
-            hits = hits.join(tested, (F.col("rule") == F.col("_rule")) & (F.col(m) == F.col(f"_{m}")), "left").where(~F.col(f"_by_{m}") | F.col("_rule").isNotNull()).drop("_rule", f"_{m}")
-        found.append(hits.groupBy(event_id).agg(best.alias("_best")))
-    free = flagged.where(bare).agg(best).scalar()
+            hits = hits.join(tested, (F.col("rule") == F.col("_rule")) & (F.col(m) == F.col(f"_{m}")), "left").where(~by[m] | F.col("_rule").isNotNull()).drop("_rule", f"_{m}")
+        per_value = hits.groupBy(*[F.col(m).alias(f"_{m}") for m in names]).agg(best.alias("_best"))
+        found.append(asked.join(per_value, all_of([F.col(m).eqNullSafe(F.col(f"_{m}")) for m in names])).select(event_id, "_best"))
+    free = flagged.where(only(())).agg(best).scalar()
     if not found:
         return events.withColumn("_won", free).select(*events.columns, "_won.rule", "_won.priority", "_won.action")
     won = reduce(DataFrame.union, found).groupBy(event_id).agg(F.min("_best").alias("_best"))

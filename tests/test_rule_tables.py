@@ -79,6 +79,58 @@ def test_login_rules_as_rows_agree_with_compiled_rules(spark):
     assert rule_tables.login_acl_table(logins.limit(0), "user_id", "ip", "ts", *tables).collect() == []
 
 
+def most_rows(spark, df):
+    """The result's rows and the most rows that one operator of its plan gave out."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows, todo, most = df.collect(), [df._jdf.queryExecution().executedPlan()], 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    while todo:
+        node = todo.pop()
+        counted = node.metrics().get("numOutputRows")
+        most = max(most, counted.get().value() if counted.isDefined() else 0)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows, most
+
+
+def test_events_and_rules_are_not_paired(spark):
+    numbers = spark.range(300)
+    table = numbers.select(F.col("id").alias("rule"), (F.col("id") % 7).cast("int").alias("priority"), F.lit("deny").alias("action"))
+    users = numbers.select(F.col("id").alias("rule"), F.lit(1).alias("value"))
+    kinds = numbers.select(F.col("id").alias("rule"), F.concat(F.lit("k"), F.col("id") % 5).alias("value")).where("rule % 7 > 1")
+    events = numbers.select("id", F.lit(1).alias("user"), F.concat(F.lit("k"), F.col("id") % 6).alias("kind"))
+    rows, most = most_rows(spark, rule_tables.evaluate_table(events, "id", table, {"user": users, "kind": kinds}))
+    assert {(r.id, r.priority, r.rule) for r in rows} == {(i, 0, 0) for i in range(300)}
+    assert most <= 900
+
+
+@pytest.mark.parametrize("spelled", [1, 2, 16])
+def test_rules_with_many_values_agree_with_brute_force(spark, monkeypatch, spelled):
+    monkeypatch.setattr(rule_tables, "MOST_SPELLED", spelled)
+    rng, names = random.Random(spelled), ["a", "b", "c"]
+    table = [(i if i < 40 else None, rng.randrange(9), rng.choice("xy")) for i in range(41)] + [(3, 1, "z")]
+    scopes = {n: [(i, v) for i in range(40) if rng.random() < 0.6 for v in rng.sample([0, 1, 2, 3, 4, 5, None], rng.randrange(1, 6))] for n in names}
+    rows = [(i % 190, *(rng.choice([0, 1, 2, 3, 4, 5, 6, None]) for _ in names)) for i in range(200)] + [(None, 1, 1, 1)]
+
+    def fits(rule, event):
+        held = [({v for r, v in scopes[n] if r == rule and rule is not None}, any(r == rule for r, _ in scopes[n])) for n in names]
+        return all(not limited or (x is not None and x in some) for x, (some, limited) in zip(event, held))
+
+    def won(number):
+        mine = [e[1:] for e in rows if e[0] == number] if number is not None else []
+        free = [r for r in table if all(r[0] is None or r[0] not in {i for i, _ in scopes[n]} for n in names)]
+        known = [r for r in table if r[0] is not None and any(fits(r[0], e) for e in mine)] + free
+        return min((p, -1 if r is None else r, a) for r, p, a in known) if known else (None, -1, None)
+
+    events = spark.createDataFrame(rows, "id int, a int, b int, c int")
+    frames = {n: spark.createDataFrame(scopes[n], "rule int, value int") for n in names}
+    got = rule_tables.evaluate_table(events, "id", spark.createDataFrame(table, "rule int, priority int, action string"), frames).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.priority, -1 if r.rule is None else r.rule, r.action) == won(r.id)
+
+
 def test_half_hours(spark):
     df = spark.createDataFrame([(1, 0, "00:00", "00:30"), (1, 6, "23:30", "00:00"), (2, 3, "08:10", "09:20"), (3, 1, "x", "09:00"), (4, 2, "10:00", "09:00")], "rule int, weekday int, begin string, finish string")
     got = {r.rule: list(r.weeks) for r in rule_tables.week_bitmaps(df).collect()}
