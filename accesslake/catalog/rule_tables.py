@@ -70,7 +70,7 @@ def command_filter_table(t):
     """Command groups as rows, one a conversation: its first words of four letters or more as commands, or as a regular expression."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))
     named = t.conversations.where("turn = 0").select(F.col("conv_id").alias("group"), words.alias("words")).where(F.size("words") > 1)
-    one, two, wild = F.col("words")[0], F.col("words")[1], F.col("group") % 3 == 2
+    one, two, wild = F.get("words", F.lit(0)), F.get("words", F.lit(1)), F.col("group") % 3 == 2  # a test may be made before the size is
     content = F.when(wild, F.concat(one, F.lit(".*"), two)).otherwise(F.concat(one, F.lit("\r\n"), two, F.lit("-x\n \n")))
     groups = named.select("group", F.when(wild, "regex").otherwise("command").alias("type"), content.alias("content"), (F.col("group") % 2 == 0).alias("ignore_case"))
     hits = patterns.match_command_table(a.command_log(t.conversations), ["session", "turn"], "input", groups)

@@ -21,10 +21,9 @@ def normalized(text: Column) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    """The different pieces of a text that hold more than spaces."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (PIECE - 1), F.lit(1)))
-    cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(PIECE)))
-    return F.filter(F.array_distinct(cut), lambda x: (F.length(x) == PIECE) & (F.trim(x) != ""))
+    """The different pieces of a text that hold more than spaces, found in one pass over it."""
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{PIECE}}}))"), F.lit(1))
+    return F.filter(F.array_distinct(cut), lambda x: F.trim(x) != "")
 
 
 def patterns_of(groups: DataFrame) -> DataFrame:
@@ -47,30 +46,39 @@ def patterns_of(groups: DataFrame) -> DataFrame:
     return commands.union(wild.select("group", F.concat(fold, "content").alias("regex"), plain.alias("certain")))
 
 
+#: A piece's commands and patterns are dealt over this many tasks.
+SPREAD = 32
+
+
 def match_command_table(commands: DataFrame, keys: list[str], text: str, groups: DataFrame) -> DataFrame:
     """``commands`` with the ``group`` of every group that hits ``text``, one row per command and group.
 
     ``keys`` tell commands apart. The rarest piece of each pattern is counted over all commands; a command meets only the patterns
     whose piece it has, so work grows with the commands' length and the hits of rare pieces, not with commands
-    times patterns. Patterns without a certain piece may be ``MOST_LOOSE`` at most (an error otherwise).
+    times patterns. Only a digest of the command goes with its pieces: its text is cut once and joined once to the patterns it
+    has to be verified against. Patterns without a certain piece may be ``MOST_LOOSE`` at most (an error otherwise).
     """
     patterns = patterns_of(groups).distinct().withColumn("pieces", pieces(F.col("certain")))
     wanted = patterns.select(F.explode("pieces").alias("piece")).distinct()
-    asked = commands.where(F.col(text).isNotNull())
-    seen = asked.select(F.explode(pieces(normalized(F.col(text)))).alias("piece")).join(wanted, "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
-    sized = patterns.select("group", "regex", F.explode("pieces").alias("piece")).join(seen, "piece", "left")
-    rarest = sized.groupBy("group", "regex").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("least"))
-    index = rarest.where("least.n > 0").select("group", F.col("regex").alias("_regex"), F.col("least.piece").alias("_piece"))
-    row = F.struct(*(F.col(f"`{c}`") for c in commands.columns))
-    cut = asked.select(row.alias("_row"), F.explode(pieces(normalized(F.col(text)))).alias("_piece"))
-    met = cut.join(index, "_piece").where(F.expr(f"_row.`{text}` rlike _regex")).select("_row", "group")
+    columns = [F.col(f"`{c}`") for c in commands.columns]
+    # Rows of equal digest, if they ever differ, are verified against each other's patterns too: no hit is lost or made up.
+    asked = commands.where(F.col(text).isNotNull()).distinct().withColumn("_digest", F.xxhash64(*columns))
+    cut = asked.select("_digest", F.explode(pieces(normalized(F.col(text)))).alias("_piece"))
+    seen = cut.join(wanted, F.col("_piece") == F.col("piece"), "left_semi").groupBy("_piece").agg(F.count("*").alias("n"))
+    sized = patterns.select("group", "regex", F.explode("pieces").alias("_piece")).join(seen, "_piece", "left")
+    rarest = sized.groupBy("group", "regex").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("_piece").alias("piece"))).alias("least"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part")
+    index = rarest.where("least.n > 0").select(F.col("group").alias("_group"), F.col("regex").alias("_regex"), F.col("least.piece").alias("_piece"), copies)
+    dealt = cut.withColumn("_part", F.pmod("_digest", F.lit(SPREAD)).cast("int"))
+    # Neither side may be broadcast: Spark takes pieces and tries for as small as the tables they come from.
+    tried = dealt.join(index.hint("merge"), ["_piece", "_part"]).select("_digest", "_group", "_regex")
+    met = asked.join(tried.hint("merge"), "_digest").where(F.rlike(F.col(text), F.col("_regex"))).select(*columns, "_group")
     loose = patterns.where(F.size("pieces") == 0).select("group", "regex").limit(MOST_LOOSE + 1).collect()
     if len(loose) > MOST_LOOSE:
         raise ValueError(f"more than {MOST_LOOSE} patterns without a certain piece of {PIECE} letters")
     if loose:
-        kind = index.schema["group"].dataType
+        kind = patterns.schema["group"].dataType
         hits = F.array_compact(F.array(*(F.when(F.col(text).rlike(p["regex"]), F.lit(p["group"]).cast(kind)) for p in loose)))
-        met = met.union(asked.select(row.alias("_row"), F.explode(hits).alias("group")))
-    named = met.select(*(F.col(f"_row.`{k}`").alias(f"_key_{i}") for i, k in enumerate(keys)), "_row", "group")
-    once = named.dropDuplicates([*(f"_key_{i}" for i in range(len(keys))), "group"])
-    return once.select("_row.*", "group")
+        met = met.union(asked.select(*columns, F.explode(hits).alias("_group")))
+    once = met.dropDuplicates([*keys, "_group"])
+    return once.select(*columns, F.col("_group").alias("group"))

@@ -155,6 +155,16 @@ def test_patterns_agree_with_compiled_groups(spark):
     assert sorted((r.id, r.group) for r in got.collect()) == want and len(want) > 15
 
 
+def test_conversations_of_one_word_make_no_group(spark, tmp_path):
+    from accesslake.catalog import QUERIES
+
+    said = ["abcd", "Abcd and efgh-x", "abcd efgh-x", None, "", "go abcd efgh"]
+    rows = [(c, n, "user", text) for n in range(2) for c, text in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted({(r.session, r.turn, r.group) for r in QUERIES["command_filter_table"](spark, str(tmp_path)).collect()})
+    assert {g for _, _, g in got} == {1, 2, 5} and {s for s, _, g in got if g == 2} == {1, 2, 5}
+
+
 def test_too_many_patterns_without_a_piece(spark, monkeypatch):
     monkeypatch.setattr(patterns, "MOST_LOOSE", 2)
     table = spark.createDataFrame([(i, "regex", f"(a{i})", True) for i in range(3)], "group int, type string, content string, ignore_case boolean")
