@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,30 +133,42 @@ def attr_changed(reconciled: DataFrame) -> dict[str, Column]:
     }
 
 
-def findings(reconciled: DataFrame, secret: Column, leaks: DataFrame, as_of) -> DataFrame:
+def findings(reconciled: DataFrame, secret: Column, leaks: DataFrame, as_of, details: DataFrame | None = None, key: str = "asset") -> DataFrame:
     """(asset, username, risk) for every risk of every account.
 
     All tests are made on one row per account and exploded, so the snapshots are read once whatever the number of risks.
-    ``secret`` is the account's secret as an expression over ``reconciled``; where it is null the account keeps its other
-    risks and has none of the secret's. ``leaks`` has one ``password`` column.
+    ``secret`` is the account's secret as an expression over ``reconciled`` and the ``details`` joined to it by ``key``; where it
+    is null the account keeps its other risks and has none of the secret's. ``leaks`` has one ``password`` column.
+
+    The tests that need no secret are made first and kept as the bits of one number, so that the joins move an account's
+    keys, that number and a digest, not its two snapshots.
     """
-    with_secret = reconciled.withColumn("_hash", F.sha2(secret, 256)).withColumn("_weak", F.coalesce(weak(secret), F.lit(False)))
-    leak_hashes = leaks.select(F.sha2("password", 256).alias("_hash")).distinct().withColumn("_leak", F.lit(True))
-    often = (
-        with_secret.where(F.col("_hash").isNotNull()).groupBy("_hash").agg(F.count("*").alias("_n")).join(leak_hashes, "_hash", "left").where(
-            (F.col("_n") > 1) | F.col("_leak")
-        )
-    )
-    known = attach_spread(with_secret, often, "_hash", F.struct("asset", "username"), "_n")
     last_login = F.greatest("managed_date_last_login", "remote_date_last_login")
     changed = F.greatest("managed_date_secret_changed", "remote_date_secret_changed")
-    tests = {
+    first = {
         "long_time_no_login": idle(last_login, NO_LOGIN_DAYS, as_of),
         "new_found": F.col("remote_present") & ~F.col("present"),
         **attr_changed(reconciled),
         "account_deleted": F.col("present") & ~F.col("remote_present"),
         "password_expired": older_than(changed, PASSWORD_VALID_DAYS, as_of),
         "long_time_password": older_than(changed, PASSWORD_DAYS, as_of),
+    }
+    bits = reduce(Column.__add__, [F.when(test, F.lit(1 << RISKS.index(r))).otherwise(F.lit(0)) for r, test in first.items()])
+    if details is None:
+        accounts = reconciled.withColumn("_bits", bits)
+    else:
+        accounts = reconciled.select("asset", "username", "present", bits.alias("_bits")).join(details, key, "left")
+    hashed = lambda c: F.unhex(F.sha2(c, 256))
+    digested = accounts.select("asset", "username", "present", "_bits", hashed(secret).alias("_hash"), F.coalesce(weak(secret), F.lit(False)).alias("_weak"))
+    leak_hashes = leaks.select(hashed(F.col("password")).alias("_hash")).distinct().withColumn("_leak", F.lit(True))
+    often = (
+        digested.where(F.col("_hash").isNotNull()).groupBy("_hash").agg(F.count("*").alias("_n")).join(leak_hashes, "_hash", "left").where(
+            (F.col("_n") > 1) | F.col("_leak")
+        )
+    )
+    known = attach_spread(digested, often, "_hash", F.struct("asset", "username"), "_n")
+    tests = {
+        **{r: F.col("_bits").bitwiseAND(F.lit(1 << RISKS.index(r))) != 0 for r in first},
         "weak_password": F.col("_weak"),
         "leaked_password": F.coalesce("_leak", F.lit(False)),
         "repeated_password": F.coalesce(F.col("_n") > 1, F.lit(False)),
