@@ -157,7 +157,9 @@ def selected_accounts(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
     wanted = F.concat(F.when(_has(SPEC), names).otherwise(nothing), F.when(_has(SAME_USER), F.array("user")).otherwise(nothing))
     whole = _has(ALL) | _has(NOT)
     by_name = scopes.where(~whole & ~_has(NONE)).select("scope", "user", "asset", F.explode(F.array_distinct(wanted)).alias("username"))
-    of_asset = scopes.where(whole & ~_has(NONE)).join(known, "asset").where(_chosen(F.lit(True), F.col("username")))
+    # ``@ALL`` takes every account, so its selectors need not be moved.
+    listing = scopes.where(whole & ~_has(NONE)).select("scope", "user", "asset", F.when(~_has(ALL), F.col("selectors")).alias("selectors"))
+    of_asset = listing.join(known, "asset").where(F.col("selectors").isNull() | _chosen(F.lit(True), F.col("username")))
     on_asset = by_name.join(known, ["asset", "username"]).select("scope", "user", "asset", "username").unionByName(of_asset.select("scope", "user", "asset", "username"))
     virtual = scopes.where(~_has(NONE)).select(
         "scope", "user", "asset", F.explode(F.array_intersect("selectors", F.array(F.lit(INPUT), F.lit(ANON)))).alias("username")
@@ -186,15 +188,15 @@ def usable_accounts(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
     names = F.filter("selectors", lambda x: ~x.startswith("@"))
     wanted = F.array_distinct(F.concat(names, F.when(_has(SAME_USER), F.array("user")).otherwise(nothing)))
     by_name = F.when(_has(ALL) | _has(NONE), nothing).otherwise(wanted)
-    looked_up = scopes.select(*ids, F.explode(by_name).alias("username"), "selectors")
+    listed = F.array_contains("selectors", F.col("username"))
+    looked_up = scopes.select(*ids, F.explode(by_name).alias("username"), "selectors").select(*ids, "username", listed.alias("_listed"))
     found = attach_spread(
         looked_up, known.withColumn("_known", F.lit(True)), ["asset", "username"], F.struct("scope", "user")
     ).where(F.col("_known"))
-    listed = F.array_contains("selectors", F.col("username"))
     per_scope = found.groupBy(*ids).agg(
-        F.count_if(listed).alias("_named"),
+        F.count_if("_listed").alias("_named"),
         F.count_if(F.col("username") == F.col("user")).alias("_own"),
-        F.count_if(listed & (F.col("username") == F.col("user"))).alias("_own_named"),
+        F.count_if(F.col("_listed") & (F.col("username") == F.col("user"))).alias("_own_named"),
     )
     counted = attach_spread(scopes, totals, "asset", F.struct("scope", "user")).join(per_scope, ids, "left")
 

@@ -171,3 +171,29 @@ def test_too_many_patterns_without_a_piece(spark, monkeypatch):
     commands = spark.createDataFrame([(1, "a1")], "id int, said string")
     with pytest.raises(ValueError):
         patterns.match_command_table(commands, ["id"], "said", table)
+
+
+def _first(node, found):
+    """The first node of a logical plan, from the top, for which ``found`` holds."""
+    if found(node):
+        return node
+    below = (_first(node.children().apply(i), found) for i in range(node.children().size()))
+    return next((n for n in below if n is not None), None)
+
+
+def test_findings_do_not_move_the_snapshots(tables):
+    from accesslake.catalog.risks import findings
+
+    top = _first(findings(tables)._jdf.queryExecution().optimizedPlan(), lambda n: n.nodeName() == "Join")
+    assert "managed_" not in top.output().toString() and "remote_" not in top.output().toString()
+
+
+def test_looked_up_names_do_not_carry_their_selectors(spark):
+    from accesslake.operators import relations as r
+
+    scopes = spark.createDataFrame([(1, "u", 1, ["@SPEC", "a"]), (2, "u", 1, ["@NOT", "u", "b"])], "scope int, user string, asset int, selectors array<string>")
+    counted = r.usable_accounts(scopes, spark.createDataFrame([(1, "a"), (1, "u"), (1, "c")], "asset int, username string"))
+    assert sorted((x.scope, x.usable) for x in counted.collect()) == [(1, 1), (2, 2)]
+    plan = counted._jdf.queryExecution().optimizedPlan()
+    sums = _first(plan, lambda n: n.nodeName() == "Aggregate" and "_own_named" in n.output().toString())
+    assert "selectors" not in _first(sums, lambda n: n.nodeName() == "Join").output().toString()
