@@ -222,7 +222,8 @@ RECONCILE_SQL = """
 
 
 def reconciled(t):
-    return r.reconcile(a.managed_accounts(t.lineitem), a.discovered_accounts(t.lineitem), ["username", "asset"])
+    lines = a.account_lines(t.lineitem)
+    return r.reconcile(a.managed_snapshot(lines), a.discovered_snapshot(lines), ["username", "asset"])
 
 
 @query("discovery_reconcile", f"WITH {RECONCILE_SQL} SELECT username, asset, present, remote_present FROM rec")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -228,11 +231,28 @@ def all_exist(checked: DataFrame) -> DataFrame:
     return checked.agg(F.coalesce(F.bool_and("exists"), F.lit(False)).alias("all_exist"))
 
 
-def reconcile(managed: DataFrame, discovered: DataFrame, keys: list[str]) -> DataFrame:
+class Snapshot(NamedTuple):
+    """One row per key of the ``rows`` that are ``held``: ``values`` names an aggregate, which skips nulls, of a column of them."""
+
+    rows: DataFrame
+    held: Column
+    keys: list[str]
+    values: dict[str, tuple[Callable[[Column], Column], str]]
+
+    def frame(self) -> DataFrame:
+        return self.rows.where(self.held).groupBy(*self.keys).agg(*[f(F.col(c)).alias(name) for name, (f, c) in self.values.items()])
+
+
+def reconcile(managed: DataFrame | Snapshot, discovered: DataFrame | Snapshot, keys: list[str]) -> DataFrame:
     """Full outer join with ``present`` (managed) and ``remote_present`` (on the host).
 
-    Other columns arrive as ``managed_x`` and ``remote_x``.
+    Other columns arrive as ``managed_x`` and ``remote_x``. Snapshots of the same rows by these keys are reduced together, so
+    that a task holds one table of accounts instead of two and their sorted copies. A null key is found on one side only.
     """
+    if isinstance(managed, Snapshot) and isinstance(discovered, Snapshot):
+        if managed.rows is discovered.rows and managed.keys == discovered.keys == keys:
+            return _reduced_together(managed, discovered, keys)
+    managed, discovered = (x.frame() if isinstance(x, Snapshot) else x for x in (managed, discovered))
 
     def side(df, prefix, flag):
         rest = [F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c not in keys]
@@ -244,6 +264,21 @@ def reconcile(managed: DataFrame, discovered: DataFrame, keys: list[str]) -> Dat
     )
 
 
+def _reduced_together(managed: Snapshot, discovered: Snapshot, keys: list[str]) -> DataFrame:
+    sides = [("managed", "present", 1, managed), ("remote", "remote_present", 2, discovered)]
+    totals = [f(F.when(one.held, F.col(c))).alias(f"{side}_{x}") for side, _, _, one in sides for x, (f, c) in one.values.items()]
+    on = [F.when(one.held, F.lit(bit)).otherwise(F.lit(0)) for _, _, bit, one in sides]
+    grouped = managed.rows.where(managed.held | discovered.held).groupBy(*keys).agg(*totals, F.bit_or(on[0].bitwiseOR(on[1])).alias("_on"))
+    # Null keys equal none: a group of them that both sides have is a row of either.
+    apart = any_of([F.col(k).isNull() for k in keys]) & (F.col("_on") == 3)
+    rows = grouped.withColumn("_side", F.explode(F.when(apart, F.array(F.lit(1), F.lit(2))).otherwise(F.array("_on"))))
+    picked = []
+    for side, flag, bit, one in sides:
+        here = F.col("_side").bitwiseAND(F.lit(bit)) != 0
+        picked += [F.when(here, F.col(f"{side}_{x}")).alias(f"{side}_{x}") for x in one.values] + [here.alias(flag)]
+    return rows.select(*keys, *picked)
+
+
 def sync_classify(cloud: DataFrame, local: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """Class of every instance: new (cloud only), released (local only), sync (equal) or unsync (attributes differ)."""
     c = cloud.select(F.col(key), F.struct(*attributes).alias("_cloud"))

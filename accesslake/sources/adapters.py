@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesslake.functions.network import dotted_quad
+from accesslake.operators.relations import Snapshot
 
 
 def props_key(props: Column) -> Column:
@@ -113,24 +114,38 @@ def account_secret(p_name: Column, p_size: Column, username: Column) -> Column:
     return F.concat(p_name, F.lit("#"), p_size.cast("string"), F.lit("#"), username.cast("string"))
 
 
-def _account_snapshot(lines: DataFrame) -> DataFrame:
-    return lines.groupBy(F.col("l_suppkey").alias("username"), F.col("l_partkey").alias("asset")).agg(
-        F.max("l_shipdate").alias("date_last_login"),
-        F.min("l_shipdate").alias("date_secret_changed"),
-        F.max("l_quantity").alias("groups"),
-        F.max("l_discount").alias("sudoers"),
-        F.max("l_tax").alias("authorized_keys"),
-    )
+def _account_snapshot(lineitem: DataFrame, held: Column) -> Snapshot:
+    values = {
+        "date_last_login": (F.max, "l_shipdate"),
+        "date_secret_changed": (F.min, "l_shipdate"),
+        "groups": (F.max, "l_quantity"),
+        "sudoers": (F.max, "l_discount"),
+        "authorized_keys": (F.max, "l_tax"),
+    }
+    return Snapshot(lineitem, held, ["username", "asset"], values)
+
+
+def account_lines(lineitem: DataFrame) -> DataFrame:
+    """The lines with their account's keys (username, asset)."""
+    return lineitem.withColumnsRenamed({"l_suppkey": "username", "l_partkey": "asset"})
+
+
+def managed_snapshot(lines: DataFrame) -> Snapshot:
+    return _account_snapshot(lines, F.col("l_linestatus") == "O")
+
+
+def discovered_snapshot(lines: DataFrame) -> Snapshot:
+    return _account_snapshot(lines, F.col("l_returnflag") != "R")
 
 
 def managed_accounts(lineitem: DataFrame) -> DataFrame:
     """The managed snapshot: accounts with an open line."""
-    return _account_snapshot(lineitem.where(F.col("l_linestatus") == "O"))
+    return managed_snapshot(account_lines(lineitem)).frame()
 
 
 def discovered_accounts(lineitem: DataFrame) -> DataFrame:
     """The snapshot found on hosts: accounts with a line that was not returned."""
-    return _account_snapshot(lineitem.where(F.col("l_returnflag") != "R"))
+    return discovered_snapshot(account_lines(lineitem)).frame()
 
 
 def leak_list(lineitem: DataFrame, part: DataFrame) -> DataFrame:

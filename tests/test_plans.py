@@ -74,3 +74,9 @@ def test_adaptive_execution_can_split_a_hot_key(spark):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def test_both_account_snapshots_are_one_aggregation(spark):
+    text = plan(queries()["discovery_reconcile"](spark, SMALL))
+    assert len(re.findall(r"FileScan parquet.*?/lineitem\.parquet", text)) == 1
+    assert "Join" not in text

@@ -156,3 +156,25 @@ def test_inventory_classes(spark):
     local = spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "id int, x string")
     got = {x.id: x["class"] for x in r.sync_classify(cloud, local, "id", ["x"]).collect()}
     assert got == {1: "new", 2: "unsync", 3: "sync", 4: "released"}
+
+
+LINES = "l_suppkey long, l_partkey long, l_linestatus string, l_returnflag string, l_shipdate timestamp_ntz, l_quantity double, l_discount double, l_tax double"
+
+
+def test_snapshots_of_one_log_are_reduced_together(spark):
+    import datetime as dt
+
+    day = lambda n: None if n is None else dt.datetime(2024, 1, n)
+    rows = [(k % 3 if k % 7 else None, k % 2 if k % 5 else None, "OF"[k % 2] if k % 11 else None, "RNA"[k // 2 % 3] if k % 13 else None, day(k % 9 + 1 if k % 4 else None), float(k % 6), 0.1, None) for k in range(80)]
+    rows += [(9, 9, "O", "R", day(3), 1.0, 0.0, 0.0), (8, 8, "F", "N", day(4), 2.0, 0.0, 0.0), (7, 7, "F", "R", day(5), 3.0, 0.0, 0.0), (6, None, "O", "N", day(6), 4.0, 0.0, 0.0)]
+    lines = a.account_lines(spark.createDataFrame(rows, LINES))
+    keys = ["username", "asset"]
+    together = r.reconcile(a.managed_snapshot(lines), a.discovered_snapshot(lines), keys)
+    joined = r.reconcile(a.managed_snapshot(lines).frame(), a.discovered_snapshot(lines).frame(), keys)
+    assert together.columns == joined.columns
+    key = lambda row: str(tuple(row))
+    found = sorted(together.collect(), key=key)
+    assert found == sorted(joined.collect(), key=key)
+    assert len([x for x in found if x.username == 6]) == 2  # a null key meets none
+    text = together._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in text and text.count("Exchange") == 1
