@@ -63,5 +63,6 @@ def missing_keys(objects: DataFrame, targets: DataFrame, column: str) -> DataFra
     Paths are reduced to one row each before they meet, so a path that every object has moves once a task.
     """
     texts = leaves(objects.select(column), column).where("text").groupBy("path").agg(F.min("value").alias("value"))
-    known = leaves(targets.select(column), column).select("path").distinct()
-    return texts.join(known, "path", "left_anti").select("path", "value")
+    known = leaves(targets.select(column), column).select("path").distinct().withColumn("_known", F.lit(True))
+    # An anti join would be pushed below the reduction, and there meet the paths of the first level, which are one literal, as a product.
+    return texts.join(known, "path", "left").where("_known is null").select("path", "value")
