@@ -81,7 +81,7 @@ def maybe_wanted(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str)
     """``rows`` without most of those whose ``key`` is not among ``wanted``; none that is wanted is lost.
 
     The wanted keys' hashes set bits of a map of ``BITS`` bits, 4 KB a row and ``BITS / 32768`` rows, which is broadcast. A set bit
-    may stand for another key, so an exact join follows; it then moves few rows instead of all texts.
+    may stand for another key, so an exact join must follow, by this key or by what is made of the row.
     """
 
     def place(c):
@@ -99,7 +99,7 @@ def maybe_wanted(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str)
 def sets_from(texts: DataFrame, classes: DataFrame, shingle: int):
     """For ``sets.linked``: the sets of named classes, from the text of each one's smallest doc_id.
 
-    A class is its digest, so sets move once, by the digest; what else belongs to a class waits there for them.
+    A class is its digest, so sets move once, by the digest; what else belongs to a class waits there for them. Texts don't move.
     """
 
     def run(batches):
@@ -111,9 +111,9 @@ def sets_from(texts: DataFrame, classes: DataFrame, shingle: int):
     def sets_of(named: DataFrame) -> DataFrame:
         known = classes.select("node", F.col("id").alias("_id"), F.col("digest").alias("_digest"))
         wanted = written(known.join(named, "node"), "wanted")
-        read = maybe_wanted(texts, "doc_id", wanted, "_id").join(wanted.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        read = maybe_wanted(texts, "doc_id", wanted, "_id")  # what else passes is left out by its digest
         sets = read.mapInArrow(run, "digest binary, hashes array<long>").join(wanted, F.col("digest") == F.col("_digest"))
-        return sets.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("node", "words", "hashes"))).drop("digest")
+        return sets.groupBy("digest").agg(*(F.first(c).alias(c) for c in (*named.columns, "hashes"))).drop("digest")
 
     return sets_of
 

@@ -170,7 +170,7 @@ def linked(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     """Edges ``(a, b)`` that join what all links join, between nodes that share one of their ``keys``.
 
     ``nodes`` has ``node`` (long, distinct), ``size`` of its set (1 at least), ``keys`` (array of longs) and ``words`` (a
-    fingerprint, or one zero). ``sets_of(named)`` adds the ``hashes`` to the ``(node, words)`` that ``named`` lists. Sets are linked
+    fingerprint, or one zero). ``sets_of(named)`` adds the ``hashes`` to the rows of ``named``, one a ``node``. Sets are linked
     if ``percent`` of their union is common; with ``radius``, only those whose fingerprints lie so near are compared.
 
     ``rounds`` says how many keys are taken at once: after each, groups whose members are all joined are left out, so a
@@ -186,21 +186,29 @@ def linked(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
         many = written(keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "many")
         members = written(keyed.join(many, "key"), "unjoined")
         members = written(members.join(_open_groups(members), "key"), "members")
-        named = nodes.select("node", "words").join(members.select("node").distinct(), "node")
-        sets = written(sets_of(named), "sets")
         parts = F.ceil(F.col("total") / ROOM).cast("int")
         own = F.pmod(F.xxhash64("node"), parts).cast("int")
         whole = members.withColumn("part", F.explode(F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own)))).withColumn("other", F.lit(0))
-        shipped = whole.join(sets, "node").select("key", "part", "other", "node", "root", "words", "hashes")
+        shipped = _shipped(whole, nodes, sets_of)
         edges = written(_verified(shipped, percent, radius), "links")
         found = edges if found is None else written(found.union(edges), "links")
         large = members.where(F.col("total") > ROOM).drop("root")
         if not large.isEmpty():
-            found = written(found.union(_across(written(_rooted(large, found), "large"), sets, percent, radius)), "links")
+            found = written(found.union(_across(written(_rooted(large, found), "large"), nodes, sets_of, percent, radius)), "links")
     return found
 
 
-def _across(large: DataFrame, sets: DataFrame, percent: int, radius: int | None) -> DataFrame:
+def _shipped(rows: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The sets of the ``node`` of ``rows`` at each ``key, part, other`` that ``rows`` name for it.
+
+    Where a node is wanted is listed first, a few numbers a key, so that its set goes there straight from where it is made.
+    """
+    meets = rows.groupBy("node", "root").agg(F.collect_list(F.struct("key", "part", "other")).alias("meets"))
+    sets = sets_of(nodes.select("node", "words").join(meets, "node"))
+    return sets.select("node", "root", "words", "hashes", F.explode("meets").alias("at")).select("at.key", "at.part", "at.other", "node", "root", "words", "hashes")
+
+
+def _across(large: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, radius: int | None) -> DataFrame:
     """Edges between parts of groups too large for one task, where not all members are joined."""
     by_root = large.groupBy("key", "root").agg(F.sum("size").alias("weight"))
     most = by_root.groupBy("key").agg(F.max(F.struct("weight", "root")).alias("most"), F.sum("weight").alias("all"))
@@ -213,4 +221,4 @@ def _across(large: DataFrame, sets: DataFrame, percent: int, radius: int | None)
     rows = rows.withColumn("at", at)
     meets = F.when(F.col("main"), every(F.col("outside"))).otherwise(every(F.col("outside") + F.col("inside")))
     dealt = rows.withColumn("with", F.explode(meets)).select("key", F.least("at", "with").alias("part"), F.greatest("at", "with").alias("other"), "node", "root")
-    return _verified(dealt.join(sets, "node").select("key", "part", "other", "node", "root", "words", "hashes"), percent, radius)
+    return _verified(_shipped(dealt, nodes, sets_of), percent, radius)

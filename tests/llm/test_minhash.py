@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -136,3 +137,18 @@ def test_words_are_remembered_within_a_bound():
     texts = ["a b c d e f g", "A  b\tC d\ne f g", "a b", ""]
     found = [shingle_set(t, 5, known) for t in texts]
     assert len(known) <= 3 and np.array_equal(found[0], found[1]) and [len(f) for f in found] == [3, 3, 1, 0]
+
+
+def test_sets_go_straight_to_their_groups(llm, copies, monkeypatch):
+    """With no side broadcast, texts stay where they are and sets move by their digest and to their groups, no third time."""
+    plans = []
+    real = sets._verified
+    monkeypatch.setattr(sets, "_verified", lambda groups, *rest: plans.append(groups._jdf.queryExecution().executedPlan().toString()) or real(groups, *rest))
+    llm.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near_duplicates(llm.createDataFrame(copies, "doc_id long, text string")).count()
+    finally:
+        llm.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans
+    for text in plans:
+        assert sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", text)) == ["_bucket", "_digest", "digest"]
