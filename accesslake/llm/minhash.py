@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesslake.llm.common import written
+from accesslake.llm.common import slices, written
 from accesslake.llm.links import components
 from accesslake.llm.sets import WordHashes, linked, mixed, shingle_set
 
@@ -61,7 +61,7 @@ def sketches(texts: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame
 
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, shingle, known)
@@ -104,7 +104,7 @@ def sets_from(texts: DataFrame, classes: DataFrame, shingle: int):
 
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(text, shingle, known) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["digest", "hashes"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accesslake.llm.common import written
+from accesslake.llm.common import slices, written
 
 BUCKETS = 1 << 15
 #: Labelled documents the domains are learned from, at most.
@@ -50,7 +50,7 @@ def learn_domains(labelled: DataFrame, names: list[str], domain_col: str = "doma
 
     def count(batches):
         seen, docs = np.zeros((len(place), BUCKETS), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for domain, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 d = place[domain]
                 docs[d] += 1
@@ -86,7 +86,7 @@ def memberships(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_co
     """``doc_id, tokens`` (words between white space of the whole text) and ``p``, the posterior of each domain."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             p = [model.posterior(x).tolist() for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.split()) for x in texts], pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=["doc_id", "tokens", "p"])
@@ -208,7 +208,7 @@ def resample(docs: DataFrame, model: Domains, rates: Rates, id_col: str = "doc_i
     def run(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             texts, ids = batch.column(names.index(text_col)).to_pylist(), batch.column(names.index(id_col)).to_pylist()
             times = []
             for i, x in zip(ids, texts):

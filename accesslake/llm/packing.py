@@ -108,6 +108,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_
                         if (window := packer.add((doc, start, part, len(ids)), len(part))) is not None:
                             full.append(window)
                 yield rows(full)
+        tokens.forget()
         yield rows(packer.rest())
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)

@@ -32,7 +32,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """XXH64 of words, remembered; ``most`` words at once."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 16):
         super().__init__()
         self.most = most
 

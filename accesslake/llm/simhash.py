@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accesslake.llm.common import written
+from accesslake.llm.common import slices, written
 from accesslake.llm.links import agreeing_blocks, components, links
 from accesslake.llm.minhash import set_digest, sets_from
 from accesslake.llm.sets import WordHashes, linked, shingle_set
@@ -127,7 +127,7 @@ def sketches(rows: DataFrame, shingle: int, words: int, bands: int) -> DataFrame
 
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, shingle, known)

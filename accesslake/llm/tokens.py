@@ -87,6 +87,11 @@ class Encoder:
         for word, ids, tail in halves:
             cache[word] = ids + cache[tail]
 
+    def forget(self) -> None:
+        """Empties the cache, which a worker would else hold on to while it runs other tasks."""
+        self.cache.clear()
+        self.cores.clear()
+
     def _cut(self, text: str) -> list[str]:
         if self.kind == "words":
             return text.replace("\n", " ").split(" ")
@@ -107,8 +112,7 @@ class Encoder:
             missing = set(words).difference(self.cache)
             if missing:
                 if len(self.cache) + len(missing) > CACHED_WORDS:
-                    self.cache.clear()
-                    self.cores.clear()
+                    self.forget()
                     missing = set(words)
                 self._learn(list(missing))
             out[i] = b"".join([self.cache[w] for w in words])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accesslake.llm.common import written
+from accesslake.llm.common import slices, written
 
 #: Bounds of the fitted sample: confirmed toxic texts, unlabelled texts, features kept.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 6000, 12000, 3000
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
 
     def count(batches):
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+        for batch in slices(batches):
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[y].update(text_features(text))
         for y in (0, 1):
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     place = {f: i for i, f in enumerate(names)}
 
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [sorted(place[f] for f in text_features(x) if f in place) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["positive", "features"])
 
@@ -165,7 +165,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
     names, fields = docs.columns, docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(names.index(text_col)).to_pylist()
             yield batch.filter(pa.array([model.score(x or "") < threshold for x in texts], pa.bool_()))
 
