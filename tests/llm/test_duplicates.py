@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from accesslake.llm import suffix
 from accesslake.llm.links import agreeing_blocks, components, links, tile_links
+from accesslake.llm.queries import QUERIES
 from accesslake.llm.simhash import keep_one, near_duplicates, similar
 from accesslake.llm.suffix import Shard, common_prefixes, cut_texts, remove_repeats, repeated_spans, sliding, suffix_array, windows, without
 from corpus_pipeline import drop_near_copies
@@ -285,3 +286,22 @@ def test_many_rows_of_one_id_and_text(llm):
     rows = [(1, text)] * 300 + [(2, "z" * 90), (3, text[100:250] + "!"), (None, text)]
     check_spans(llm.createDataFrame(rows, "doc_id long, text string"), 60)
     assert [(r.doc_id, r.n_removed) for r in cut_texts(llm.createDataFrame(rows[:301], "doc_id long, text string"), 60).orderBy("doc_id").collect()] == [(1, 500), (2, 90)]
+
+
+def test_the_query_cuts_strings_of_400_bytes_and_no_shorter_passage(llm, tmp_path):
+    """All columns of op4 as by brute force; a shared passage of more than 50 words stays if it is shorter than 400 bytes."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 9))) for _ in range(n)).encode()
+    passage = lambda n: b"<" + prose(200)[: n - 2].decode(errors="ignore").encode().ljust(n - 2, b".") + b">"
+    short, exact, twice = passage(399), passage(400), passage(450)
+    assert len(short.split()) > 50
+    middle = {1: short, 2: short, 3: exact, 4: exact, 5: twice + prose(20) + twice, 6: prose(90), None: exact}
+    rows = [(i, (prose(9) + f"{i}".encode() + m + f"{i}".encode() + prose(9)).decode()) for i, m in middle.items()] + [(7, None), (8, "")]
+    llm.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "length(text) n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r[0]: tuple(r)[1:] for r in QUERIES["op4_suffix_array_dedup"](llm, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()}
+    expected = {}
+    for (i, _), (data, spans) in zip(rows, counted(rows, 400)):
+        kept = without(data, [{"from": a, "to": b} for a, b in spans])
+        expected[i] = (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+    assert got == expected
+    assert {i: r[1:3] for i, r in got.items()} == {1: (0, 0), 2: (0, 0), 3: (400, 1), 4: (400, 1), 5: (900, 2), 6: (0, 0), 7: (0, 0), 8: (0, 0), None: (400, 1)}
