@@ -1,6 +1,7 @@
 import datetime as dt
 import ipaddress
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,32 @@ def test_patterns_agree_with_compiled_groups(spark):
     assert sorted((r.id, r.group) for r in got.collect()) == want and len(want) > 15
 
 
+def test_patterns_in_many_blocks_agree_with_compiled_groups(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "BLOCK", 30)
+    monkeypatch.setattr(patterns, "TASK_TRIES", 5)
+    rng, parts = random.Random(4), ["rm", "Rm", "-rf", "rf", "RM_x", "été", "su", "sudo", " ", "  ", "/", "x", "İ", "K", "a1", "a1b", "_"]
+    made = lambda most: "".join(rng.choice(parts) + rng.choice(["", " ", "-"]) for _ in range(rng.randrange(1, most)))
+    documents = [{"id": i, "type": "command", "content": f"{made(3)}\n{made(4)}\r\n{made(2)}", "ignore_case": i % 2 == 0} for i in range(30)]
+    documents += [{"id": i, "type": "regex", "content": rng.choice([".*", "+", ".?", " "]).join(rng.choice(["rm", "sudo", "RM_x", "a1b", "su  x"]) for _ in range(2)), "ignore_case": i % 2 == 0} for i in range(30, 50)]
+    commands = spark.createDataFrame([(i % 70, made(9)) for i in range(120)], "id int, said string")
+    table = spark.createDataFrame([(d["id"], d["type"], d["content"], d["ignore_case"]) for d in documents], "group int, type string, content string, ignore_case boolean")
+    got = patterns.match_command_table(commands, ["id"], "said", table)
+    want = {(r.id, r.group) for r in rules.match_commands(commands, documents, "said").collect()}
+    assert sorted((r.id, r.group) for r in got.collect()) == sorted(want) and len(want) > 300
+
+
+@pytest.mark.parametrize("block", [3, 200_000])
+def test_only_commands_move_and_once(spark, monkeypatch, block):
+    """Neither the pieces of commands nor what is tried on them nor the hits are dealt out."""
+    monkeypatch.setattr(patterns, "BLOCK", block, raising=False)
+    commands = spark.createDataFrame([(i, "the end of all and one") for i in range(50)], "id int, said string")
+    table = spark.createDataFrame([(g, "command", "the\nall", True) for g in range(4)], "group int, type string, content string, ignore_case boolean")
+    hits = patterns.match_command_table(commands, ["id"], "said", table).select("id", "group")
+    assert sorted(hits.collect()) == [(i, g) for i in range(50) for g in range(4)]
+    dealt = re.findall(r"(?<!, )Exchange hashpartitioning\(([^)]*)\)", hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+    assert len(dealt) == 1 and dealt[0].startswith("id#")
+
+
 def test_conversations_of_one_word_make_no_group(spark, tmp_path):
     from accesslake.catalog import QUERIES
 
