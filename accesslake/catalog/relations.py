@@ -169,8 +169,8 @@ def account_spec(t):
             named(F.col("_high")).alias("username"),
         )
     )
-    checked = r.account_allowed(accesses, accounts)
-    return r.usable_accounts(checked, accounts).select("scope", "user", "asset", "username", "allowed", "usable")
+    counted = r.usable_accounts(accesses, accounts)
+    return r.account_allowed(counted, accounts).select("scope", "user", "asset", "username", "allowed", "usable")
 
 
 @query(

@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from accesslake.functions.values import all_of, any_of
 from accesslake.operators.predicates import validity
@@ -170,20 +171,83 @@ def selected_accounts(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
     return on_asset.select("scope", "user", "asset", "username").unionByName(virtual)
 
 
-def account_allowed(requests: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Adds ``allowed`` to requests (scope, user, asset, selectors, username): one equality join, whatever the selector."""
-    known = accounts.select("asset", "username").distinct().withColumn("_known", F.lit(True))
-    joined = attach_spread(requests, known, ["asset", "username"], F.struct("scope", "user"))
+#: Accounts in all, repeated ones counted too, that Spark broadcasts; more are listed by asset.
+FEW = 10_000
+#: Accounts of one asset that are listed beside its scopes; assets with more that are told apart by a broadcast.
+LISTED, MOST_LONG = 1000, 10_000
+
+
+def _by_length(rows: DataFrame, accounts: DataFrame, of_lists: Callable, looked_up: Callable) -> DataFrame:
+    """``of_lists`` for the rows of assets with up to ``LISTED`` accounts, ``looked_up`` for the others' rows; both take accounts too."""
+    accounts = accounts.select("asset", "username").where(F.col("asset").isNotNull())
+    if accounts.limit(FEW + 1).count() <= FEW:
+        return looked_up(rows, accounts)
+    long = accounts.groupBy("asset").agg(F.count("*").alias("n")).where(F.col("n") > LISTED).select("asset").limit(MOST_LONG + 1).collect()
+    if len(long) > MOST_LONG:
+        return looked_up(rows, accounts)
+    if not long:
+        return of_lists(rows, accounts)
+    marked = F.broadcast(rows.sparkSession.createDataFrame(long, StructType([accounts.schema["asset"]])))
+    short, rest = ([x.join(marked, "asset", how) for x in (rows, accounts)] for how in ("left_anti", "left_semi"))
+    return of_lists(*short).unionByName(looked_up(*rest))
+
+
+def _with_names(rows: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Adds ``_names``, the accounts of the row's asset."""
+    known = accounts.repartition("asset").distinct()
+    # In a struct, as a list has no nulls otherwise; a nameless account counts.
+    lists = known.groupBy("asset").agg(F.collect_list(F.struct("username")).alias("_names"))
+    return attach_spread(rows, lists, "asset", F.struct("scope", "user"))
+
+
+def _allowed(exists: Column) -> Column:
     virtual = F.col("username").isin(INPUT, ANON) & F.array_contains("selectors", F.col("username")) & ~_has(NONE)
-    return joined.withColumn("allowed", virtual | _chosen(F.col("_known").isNotNull(), F.col("username"))).drop("_known")
+    return virtual | _chosen(exists, F.col("username"))
 
 
-def usable_accounts(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Adds ``usable``, the number of accounts the scope may use on its asset, virtual ones included.
+def _allowed_of_lists(requests: DataFrame, accounts: DataFrame) -> DataFrame:
+    answers = requests.withColumns({"_if": _allowed(F.lit(True)), "_else": _allowed(F.lit(False))})
+    exists = F.coalesce(F.array_contains(F.col("_names.username"), F.col("username")), F.lit(False))
+    joined = _with_names(answers, accounts).withColumn("allowed", F.when(exists, F.col("_if")).otherwise(F.col("_else")))
+    return joined.drop("_names", "_if", "_else")
 
-    ``@ALL`` and ``@NOT`` start from the asset's account total, and only the names written in the selector are looked
-    up one by one. ``scopes`` is unique by (scope, user, asset).
+
+def _allowed_looked_up(requests: DataFrame, accounts: DataFrame) -> DataFrame:
+    known = accounts.distinct().withColumn("_known", F.lit(True))
+    joined = attach_spread(requests, known, ["asset", "username"], F.struct("scope", "user"))
+    return joined.withColumn("allowed", _allowed(F.col("_known").isNotNull())).drop("_known")
+
+
+def account_allowed(requests: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Adds ``allowed`` to requests (scope, user, asset, selectors, username): one equality join, whatever the selector.
+
+    An asset's accounts come as one list while they are few; selectors are read before the join, which moves two answers instead.
     """
+    return _by_length(requests, accounts, _allowed_of_lists, _allowed_looked_up)
+
+
+def _wanted_names() -> Column:
+    """The names whose accounts are counted one by one: those left out by ``@NOT``, else those added."""
+    nothing = F.array().cast("array<string>")
+    names = F.filter("selectors", lambda x: ~x.startswith("@"))
+    own = F.when(_has(SAME_USER), F.array("user")).otherwise(nothing)
+    some = F.when(_has(NOT), F.array_except(names, own)).when(_has(SPEC), F.concat(names, own)).otherwise(own)
+    return F.array_distinct(F.array_compact(F.when(_has(ALL) | _has(NONE), nothing).otherwise(some)))
+
+
+def _usable_of_lists(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
+    counted = _with_names(scopes, accounts)
+    names = F.coalesce(F.col("_names.username"), F.array().cast("array<string>"))
+    # As by the join, no names are found for a scope of a null id, user or asset.
+    whole = all_of([F.col(c).isNotNull() for c in ("scope", "user", "asset")])
+    total, named = F.size(names), F.when(whole, F.size(F.array_intersect(_wanted_names(), names))).otherwise(0)
+    real = F.when(_has(ALL), total).when(_has(NOT), total - named).otherwise(named)
+    virtual = F.size(F.array_intersect("selectors", F.array(F.lit(INPUT), F.lit(ANON))))
+    usable = F.when(_has(NONE), F.lit(0)).otherwise(real + virtual).cast("bigint")
+    return counted.withColumn("usable", usable).drop("_names")
+
+
+def _usable_looked_up(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
     ids = ["scope", "user", "asset"]
     known = accounts.select("asset", "username").distinct()
     totals = known.groupBy("asset").agg(F.count("*").alias("_total"))
@@ -219,6 +283,16 @@ def usable_accounts(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
     return counted.withColumn("usable", usable).drop("_total", "_named", "_own", "_own_named")
 
 
+def usable_accounts(scopes: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Adds ``usable``, the number of accounts the scope may use on its asset, virtual ones included.
+
+    ``@ALL`` and ``@NOT`` start from the asset's account total, and only the names written in the selector are looked
+    up one by one: in the asset's list of accounts while it is short, by a join otherwise. ``scopes`` is unique by
+    (scope, user, asset).
+    """
+    return _by_length(scopes, accounts, _usable_of_lists, _usable_looked_up)
+
+
 def account_exists(wanted: DataFrame, accounts: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``exists`` to every wanted account; the account list is reduced to its keys before the join."""
     known = accounts.select(*keys).distinct().withColumn("_known", F.lit(True))

@@ -1,8 +1,14 @@
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from accesslake.operators import relations as r
 from accesslake.operators import rules, sets, tree
 from accesslake.sources import adapters as a
+from tests.conftest import SMALL
 
 SELECTORS = [
     ["@ALL"],
@@ -52,6 +58,43 @@ def test_account_selectors_agree_with_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("listed, most_long", [(1000, 10), (4, 10), (4, 0)])
+def test_listed_accounts_agree_with_brute_force(spark, monkeypatch, listed, most_long):
+    """All assets listed, one of two too long for it, and more of these than are told apart."""
+    for name, value in {"FEW": 0, "LISTED": listed, "MOST_LONG": most_long}.items():
+        monkeypatch.setattr(r, name, value)
+    test_account_selectors_agree_with_brute_force(spark)
+
+
+def test_listed_accounts_agree_with_looked_up_ones(spark, monkeypatch):
+    rng, some = random.Random(2), ["a", "b", "u", "@odd", "@ALL", "@SPEC", "@NOT", "@NONE", "@USER", "@INPUT", "@ANON", None]
+    pick = lambda values: rng.choice([*values, None])
+    accounts = spark.createDataFrame([(pick([1, 2, 3]), pick(["a", "b", "u", "@odd", "@INPUT"])) for _ in range(25)], "asset int, username string")
+    rows = [(pick(range(90)), pick(["a", "u", "@odd"]), pick([1, 2, 3, 4]), rng.choice([None, *[rng.sample(some, rng.randrange(6)) for _ in range(9)]]), pick(some)) for _ in range(400)]
+    scopes = spark.createDataFrame(rows, "scope int, user string, asset int, selectors array<string>, username string").dropDuplicates(["scope", "user", "asset"]).localCheckpoint()
+    found = {}
+    for few in (10_000, 0):
+        monkeypatch.setattr(r, "FEW", few)
+        done = r.account_allowed(r.usable_accounts(scopes, accounts), accounts).select("scope", "user", "asset", "selectors", "username", "allowed", "usable")
+        found[few] = sorted(map(repr, done.collect()))
+    assert found[0] == found[10_000] and len(found[0]) == scopes.count() > 200
+
+
+def test_accesses_move_once_an_answer(spark, monkeypatch):
+    """Two exchanges join orders and lines, two make lists of accounts, and each of two answers moves the accesses once."""
+    monkeypatch.setattr(r, "FEW", 0, raising=False)
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    try:
+        found = queries()["account_spec"](spark, SMALL)
+        found.collect()
+        text = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+    assert len(re.findall(r"(?<!, )Exchange hashpartitioning", text)) == 6
+
+
 def test_batch_exists_only_if_all_do(spark):
     acc = spark.createDataFrame([("a", 1)], ["username", "asset"])
     some = r.account_exists(spark.createDataFrame([("a", 1), ("b", 1)], ["username", "asset"]), acc, ["username", "asset"])
